@@ -75,7 +75,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     alone = rows.filter(~F.col("hit")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     again = rows.filter("hit").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("times"))
-    groups = again.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
+    # Written, so that the join below has a plain exchange on both sides and Spark can split a hot group's rows.
+    groups = checkpointed(again.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size")))
     met = again.join(groups, "text_sha256").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     met = met.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256")
     return alone.unionByName(met)

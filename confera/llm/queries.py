@@ -5,13 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from confera.llm.common import table
 from confera.llm.exact_dedup import exact_dedup
+from confera.llm.mixing import mix
+from confera.llm.packing import pack
 from confera.llm.quality_rules import quality_rules
+from confera.llm.simhash import near_duplicates
+from confera.llm.sstable import token_store
+from confera.llm.toxicity import toxicity
 from confera.llm.url_filter import url_filter
 
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 BLOCKED_HOSTS = ["spam-farm.example.org"]
 
@@ -24,14 +35,39 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
+    "op5_packing": op5_packing,
+    "op6_simhash": op6_simhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {
