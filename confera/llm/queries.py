@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from confera.llm.common import table
 from confera.llm.exact_dedup import exact_dedup
+from confera.llm.line_dedup import repeated_units
 from confera.llm.mixing import mix
 from confera.llm.packing import pack
 from confera.llm.quality_rules import quality_rules
+from confera.llm.revisits import resolve_revisits
 from confera.llm.simhash import near_duplicates
 from confera.llm.sstable import token_store
 from confera.llm.toxicity import toxicity
@@ -35,6 +38,36 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line that goes, with its place in the original text and that of the line that stays."""
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Capture records of every page, by a fixed rule: a full response, and two not-modified revisits in the days after.
+
+    The first revisit carries the page's ETag as a weak one; the second only Last-Modified or, for every fourth page, an
+    ETag that no response has.
+    """
+    tag = F.substring(F.md5(F.coalesce(F.col("html"), F.lit(""))), 1, 12)
+    at = 1_600_000_000 + F.col("page_id") * 600
+    text = lambda c: c.cast("string")
+    fields = lambda **k: F.map_filter(F.create_map(*[x for n, c in k.items() for x in (F.lit(n.replace("_", "-")), c)]), lambda _, v: v.isNotNull())
+    record = lambda n, ts, kind, headers: F.struct((F.col("page_id") * 3 + n).alias("record_id"), ts.alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"))
+    later, last = at + 86_400 * (1 + F.col("page_id") % 5), at + 86_400 * 7
+    full = fields(etag=F.concat(F.lit('"'), tag, F.lit('"')), last_modified=text(at - 1000), content_length=text(F.length("html")), cache_control=F.lit("max-age=60"), date=text(at))
+    weak = fields(etag=F.concat(F.lit('W/"'), tag, F.lit('"')), content_length=F.lit("0"), cache_control=F.lit("max-age=90"), date=text(later))
+    other = fields(etag=F.when(F.col("page_id") % 4 == 0, F.lit('"none"')), last_modified=text(at - 1000), date=text(last))
+    rows = F.array(record(0, at, "response", full), record(1, later, "revisit", weak), record(2, last, "revisit", other))
+    return pages.select("url", F.explode(rows).alias("r")).select("url", "r.*")
+
+
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return out.withColumn("headers", lines)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -62,6 +95,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_revisits": op4_revisits,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_exact_dedup": op7_exact_dedup,
@@ -82,8 +117,47 @@ fits as (select p.page_id, p.host, p.path, r.rule, r.rverdict, row_number() over
 select page_id, host, path, rule, case when rule is not null then rverdict
     when host = 'spam-farm.example.org' or host like '%.spam-farm.example.org' then 'block' else 'allow' end as verdict
 from fits where k = 1""",
+    "op3_line_dedup": r"""
+with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as unit from documents),
+placed as (select doc_id, unit::int as unit, sum(length(line) + 1) over (partition by doc_id order by unit)::bigint - length(line) - 1 as start, length(line) as length,
+    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from lines),
+ranked as (select *, first_value(doc_id) over w as keep_doc_id, first_value(unit) over w as keep_unit, first_value(start) over w as keep_start,
+    count(*) over (partition by norm) as copies, row_number() over w as k from placed where len(string_split(norm, ' ')) >= 25
+    window w as (partition by norm order by doc_id, unit))
+select doc_id, unit, start, length, keep_doc_id, keep_unit, keep_start, copies from ranked where k > 1""",
+    "op4_revisits": r"""
+with p as (select page_id, 1600000000 + page_id * 600 as t0, substr(md5(coalesce(html, '')), 1, 12) as tag, length(html) as n, regexp_replace(url, '#.*$', '') as bare from pages),
+h as (select *, regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1) as head from p),
+t as (select *, substr(bare, length(head) + 1) as tail from h),
+c as (select page_id, t0, tag, n, regexp_replace(regexp_replace(lower(head), '^(http://[^/?]*):80$', '\1'), '^(https://[^/?]*):443$', '\1')
+    || regexp_replace(regexp_extract(tail, '^([^?]*)', 1), '/+$', '') as path,
+    list_sort(list_filter(string_split(regexp_extract(tail, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) as params from t),
+u as (select page_id, t0, tag, n, path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as url from c),
+full_ as (select page_id * 3 as id, t0 as ts, url, tag, n, (t0 - 1000)::varchar as lm from u),
+rev as (select page_id * 3 + 1 as record_id, t0 + 86400 * (1 + page_id % 5) as ts, url, tag as etag, 'W/"' || tag || '"' as shown, null as lm, 'max-age=90' as cc from u
+    union all select page_id * 3 + 2, t0 + 86400 * 7, url, case when page_id % 4 = 0 then 'none' end, null, (t0 - 1000)::varchar, null from u),
+j as (select r.*, f.id, f.ts as fts, f.tag as ftag, f.n, f.lm as flm,
+    row_number() over (partition by r.record_id order by f.ts desc nulls last, f.id desc) as k from rev r left join full_ f on f.url = r.url and f.ts < r.ts),
+s as (select *, case when id is null then 'no_base' when case when etag is not null then etag = ftag when lm is not null then lm = flm else true end then 'resolved' else 'mismatch' end as status from j where k = 1)
+select record_id, url as canonical_url, ts, case when status = 'resolved' then id end as base_id, case when status = 'resolved' then fts end as base_ts, status,
+    case when status = 'resolved' then 'cache-control=' || coalesce(cc, 'max-age=60') || ';content-length=' || n || ';date=' || ts || ';etag=' || coalesce(shown, '"' || ftag || '"')
+        || ';last-modified=' || flm end as headers from s""",
     "op7_exact_dedup": r"""
 with n as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
 select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
     doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256 from n""",
+    "op9_mixing": r"""
+with d as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, case when source is null then 'b' else 'a' || source end as name,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint as draw from documents),
+s as (select name, sum(size)::bigint as size, [3, 1, 2][(row_number() over (order by name) - 1) % 3 + 1]::double as w from d group by name),
+-- Sources reach their caps in the order of cap by weight; the level is the first at which the next isn't above its cap.
+o as (select *, sum(size) over () * 1.5::double as total, coalesce(sum(2 * size) over (order by 2 * size / w, name rows between unbounded preceding and 1 preceding), 0)::double as before,
+    sum(w) over (order by 2 * size / w, name rows between current row and unbounded following) as rest_w, row_number() over (order by 2 * size / w, name) as k from s),
+l as (select min(k) as k from o where (total - before) * w / rest_w <= 2 * size),
+lev as (select total - before as rest, rest_w from o where k = (select k from l)),
+t as (select o.name, o.size, case when o.k < (select k from l) then 2.0 * o.size else lev.rest * o.w / lev.rest_w end as target from o, lev),
+p as (select name, size as source_size, target, case when size > 0 then least(floor(target / size), 2)::bigint else 0 end as whole from t),
+r as (select d.*, p.source_size, p.target, p.whole, greatest(0, p.target - p.whole * p.source_size) as rest,
+    sum(d.size) over (partition by d.name order by d.draw)::bigint as upto from d join p using (name))
+select doc_id, size, source_size, target, size * (whole + (case when rest > 0 and upto - size / 2.0 <= rest then 1 else 0 end)) as taken from r""",
 }
