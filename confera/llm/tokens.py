@@ -9,18 +9,29 @@ are the same in Python; any other text, and one that spells a special token, goe
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
-#: Entries of the memory of pieces of a worker, about 60 MB; it starts anew when full.
-REMEMBERED = 400_000
+#: Entries of the memory of pieces of a worker, about 150 MB; it starts anew when full.
+REMEMBERED = 700_000
 
 #: The tokenizer's pattern of pieces, over lower-cased text of the plain alphabet.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^\sa-zà-öø-ÿ0-9]+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 _NOT_PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|(?:start|end)oftext\|>")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: printable ones stand for themselves, the rest follow from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
     """encode(text) gives the ids of the text, without special tokens, as bytes of little-endian unsigned 32-bit ids."""
 
@@ -33,6 +44,12 @@ class Encoder:
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """The ids of one lower-case piece, from the merges alone."""
+        spelled = piece.encode().decode("latin-1").translate(_LETTERS)
+        ids = [x.id for x in self.tokenizer.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
         if _NOT_PLAIN.search(text):
             return self.direct(text)
@@ -44,7 +61,7 @@ class Encoder:
                 known.clear()
             for x in set(pieces):
                 if x not in known:
-                    known[x] = self.direct(x)
+                    known[x] = self.piece(x)
             return b"".join([known[x] for x in pieces])
 
 

@@ -25,7 +25,7 @@ def docs_of(spark, rows):
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(5)
-    words = ["alpha", "beta", "Gamma", "d", "été", "the", "of", "the", "naïve", "x1", "don't", "<|endoftext|>", "日本", "#tag", "50%"]
+    words = ["alpha", "beta", "Gamma", "d", "été", "Straße.", "the", "of", "the", "naïve", "x1", "don't", "<|endoftext|>", "日本", "#tag", "50%"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 5, 40, 80, 300]))) for _ in range(60)]
     texts += [texts[8], texts[9].replace(" ", " \n\t"), None, "", " \n ", "a b c d " * 30, "line one\nline one\nline two\n\n" * 20, "word " * 3000]
     ids = list(range(100, 100 + len(texts)))
@@ -129,6 +129,19 @@ def le32(ids):
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_encoder_agrees_with_the_tokenizer():
+    from confera.llm.tokens import Encoder
+
+    rng = random.Random(11)
+    plain = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA0, 0x100)]]
+    odd = [*"İıſŒœΣσςÅ日本語", "\x0b", "\x1c", "\x85", "\u00a0", "\u0301", "\u3000", "😀", "<|startoftext|>", "'S", "'re", "ß"]
+    own = Encoder(tokenizer_path())
+    for k in range(3000):
+        letters = plain if k % 2 else plain + odd * 4
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(30)))
+        assert own.encode(text) == own.direct(text) == le32(token_ids(text)), text
+
+
 def test_pack(spark, rows):
     got = packing.pack(docs_of(spark, rows), tokenizer_path(), with_ids=True).collect()
     want = Counter()
