@@ -54,3 +54,13 @@ def own_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+
+
+#: What a Python worker gets at once of texts: bounds its memory whatever the length of the rows.
+BATCH_BYTES = 4 << 20
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, after its session has been told to hand rows to Python workers in batches of bounded size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

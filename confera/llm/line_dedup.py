@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confera.llm.common import checkpointed, own_name
+from confera.llm.common import checkpointed, own_name, text_batches
 
 #: Shorter lines (headings, licence lines, table rows) are left alone: they repeat in clean documents too.
 MIN_WORDS = 25
@@ -58,7 +58,7 @@ def hashed_units(docs: DataFrame, id_col: str, text_col: str, unit: str, min_wor
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), *(pa.array(c, t) for c, t in zip(rest, kinds))], names=["doc_id", "unit", "start", "length", "h1", "h2"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, unit int, start bigint, length bigint, h1 bigint, h2 bigint")
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, unit int, start bigint, length bigint, h1 bigint, h2 bigint")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:

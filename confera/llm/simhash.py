@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from confera.llm.common import checkpointed
+from confera.llm.common import checkpointed, text_batches
 from confera.llm.components import components
 
 BITS = 2
@@ -109,7 +109,7 @@ def fingerprint_links(distinct: DataFrame, *, bits: int = BITS, count: int = PIV
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = BITS, count: int = PIVOTS, small_group: int = SMALL_GROUP) -> DataFrame:
     """One row per row: doc_id, fingerprint, component_id."""
-    prints = checkpointed(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
+    prints = checkpointed(text_batches(docs).select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(fingerprint_links(classes.select("fp"), bits=bits, count=count, small_group=small_group))
     rooted = checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confera.llm.common import shared_dir
+from confera.llm.common import shared_dir, text_batches
 from confera.llm.tokens import encoder
 
 MAGIC = b"CFSST001"
@@ -220,7 +220,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
             stream.close()
             yield pd.DataFrame([(name, writer.docs, writer.ids, writer.keys[0], writer.keys[-1])], columns=["path", "docs", "ids", "first", "last"])
 
-    by_id = docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("bigint").alias("id"), F.col(id_col).isNull().alias("missing"), F.col(text_col).alias("text"))
+    by_id = text_batches(docs).select(F.coalesce(F.col(id_col), F.lit(0)).cast("bigint").alias("id"), F.col(id_col).isNull().alias("missing"), F.col(text_col).alias("text"))
     by_id = by_id.withColumn("h", F.xxhash64("text")).repartitionByRange(F.desc("missing"), "id", "h").sortWithinPartitions(F.desc("missing"), "id", "h")
     shards = [r.asDict() for r in by_id.select("id", "missing", "text").mapInPandas(write, "path string, docs bigint, ids bigint, first binary, last binary").collect()]
     return sorted(shards, key=lambda r: (bytes(r["first"]), bytes(r["last"])))
