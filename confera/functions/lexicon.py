@@ -123,7 +123,7 @@ SYNTHETIC = Lexicon(
     keywords=((" onon ", 0.34), (" erst ", 0.32), (" thst ", 0.22), (" than ", 0.24), (" erin ", 0.14)),
     question=_words("was", "that"),
     continuation=_words("for"),
-    switch=_words("thst"),
+    switch=_words("thst", "thre"),
     negative_break=_words("erst"),
     practice=_words("tion"),
     assistant_wrap=_words("from"),

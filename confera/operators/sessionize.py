@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from confera.functions.lexicon import ZH, Lexicon
 from confera.functions.text import parse_time_ms, token_estimate, utf16_length
 
-SESSION = Window.partitionBy("session_id")
-IN_ORDER = SESSION.orderBy("turn_index")
+
+def session():
+    return Window.partitionBy("session_id")
+
+
+def in_order():
+    return session().orderBy("turn_index")
 
 
 def number_turns(rows: DataFrame) -> DataFrame:
@@ -18,13 +23,14 @@ def number_turns(rows: DataFrame) -> DataFrame:
     Unreadable times sort last in their session; ties keep the order of ingestion.
     """
     rows = rows.withColumn("ts_ms", parse_time_ms(F.col("ts_raw"))) if "ts_ms" not in rows.columns else rows
-    order = SESSION.orderBy(F.col("ts_ms").asc_nulls_last(), "ingest_seq")
+    order = session().orderBy(F.col("ts_ms").asc_nulls_last(), "ingest_seq")
     return rows.withColumns({"turn_index": F.row_number().over(order), "active_hour": F.hour(F.timestamp_millis("ts_ms"))})
 
 
-def response_gap(ts_ms: Column, window=IN_ORDER) -> Column:
+def response_gap(ts_ms: Column) -> Column:
     """Whole seconds since the turn before, never negative; null if either time is."""
-    return F.greatest(F.lit(0).cast("bigint"), F.floor((ts_ms - F.lag(ts_ms).over(window)) / 1000 + 0.5))
+    seconds = F.floor((ts_ms - F.lag(ts_ms).over(in_order())) / 1000 + 0.5)
+    return F.when(seconds < 0, 0).otherwise(seconds)
 
 
 def flag_turns(turns: DataFrame, lexicon: Lexicon = ZH) -> DataFrame:
@@ -33,7 +39,7 @@ def flag_turns(turns: DataFrame, lexicon: Lexicon = ZH) -> DataFrame:
     return turns.withColumns(
         {
             "response_gap_sec": response_gap(F.col("ts_ms")),
-            "is_dropoff": (F.col("turn_index") == F.max("turn_index").over(SESSION)) & (F.col("role") == "assistant"),
+            "is_dropoff": (F.col("turn_index") == F.max("turn_index").over(session())) & (F.col("role") == "assistant"),
             "is_question": content.rlike(lexicon.question),
             "token_estimate": token_estimate(content),
             "content_length": utf16_length(content),
@@ -43,8 +49,8 @@ def flag_turns(turns: DataFrame, lexicon: Lexicon = ZH) -> DataFrame:
 
 def mark_switches(turns: DataFrame) -> DataFrame:
     """Adds is_topic_switch, prev_role and prev_question from topic_segment_index."""
-    before = F.lag("topic_segment_index").over(IN_ORDER)
-    return turns.withColumns({"is_topic_switch": F.coalesce(before != F.col("topic_segment_index"), F.lit(False)), "prev_role": F.lag("role").over(IN_ORDER), "prev_question": F.lag("is_question").over(IN_ORDER)})
+    before = F.lag("topic_segment_index").over(in_order())
+    return turns.withColumns({"is_topic_switch": F.coalesce(before != F.col("topic_segment_index"), F.lit(False)), "prev_role": F.lag("role").over(in_order()), "prev_question": F.lag("is_question").over(in_order())})
 
 
 def asked_then_switched() -> Column:
