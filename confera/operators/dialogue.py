@@ -74,7 +74,7 @@ def slot_references(frames: DataFrame) -> DataFrame:
     """case_id, service, slot of every mention: a bag, not a set."""
     st, key = states(frames), ["case_id", "service"]
     parts = [
-        actions(frames).filter(F.col("slot").isNotNull() & ~F.col("slot").isin(*IGNORED_ACTION_SLOTS)).select(*key, "slot"), frames.select(*key, F.explode("slots").alias("s")).select(*key, "s.slot"), st.select(*key, F.explode(F.map_keys("slot_values")).alias("slot")),
+        actions(frames).filter(F.col("slot").isNotNull() & ~F.col("slot").isin(*IGNORED_ACTION_SLOTS)).select(*key, "slot"), slot_mentions(frames).select(*key, "slot"), st.select(*key, F.explode(F.map_keys("slot_values")).alias("slot")),
         st.select(*key, F.explode("requested_slots").alias("slot")), calls(frames).select(*key, F.explode(F.map_keys("parameters")).alias("slot")),
     ]
     out = parts[0]
@@ -109,14 +109,15 @@ def structured_metrics(frames: DataFrame, schema: DataFrame) -> DataFrame:
     result = frames.filter("results > 0").select("case_id", "turn_index", "service")
     hit = answered_calls(ca, result).agg(F.count(F.lit(1)).alias("hit")).join(ca.agg(F.count(F.lit(1)).alias("n"))).select(js_round(ratio(F.col("hit"), F.col("n")), 4).alias("v"))
     counts = frames.agg(
-        F.count_distinct("case_id").alias("case_count"), F.count_distinct("service").alias("service_count"), F.count(F.lit(1)).alias("frame_count"), F.coalesce(F.sum(F.size("actions")), F.lit(0)).alias("action_count"), F.coalesce(F.sum(F.size("slots")), F.lit(0)).alias("slot_mention_count"),
+        F.count_distinct("case_id").alias("case_count"), F.count_distinct("service").alias("service_count"), F.count(F.lit(1)).alias("frame_count"), F.coalesce(F.sum(F.size("actions")), F.lit(0)).alias("action_count"),
         F.count("state").alias("dialogue_state_count"), F.count("call").alias("service_call_count"), F.count_if(F.col("results") > 0).alias("service_result_count"),
     )
+    mentions = slot_mentions(frames).agg(F.count(F.lit(1)).alias("slot_mention_count"))
     sized = schema.agg(F.count(F.lit(1)).alias("schema_service_count"), F.coalesce(F.sum(F.size("intents")), F.lit(0)).alias("schema_intent_count"), F.coalesce(F.sum(F.size("slots")), F.lit(0)).alias("schema_slot_count"))
     intents = st.filter("active_intent is not null and active_intent not in ('', 'NONE')").select("service", F.col("active_intent").alias("intent"))
     named = lambda df, metric: df.select(F.lit(metric).alias("metric"), F.col("v").cast("double").alias("value"))
     long = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns])).alias("x")).select("x.*")
-    out = long(counts).unionByName(long(sized))
+    out = long(counts).unionByName(long(mentions)).unionByName(long(sized))
     checks = [("schema_service", frames.select("service").distinct(), schema, ["service"]), ("schema_intent", intents, schema.select("service", F.explode("intents").alias("intent")), ["service", "intent"]), ("schema_slot", slot_references(frames), schema.select("service", F.explode("slots").alias("slot")), ["service", "slot"])]
     for name, refs, known, on in checks:
         r = known_rate(refs, known, on)

@@ -63,9 +63,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A document that is a list of messages or holds one under messages; falls back to a message per line."""
     whole = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("v"), F.input_file_name().alias("file"))
     listed = F.when(F.ltrim("v").startswith("["), F.from_json("v", f"array<{_MESSAGE}>")).otherwise(F.from_json("v", f"struct<messages:array<{_MESSAGE}>>")["messages"])
-    docs = whole.withColumn("messages", F.when(F.try_parse_json("v").isNotNull(), listed))
+    docs = whole.withColumn("messages", listed)
     good = docs.filter("messages is not null").select("file", F.posexplode("messages").alias("nth", "m")).withColumn("ingest_seq", F.col("nth").cast("bigint"))
-    lined = docs.filter(F.try_parse_json("v").isNull()).select("file", F.posexplode(F.split("v", r"\r?\n")).alias("nth", "line")).filter(F.trim("line") != "").withColumn("m", F.from_json("line", _MESSAGE)).withColumn("ingest_seq", F.col("nth").cast("bigint"))
+    lined = docs.filter(F.col("messages").isNull() & F.trim("v").rlike(r"(?s)\}\s*\n\s*\{")).select("file", F.posexplode(F.split("v", r"\r?\n")).alias("nth", "line")).filter(F.trim("line") != "").withColumn("m", F.from_json("line", _MESSAGE)).withColumn("ingest_seq", F.col("nth").cast("bigint"))
     return _messages(good.select("m", "nth", "ingest_seq").unionByName(lined.select("m", "nth", "ingest_seq")))
 
 
