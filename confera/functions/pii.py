@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Category, pattern (Java syntax) and replacement, in the order of their use.
@@ -16,13 +16,19 @@ PATTERNS = [
 
 
 def redact(df: DataFrame, column: str = "content", patterns: list[tuple[str, str, str]] = PATTERNS) -> DataFrame:
-    """df with the column redacted, pii_hits (count) and pii_categories (those found, sorted)."""
-    text, hits, found = F.col(column), F.lit(0), []
-    for name, pattern, token in patterns:
-        n = F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
-        hits, text = hits + n, F.regexp_replace(text, pattern, token)
-        found.append(F.when(n > 0, F.lit(name)))
-    return df.withColumns({column: text, "pii_hits": hits, "pii_categories": F.array_sort(F.array_compact(F.array(*found)))})
+    """df with the column redacted, pii_hits (count) and pii_categories (those found, sorted). Each pattern runs once."""
+
+    def step(text: Column, left: list, counts: list[Column]) -> Column:
+        if not left:
+            hits = sum(counts, F.lit(0))
+            found = F.array_sort(F.array_compact(F.array(*[F.when(n > 0, F.lit(name)) for (name, *_), n in zip(patterns, counts)])))
+            return F.struct(text.alias("text"), hits.alias("hits"), found.alias("found"))
+        _, pattern, token = left[0]
+        done = F.struct(F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).alias("n"), F.regexp_replace(text, pattern, token).alias("t"))
+        return F.get(F.transform(F.array(done), lambda s: step(s["t"], left[1:], [*counts, s["n"]])), F.lit(0))
+
+    redacted = df.withColumn("__r", step(F.col(column), patterns, []))
+    return redacted.withColumns({column: F.col("__r.text"), "pii_hits": F.col("__r.hits"), "pii_categories": F.col("__r.found")}).drop("__r")
 
 
 def redaction_report(redacted: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def _messages(records: DataFrame) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A document that is a list of messages or holds one under messages; falls back to a message per line."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("v"), F.input_file_name().alias("file"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"), F.input_file_name().alias("file"))
     listed = F.when(F.ltrim("v").startswith("["), F.from_json("v", f"array<{_MESSAGE}>")).otherwise(F.from_json("v", f"struct<messages:array<{_MESSAGE}>>")["messages"])
     docs = whole.withColumn("messages", listed)
     good = docs.filter("messages is not null").select("file", F.posexplode("messages").alias("nth", "m")).withColumn("ingest_seq", F.col("nth").cast("bigint"))
@@ -110,7 +110,7 @@ _DIALOGUE = "struct<dialogue_id:string,services:array<string>,turns:array<struct
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
     """Schema-guided dialogues, as a list, under dialogues, or one at the root: dialogue struct and its place."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
     one = F.from_json("v", _DIALOGUE)
     wrapped = F.from_json("v", f"struct<dialogues:array<{_DIALOGUE}>>")["dialogues"]
     listed = F.when(F.ltrim("v").startswith("["), F.from_json("v", f"array<{_DIALOGUE}>")).otherwise(F.coalesce(wrapped, F.when(one["dialogue_id"].isNotNull(), F.array(one))))
