@@ -233,4 +233,12 @@ select session_id, seg as topic_segment_index, session_id || '_topic_' || seg as
     "offline_regression": f"with m as (select {r('s.s_acctbal::double / 10000 - c.c_acctbal::double / 10000', 4)} as dl from customer c left join supplier s on s.s_suppkey = c.c_custkey) select count(*) as total, count(dl) as executed, count(*) - count(dl) as skipped, count(*) filter (dl >= 0.03) as improved, count(*) filter (dl <= -0.03) as regressed, {r('avg(dl)', 4)} as avg_delta, count(dl) > 0 and count(*) filter (dl <= -0.03) <= 0 as passed from m",
     "fact_retention": chain(TURNS) + " select f.session_id, f.turn_index as introduced, coalesce(contains(string_agg(a.content, ' ' order by a.turn_index), left(any_value(f.content), 4)), false) as retained from t f left join t a on a.session_id = f.session_id and a.role = 'assistant' and a.turn_index > f.turn_index where f.role = 'user' and f.turn_index <= 2 group by 1, 2",
     "lexicon_toxicity": "with h as (select doc_id, " + " + ".join(f"contains(lower(text), '{w}')::int" for w in _TOXIC) + f" as hits from documents) select doc_id, hits::int as hits, {r('greatest(0, 1 - hits * 0.3::double)', 2)} as score from h where hits > 0",
+    "vector_components": f"with recursive v as (select vec_id, {_UNIT} as v from embeddings), p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where {r(_COS, 4)} >= 0.35), c(vec_id, label) as (select vec_id, vec_id from v union select p.b, c.label from c join p on p.a = c.vec_id) select vec_id, min(label) as cluster from c group by 1",
+    "summary_cards": chain(*FULL) + f""", w as (select (select count(distinct session_id) from x) as ss, (select count(*) from x) as tt, (select {r('avg(emotion)', 1)} from x) as em, (select avg((status = 'achieved')::int) from goals) as gr, o.* from o)
+select 'sessions' as key, ss::varchar as value from w union all select 'turns', tt::varchar from w union all select 'avg_emotion', em::varchar from w union all select 'goal_completion', floor(gr * 100 + 0.5)::int::varchar || '%' from w
+union all select 'avg_gap', avg_response_gap_sec::varchar || 's' from w union all select 'topic_switch_rate', floor(topic_switch_rate * 100 + 0.5)::int::varchar || '%' from w union all select 'question_rate', floor(user_question_rate * 100 + 0.5)::int::varchar || '%' from w""",
+    "synthesis_plan": """with p as (select i, ['goal_failed', 'off_topic_shift', 'recovery_failed'] as modes from range(200) r(i)), q as (select i, case when i % 5 <> 0 then modes[i % 2 + 2] else modes[i % 3 + 1] end as m from p),
+s as (select i, m, i + length(m) as sh, floor((0.68::double + 0.12::double + (i % 4) * 0.04::double) * 100 + 0.5) / 100 as r0 from q), t as (select *, least(0.95::double, r0) as rarity from s)
+select i + 1 as cell, m as failure_mode, ['impatient', 'novice', 'expert', 'anxious', 'loyal'][i % 5 + 1] as persona, ['add_constraint', 'switch_tone', 'inject_noise', 'multi_turn', 'missing_context', 'contradict'][sh % 6 + 1] as operator_1,
+    ['add_constraint', 'switch_tone', 'inject_noise', 'multi_turn', 'missing_context', 'contradict'][(sh + 3) % 6 + 1] as operator_2, rarity, case when rarity >= 0.78 then 'hard' when rarity >= 0.52 then 'medium' else 'easy' end as difficulty from t""",
 }
