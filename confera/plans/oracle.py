@@ -225,7 +225,7 @@ select session_id, seg as topic_segment_index, session_id || '_topic_' || seg as
     "asof_state": chain(_EVENTS) + " select case_id, service, turn_index, state_turn from asof_rows",
     "call_grounding": chain(_EVENTS) + f" select service, count(*) as calls, {r('avg(case when state_turn is null then 0 when sv = v then 1 else 0 end)', 4)} as grounding from asof_rows group by 1",
     "semi_results": chain(_EVENTS) + " select service, count(*) as answered from ca where exists (select 1 from re where re.turn_index // 10 = ca.turn_index // 10 and re.service = ca.service) group by 1",
-    "anti_unknown": "select s_nationkey as key, s_suppkey from supplier where s_nationkey not in (select c_nationkey from customer where c_nationkey % 2 = 0)",
+    "anti_unknown": "select doc_id, lang from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)",
     "tool_turn_counter": chain(_SPANS) + ", w as (select *, coalesce(sum((kind = 'chat' and is_pair)::int) over (partition by trace_id order by start_ms, span_id rows between unbounded preceding and 1 preceding), 0)::bigint as turn_index from sp) select span_id, trace_id, turn_index from w where kind = 'tool'",
     "prior_retrievals": chain(_SPANS) + " select c.span_id, count(b.span_id) as retrievals, arg_max(b.span_id, (b.end_ms, b.span_id)) as last_retrieval from sp c left join sp b on b.trace_id = c.trace_id and b.kind = 'retrieval' and b.end_ms <= c.start_ms where c.kind = 'chat' group by 1",
     "latest_upsert": "select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from events) where k = 1",

@@ -340,9 +340,8 @@ def semi_results(spark, sf_dir):
 
 @query
 def anti_unknown(spark, sf_dir):
-    """References to nations that no customer lives in, as a schema check."""
-    known = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"))
-    return dialogue.unknown_references(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("key")), known.filter("key % 2 = 0"), ["key"])
+    """Documents that no label knows, as references without a definition."""
+    return dialogue.unknown_references(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query

@@ -1,5 +1,6 @@
 """Calibration against recorded agreement, similarity, regression gates and stores."""
 
+import math
 import random
 
 import pytest
@@ -80,6 +81,21 @@ def test_similar_pairs_and_components(spark):
     assert all(comps[a] == comps[b] for a, b in want) and all(comps[k] <= k for k in comps)
 
 
+def test_top_matches_are_exact(spark):
+    rng = random.Random(2)
+    vectors = {k: [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)] for k in range(60)}
+    df = spark.createDataFrame([(k, v) for k, v in vectors.items()] + [(99, None)], "id bigint, v array<double>")
+    got = {(r.query_id, r["rank"]): (r.item_id, r.similarity) for r in similarity.top_matches(df.filter("id % 20 = 0"), df, "id", "v", 3, tile=7).collect()}
+
+    def sim(a, b):
+        n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return math.floor(sum(x * y for x, y in zip(a, b)) / n * 1e4 + 0.5) / 1e4 if n else 0.0
+
+    for q in (0, 20, 40):
+        want = sorted((-sim(vectors[q], v), k) for k, v in vectors.items() if k != q)[:3]
+        assert [got[q, n + 1] for n in range(3)] == [(k, -s) for s, k in want]
+
+
 def test_chain_is_one_component(spark):
     nodes = spark.createDataFrame([(k,) for k in range(50)], "id bigint")
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 48)], "a bigint, b bigint")
