@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -187,3 +188,43 @@ def evidence_range(text: Column) -> Column:
     """session, start and end of 'session:a-b'."""
     num = lambda k: F.try_to_number(F.regexp_extract(text, r":(\d+)-(\d+)", k), F.lit("9999999999")).cast("int")
     return F.struct(F.nullif(F.regexp_extract(text, r"^([^:]+):", 1), F.lit("")).alias("session_id"), num(1).alias("start_turn"), num(2).alias("end_turn"))
+
+
+def _first_object(text: str | None) -> str | None:
+    """The text if it is JSON, else its first balanced object that is; strings and escapes don't count as braces."""
+    if not text:
+        return None
+    try:
+        json.loads(text)
+        return text
+    except ValueError:
+        pass
+    start = text.find("{")
+    while start >= 0:
+        depth, quoted, escaped = 0, False, False
+        for at in range(start, len(text)):
+            c = text[at]
+            if quoted:
+                quoted, escaped = (escaped or c != '"'), (c == "\\" and not escaped)
+            elif c == '"':
+                quoted = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    try:
+                        json.loads(text[start : at + 1])
+                        return text[start : at + 1]
+                    except ValueError:
+                        break
+        start = text.find("{", start + 1)
+    return None
+
+
+def extract_json(text: Column) -> Column:
+    """JSON in the answer of a judge, as text; null if there is none."""
+
+    @F.pandas_udf(StringType())
+    def run(texts):  # noqa: ANN001, ANN202
+        return texts.map(_first_object)
+
+    return run(text)

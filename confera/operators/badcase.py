@@ -88,3 +88,10 @@ def baseline_scores(cases: DataFrame) -> DataFrame:
     left = lambda table: unit4(1 - sum((F.when(F.array_contains("tags", t), w).otherwise(0.0) for t, w in table.items()), F.lit(0.0)))
     cases = cases.withColumns({"objective_score": left(OBJECTIVE_PENALTY), "subjective_score": left(SUBJECTIVE_PENALTY)})
     return cases.withColumn("case_score", unit4((F.col("objective_score") + F.col("subjective_score")) / 2))
+
+
+def match_evidence(evidence: DataFrame, turns: DataFrame, start: int = 20) -> DataFrame:
+    """evidence: session_id, said. The first turn of the session whose beginning it quotes, or that holds it whole."""
+    quoted = F.contains(F.col("said"), truncated(F.col("content"), start)) | F.contains(F.col("content"), F.col("said"))
+    met = evidence.join(turns.select("session_id", "turn_index", "role", "content"), "session_id").filter(quoted)
+    return met.groupBy("session_id", "said").agg(F.min_by(F.struct("turn_index", "role", "content"), "turn_index").alias("t")).select("session_id", "said", "t.*")

@@ -106,3 +106,12 @@ def synthesis_quality(cases: DataFrame, turn_min: int, turn_max: int, accept: fl
     for test, off in parts:
         score = score - F.when(test, off).otherwise(0.0)
     return cases.withColumn("again", again).withColumn("score", unit4(score)).withColumn("accepted", F.col("score") >= accept)
+
+
+def synthesis_baseline(cases: DataFrame) -> DataFrame:
+    """cases: failure_mode, difficulty, rarity, quality. Adds the score that a made case starts from; positive ones at 0.86."""
+    hard = F.when(F.col("difficulty") == "hard", 0.2).when(F.col("difficulty") == "medium", 0.12).otherwise(0.06)
+    rare = F.least(F.lit(0.16), F.coalesce("rarity", F.lit(0.5)) * 0.14)
+    good = F.greatest(F.lit(0.0), (F.coalesce("quality", F.lit(0.7)) - 0.7) * 0.08)
+    score = js_round(F.greatest(F.lit(0.18), F.least(F.lit(0.82), 0.68 - hard - rare + good)), 4)
+    return cases.withColumn("baseline_score", F.when(F.col("failure_mode").isNull(), 0.86).otherwise(score))

@@ -135,3 +135,11 @@ def test_kpis_and_registry(spark):
 def test_depth(spark, n, want):
     df = spark.createDataFrame([("s", k) for k in range(1, n + 1)], "session_id string, turn_index int")
     assert metrics.depth_histogram(df).head().bucket == want
+
+
+def test_evidence_meets_its_turn(spark):
+    from confera.operators.badcase import match_evidence
+
+    t = spark.createDataFrame([("s", 1, "user", "hello there"), ("s", 2, "user", "hello"), ("s", 3, "user", "x" * 40)], "session_id string, turn_index int, role string, content string")
+    e = spark.createDataFrame([("s", "turn 2 said: hello"), ("s", "quote: " + "x" * 20 + "…"), ("s", "ell"), ("s", "nothing")], "session_id string, said string")
+    assert {r.said[:4]: r.turn_index for r in match_evidence(e, t).collect()} == {"turn": 2, "quot": 3, "ell": 1}

@@ -138,6 +138,8 @@ def test_regression(spark):
 def test_synthesis(spark):
     plan = regression.synthesis_plan(spark, 12).collect()
     assert all(0.12 <= r.rarity <= 0.95 for r in plan) and {r.difficulty for r in plan} == {"hard"}
+    made = spark.createDataFrame([(None, "hard", 0.5, 0.9), ("m", "hard", 1.0, 1.0), ("m", "easy", None, None)], "failure_mode string, difficulty string, rarity double, quality double")
+    assert [r.baseline_score for r in regression.synthesis_baseline(made).collect()] == [0.86, 0.364, 0.55]
     cases = spark.createDataFrame([("a", 1, "m", True, "m", 6, True, True, "x" * 100, True, 1), ("b", 2, "m", True, "m", 6, True, True, "x" * 100, True, 1), ("c", 3, None, False, "m", 1, True, False, "y", False, 0)], "case_id string, seq int, cell_mode string, has_cell boolean, failure_mode string, n_turns int, has_user boolean, has_assistant boolean, norm string, covers boolean, operators int")
     got = {r.case_id: (r.score, r.accepted) for r in regression.synthesis_quality(cases, 4, 8).collect()}
     assert got == {"a": (1.0, True), "b": (0.6, False), "c": (0.08, False)}

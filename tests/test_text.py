@@ -74,3 +74,9 @@ def test_redaction_order(spark):
     assert got[0][0] == "mail [REDACTED_EMAIL] now" and got[5][1] == 0
     report = pii.redaction_report(pii.redact(spark.createDataFrame(rows, "content string"))).head()
     assert (report.rows, report.rows_changed, report.hits) == (6, 5, 5) and "email" in report.categories
+
+
+def test_json_in_answers(spark):
+    rows = ['{"a": 1}', 'well: {"a": "}", "b": {"c": 2}} done', "{bad} then {\"ok\": true}", "none", None]
+    got = [r.x for r in spark.createDataFrame([(x,) for x in rows], "t string").select(text.extract_json(F.col("t")).alias("x")).collect()]
+    assert got == ['{"a": 1}', '{"a": "}", "b": {"c": 2}}', '{"ok": true}', None, None]
