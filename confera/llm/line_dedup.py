@@ -63,10 +63,14 @@ def hashed_units(docs: DataFrame, id_col: str, text_col: str, unit: str, min_wor
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per unit to remove: doc_id, unit, start, length, keep_doc_id, keep_unit, keep_start, copies."""
-    found = checkpointed(hashed_units(docs, id_col, text_col, unit, min_words))
+    # Hashed once for the groups and once for the rows: cheaper than writing the units of all documents.
+    found = hashed_units(docs, id_col, text_col, unit, min_words)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("unit").alias("unit"), F.col("start").alias("start"))
     groups = found.groupBy("h1", "h2").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    met = found.join(checkpointed(groups), ["h1", "h2"])
+    # The same key under an expression of its own: the join then has a plain exchange on both sides, and Spark can split
+    # the rows of a hot line over tasks.
+    groups = groups.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), F.col("h2").bitwiseXOR(F.lit(0)).alias("h2"), "keep", "copies")
+    met = found.join(groups, ["h1", "h2"])
     met = met.filter(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("unit") == F.col("keep.unit"))))
     return met.select("doc_id", "unit", "start", "length", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"), F.col("keep.start").alias("keep_start"), "copies")
 
