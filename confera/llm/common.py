@@ -29,10 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder, so that a lost executor costs no recomputation from the start."""
+#: Rows of narrow tables that one file of a checkpoint holds, where their number is known.
+ROWS_A_FILE = 200_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage through the shared folder, so that a lost executor costs no recomputation from the start.
+
+    rows: about how many there are, if known; then there are as many files as they fill, however many partitions df has.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).checkpoint(eager=True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -85,8 +85,9 @@ def fingerprint_links(distinct: DataFrame, *, bits: int = BITS, count: int = PIV
     """distinct: distinct fingerprints in fp. Links (a, b) whose components are those of all pairs within `bits`."""
     table = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(_quarters(bits))])).alias("key"))
     table = table.select("fp", F.col("key.k").alias("k"), F.col("key.part").alias("part"))
-    sizes = checkpointed(table.groupBy("k", "part").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    met = checkpointed(table.join(sizes, ["k", "part"]))
+    sizes = table.groupBy("k", "part").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # The key as an expression of its own: an exchange on both sides of the join, so that hot keys can be split.
+    met = checkpointed(table.join(sizes.select("k", F.col("part").bitwiseXOR(F.lit(0)).alias("part"), "members"), ["k", "part"]))
 
     groups = met.filter(F.col("members") <= small_group).withColumn("row", _pivot_row(F.col("fp"), count))
     groups = groups.groupBy("k", "part").agg(F.collect_list(F.struct("fp", "row")).alias("g"))
@@ -102,7 +103,7 @@ def fingerprint_links(distinct: DataFrame, *, bits: int = BITS, count: int = PIV
     named = large.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(s.cast("bigint")) for s in (steps if bits == 2 else [F.lit(0), *steps[1:]])])).alias("name"))
     if bits == 1:  # a name counts only if a member has it
         named = named.join(large.select(F.col("fp").alias("name")), "name", "left_semi")
-    least = checkpointed(named.groupBy("name").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b != most").select("name", "b"))
+    least = named.groupBy("name").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b != most").select(F.col("name").bitwiseXOR(F.lit(0)).alias("name"), "b")
     stars = named.join(least, "name").filter("fp != b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()
 
@@ -110,11 +111,11 @@ def fingerprint_links(distinct: DataFrame, *, bits: int = BITS, count: int = PIV
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = BITS, count: int = PIVOTS, small_group: int = SMALL_GROUP) -> DataFrame:
     """One row per row: doc_id, fingerprint, component_id."""
     prints = checkpointed(text_batches(docs).select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(fingerprint_links(classes.select("fp"), bits=bits, count=count, small_group=small_group))
-    rooted = checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = checkpointed(rooted.join(named, "root").select("fp", "component_id"))
+    of = rooted.join(named, "root").select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
