@@ -120,7 +120,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without those that a smaller id of their component makes superfluous; repeated ids stay once."""
+    """The rows of docs without those that a smaller id of their component makes superfluous; repeated ids stay once.
+
+    A row of null id stays, as nothing tells it from others of null id.
+    """
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
     left = docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
