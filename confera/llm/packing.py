@@ -1,9 +1,8 @@
 """Best-fit packing by bin completion with branch and bound, over the histogram of piece lengths.
 
 Pieces of one length are interchangeable, so what has to be packed is a histogram of at most `capacity` counts, however many
-documents there are. The search takes the largest length left, lists the undominated fillings of the room beside it (a
-filling that another can replace item for item is dropped), applies one as often as the counts allow, and goes on; the
-waste so far against what a better packing may still waste prunes a branch, and best-fit decreasing is the first incumbent.
+documents there are. The search takes the largest length left, lists the undominated fillings of the room beside it, of any
+number of items and least waste first, applies one as often as the counts allow (later once), and goes on; the waste so far against what a better packing may still waste prunes a branch, and best-fit decreasing is the first incumbent.
 The result is a list of (pattern, times); each piece then finds its place from its rank among the pieces of its length.
 Ranks come from counts per input partition and length, so a length that a third of all pieces share is dealt out like any.
 
@@ -15,8 +14,9 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -72,53 +72,84 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[Pattern
     return [g for groups in open_bins.values() for g in groups]
 
 
-def fillings(counts: np.ndarray, largest: int, room: int, most: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room beside one item of the largest size, least waste first."""
+def fillings(counts: np.ndarray, largest: int, room: int, slack: int) -> Iterator[tuple[int, ...] | None]:
+    """Fillings of the room beside one item of the largest size that waste at most `slack`, of any number of items.
+
+    Least waste first, among equals those of larger items. None stands for a filling that another one dominates: an item
+    left out fits in the place of some of its items, or in the waste.
+    """
     left = counts[: room + 1].copy()
     if largest <= room:
         left[largest] -= 1
-    there = np.flatnonzero(left)
-    if not len(there):
-        return [()]
-    single = int(there[-1])
-    if single == room:
-        return [(single,)]
-    found: list[tuple[int, ...]] = [(single,)]
-    below = np.zeros(room + 1, dtype=np.int64)
-    below[there] = there
-    below = np.maximum.accumulate(below)
-    first = there[(2 * there >= room - single)][::-1]
-    second = below[np.minimum(first, room - first)]
-    lone = (second == first) & (left[first] < 2)
-    second[lone] = below[first[lone] - 1]
-    ok = (second > 0) & (first + second > single)
-    first, second = first[ok], second[ok]
-    if len(first):
-        keep = second > np.maximum.accumulate(np.concatenate([[0], second[:-1]]))
-        first, second = first[keep], second[keep]
-        order = np.lexsort((-second, room - first - second))[:most]
-        found = [(int(a), int(b)) for a, b in zip(first[order], second[order])] + found
-    best = room - sum(found[0])
-    if best and len(there) > 1:
-        triple, waste = None, best
-        least = there[3 * there <= room]
-        for a in least[:: max(1, len(least) // 24)]:  # the least of the three, at some two dozen sizes
-            a = int(a)
-            mid = there[(there >= a) & (2 * there <= room - a)]
-            if not len(mid):
-                continue
-            top = below[room - a - mid]
-            uses = (mid == a).astype(int) + 1
-            ok = (top >= mid) & (left[mid] >= uses) & (left[top] >= np.where(top == mid, uses + 1, 1))
-            gaps = np.where(ok, room - a - mid - top, room)
-            i = int(gaps.argmin())
-            if gaps[i] < waste:
-                triple, waste = (int(top[i]), int(mid[i]), a), int(gaps[i])
-                if not waste:
-                    break
-        if triple:
-            found.insert(0, triple)
-    return sorted(found, key=lambda x: room - sum(x))[:most]
+    sizes = np.flatnonzero(left)[::-1].tolist()
+    if sizes and sizes[0] == room:
+        yield (room,)  # dominates every other
+        return
+    most = [min(int(left[s]), room // s) for s in sizes]
+    # reach[i]: the sums, as bits, that items of sizes[i:] have.
+    whole, reach = (1 << room + 1) - 1, [1] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        sums, n, step = reach[i + 1], most[i], 1
+        while n:
+            take = min(step, n)
+            sums |= sums << take * sizes[i]
+            n, step = n - take, 2 * step
+        reach[i] = sums & whole
+
+    def of_sum(i: int, rest: int) -> Iterator[list[tuple[int, int]]]:
+        if not rest:
+            yield []
+        while rest and i < len(sizes) and reach[i] >> rest & 1:
+            for n in range(min(most[i], rest // sizes[i]), 0, -1):
+                if reach[i + 1] >> rest - n * sizes[i] & 1:
+                    for more in of_sum(i + 1, rest - n * sizes[i]):
+                        yield [(i, n), *more]
+            i += 1
+
+    free = sum(1 << s for s in sizes)
+    for waste in range(min(room, slack) + 1):
+        if reach[0] >> room - waste & 1:
+            for chosen in of_sum(0, room - waste):
+                yield None if _dominated(chosen, sizes, left, free, waste) else tuple(sizes[i] for i, n in chosen for _ in range(n))
+
+
+def _dominated(chosen: list[tuple[int, int]], sizes: list[int], left: np.ndarray, free: int, waste: int) -> bool:
+    ones, many = 0, 0  # sums of one chosen item, and of two or more
+    for i, n in chosen:
+        if int(left[sizes[i]]) == n:
+            free ^= 1 << sizes[i]
+        for _ in range(n):
+            many |= (many | ones) << sizes[i]
+            ones |= 1 << sizes[i]
+    spread, width = (1 | ones) << 1 | many << 1, 1  # one more than the sum, up to the waste more
+    fits, spread = many, spread if waste else 0
+    while width < waste:
+        step = min(width, waste - width)
+        spread |= spread << step
+        width += step
+    return bool((fits | spread) & free)
+
+
+def _steps(state: np.ndarray, largest: int, room: int, slack: int) -> Iterator[tuple[tuple[int, ...], int] | None]:
+    """Fillings and how often to use them: first as often as the counts allow, then once, which leaves no packing out."""
+
+    def all_steps() -> Iterator[tuple[tuple[int, ...], int] | None]:
+        for once in (False, True):
+            for filling in fillings(state, largest, room, slack):
+                if filling is None:
+                    yield None
+                    continue
+                times = min(int(state[x]) // c for x, c in Counter((largest, *filling)).items())
+                if not once:
+                    yield filling, times
+                elif times > 1:
+                    yield filling, 1
+
+    # Drawn in growing parts, each from the start: so the tables of sums don't wait in memory at every depth.
+    at, part = 0, 4
+    while found := list(islice(all_steps(), at, at + part)):
+        yield from found
+        at, part = at + part, 2 * part
 
 
 def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
@@ -129,32 +160,38 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
         return []
     bound, best = lower_bound(counts, capacity), best_fit_decreasing(counts, capacity)
     bins = sum(t for _, t in best)
+
+    def level(state: np.ndarray, wasted: int, used: int):  # noqa: ANN202
+        largest = int(np.flatnonzero(state)[-1])
+        return state, wasted, used, largest, _steps(state, largest, capacity - largest, (bins - 1) * capacity - total - wasted)
+
     path: list[tuple[Pattern, int]] = []
-    stack: list[tuple[int, np.ndarray, int, int, tuple[int, ...] | None, int]] = [(0, counts, 0, 0, None, 0)]
-    while stack and nodes and bins > bound:
-        depth, state, wasted, used, filling, largest = stack.pop()
-        del path[max(0, depth - 1) :]
-        if filling is not None:
-            need: dict[int, int] = defaultdict(int)
-            for x in (largest, *filling):
-                need[x] += 1
-            times = min(int(state[x]) // c for x, c in need.items())
-            state = state.copy()
-            for x, c in need.items():
-                state[x] -= c * times
-            path.append((tuple(sorted(need.items(), reverse=True)), times))
-            wasted, used = wasted + times * (capacity - largest - sum(filling)), used + times
-        if wasted > (bins - 1) * capacity - total:
+    levels = [level(counts, 0, 0)]
+    while levels and nodes and bins > bound:
+        state, wasted, used, largest, steps = levels[-1]
+        step = next(steps, ())
+        if step == ():
+            levels.pop()
+            del path[-1:]
             continue
         nodes -= 1
-        there = np.flatnonzero(state)
-        if not len(there):
+        if step is None:
+            continue
+        filling, times = step
+        wasted, used = wasted + times * (capacity - largest - sum(filling)), used + times
+        if wasted > (bins - 1) * capacity - total:
+            continue
+        need = Counter((largest, *filling))
+        state = state.copy()
+        for x, c in need.items():
+            state[x] -= c * times
+        pattern = (tuple(sorted(need.items(), reverse=True)), times)
+        if not state.any():
             if used < bins:
-                best, bins = list(path), used
+                best, bins = [*path, pattern], used
             continue
-        largest = int(there[-1])
-        for filling in reversed(fillings(state, largest, capacity - largest)):
-            stack.append((depth + 1, state, wasted, used, filling, largest))
+        path.append(pattern)
+        levels.append(level(state, wasted, used))
     return best
 
 

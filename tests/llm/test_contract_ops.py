@@ -200,6 +200,29 @@ def test_bin_completion_against_brute_force():
         assert packing.lower_bound(counts, 30) <= _fewest(items, 30)
 
 
+def test_bin_completion_of_few_short_lengths():
+    # Three of each make 2040 of 2048; best-fit decreasing keeps the lengths apart: 1,100 sequences.
+    counts = np.bincount([350] * 3000 + [330] * 3000, minlength=2049)
+    assert sum(t for _, t in packing.bin_completion(counts)) == 1000
+
+
+def test_fillings_are_the_undominated_ones():
+    rng = random.Random(8)
+    for _ in range(60):
+        room = rng.randint(5, 30)
+        items = sorted((rng.randint(1, 20) for _ in range(8)), reverse=True)
+        every = {tuple(items[i] for i in range(8) if m >> i & 1) for m in range(256)}
+        fits = [f for f in every if sum(f) <= room]
+
+        def parts(f, sizes):  # whether the items of f fit into places of these sizes
+            return not f or any(s >= f[0] and parts(f[1:], (*sizes[:k], s - f[0], *sizes[k + 1 :])) for k, s in enumerate(sizes))
+
+        best = {f for f in fits if not any(g != f and parts(f, g) for g in fits)}
+        counts = np.bincount([*items, 31], minlength=32)
+        got = [f for f in packing.fillings(counts, 31, room, room) if f is not None]
+        assert best <= set(got) and len(got) == len(set(got)) and all(f in fits for f in got)
+
+
 def test_token_store(spark, rows, tmp_path):
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in sstable.token_store(docs_of(spark, rows), tokenizer_path()).collect())
     assert Counter((i, n, c) for _, i, n, c in got) == Counter((i, len(token_ids(t)) + 1, zlib.crc32(le32([*token_ids(t), 1]))) for i, t, _ in rows)
