@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from confera.llm.common import checkpointed, text_batches
+from confera.llm.common import checkpointed, own_name, text_batches
 from confera.llm.components import components
 
 BITS = 2
@@ -110,22 +110,35 @@ def fingerprint_links(distinct: DataFrame, *, bits: int = BITS, count: int = PIV
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = BITS, count: int = PIVOTS, small_group: int = SMALL_GROUP) -> DataFrame:
     """One row per row: doc_id, fingerprint, component_id."""
+    prints, of = _rooted(docs, id_col, text_col, bits=bits, count=count, small_group=small_group)
+    return prints.join(of.drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, *, bits: int = BITS, count: int = PIVOTS, small_group: int = SMALL_GROUP) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp of every row; and fp, root (which names the component, with or without ids), component_id of every fp."""
     prints = checkpointed(text_batches(docs).select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(fingerprint_links(classes.select("fp"), bits=bits, count=count, small_group=small_group))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(named, "root").select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints, rooted.join(named, "root").select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without those that a smaller id of their component makes superfluous; repeated ids stay once.
+    """The rows of docs without those that a smaller id of their component makes superfluous.
 
-    A row of null id stays, as nothing tells it from others of null id.
+    An id that repeats stays once in each component that it is the least of. A row of null id stays, as nothing tells it
+    from others of null id.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    prints, of = _rooted(docs, id_col, text_col, **options)
+    again = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    if not again.isEmpty():  # an id doesn't tell the row: rows meet their components by their own fingerprints
+        fp, root, least, row = (own_name(docs, c) for c in ("fp", "root", "least", "row"))
+        key = F.col(f"`{id_col}`")
+        rows = docs.withColumns({fp: _fingerprints(F.col(f"`{text_col}`")), row: F.when(key.isNull(), F.monotonically_increasing_id())})
+        rows = rows.join(of.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(least)), fp)
+        rows = rows.filter(key.isNull() | (key == F.col(least))).dropDuplicates([id_col, root, row])
+        return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = prints.join(of, "fp")
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    left = docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return left if again.isEmpty() else left.dropDuplicates([id_col])
+    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

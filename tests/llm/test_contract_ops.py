@@ -302,6 +302,15 @@ def test_near_duplicates(spark, rows, small_group):
     assert Counter(r.doc_id for r in stayed if r.doc_id is not None) == Counter({c for _, _, c in want if c is not None})
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join(f"{k}{rng.randrange(900)}" for _ in range(80)) for k in "abcde")
+    # 3 and 7 repeat: 3 with unrelated texts and a copy, 7 with a copy of 1 and a text of its own.
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "s"), (3, c, "s"), (3, d, "s"), (3, d, "s"), (1, a, "s"), (7, a, "s"), (7, e, "s"), (9, c, "s"), (None, None, "s")]
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(docs_of(spark, rows)).collect())
+    assert got == Counter([(None, a), (None, b), (None, b), (None, None), (3, c), (3, d), (1, a), (7, e)])
+
+
 def test_fingerprint_links_find_every_pair(spark):
     rng = random.Random(6)
     points = {rng.getrandbits(64) for _ in range(50)}
