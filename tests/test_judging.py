@@ -67,6 +67,20 @@ def brute_pairs(vectors, least):
     return {(i, j) for i in range(len(vectors)) for j in range(i + 1, len(vectors)) if math.floor(cos(vectors[i], vectors[j]) * 1e4 + 0.5) / 1e4 >= least}
 
 
+def test_similar_pairs_of_many_rows_are_exact(spark):
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(5)]
+    vectors = [[x + rng.gauss(0, 1) for x in centres[k % 5]] for k in range(100)]  # alike at about 0.5
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors)], "id bigint, v array<double>")
+    zeros = spark.range(1000, 21_000).selectExpr("id", "array_repeat(0.0D, 64) as v")
+    got = [(r.a, r.b) for r in similarity.similar_pairs(df.unionByName(zeros), "id", "v", 0.35).collect()]
+    want = brute_pairs(vectors, 0.35)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    banded = {(r.a, r.b) for r in similarity.similar_pairs(df, "id", "v", 0.35, exact_below=0).collect()}
+    print("pairs", len(want), "of them in the default bands", len(banded))
+    assert banded <= want
+
+
 def test_similar_pairs_and_components(spark):
     rng = random.Random(1)
     centres = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(6)]
