@@ -1,13 +1,20 @@
-"""Substring deduplication by line hashing: of equal units in all documents the earliest ranked one stays.
-
-Units are lines (or paragraphs); a unit is normalised (A-Z lower-cased, white space folded) and hashed to 128 bits. Digests
-are grouped globally with the least (document, place) and the count combined before the shuffle, so a line that a third of
-all documents share is one row a task. Only digests met twice or more are joined back to the units. Offsets are those in
-the original text, in code points; removed spans carry them, and so does each document's list of spans.
-
-Defined results: units of fewer than `min_words` words stay. A null text has no units and stays null. Null ids rank last.
-Rows that repeat an id and a text hold the same places, so neither outranks the other and both keep theirs. A text that
-loses every unit is empty. An empty table gives an empty result. Other columns are ignored or passed on as they are.
+"""Substring deduplication by hashing of lines, paragraphs or clauses: the earliest ranked occurrence of a unit stays.
+
+Units tile the text: a line ends with its line end, a clause also with the white space after a mark. A unit is normalised
+(A-Z lower-cased, white space folded) and hashed to 128 bits. Digests are grouped globally with the least rank and the count
+combined before the shuffle, so a line that a third of all documents share is one row a task. Only digests met twice or more
+are joined back to the units. Offsets are those in the original text, in code points.
+
+Every unit with a word takes part, however short. `min_run_words` tells what goes: a unit goes if the run of adjacent units
+around it that have an earlier occurrence holds that many words; 1 (the default) takes out every repeated unit. A passage
+that is copied into other documents seldom begins at a line, so clauses with a run of some length find it and leave lone
+short units, which repeat in unrelated texts too, where they are.
+
+Defined results: a null text has no units and stays null. Rank is by id (null ids last), then by the hash of the whole text,
+then by place, so one occurrence stays among null or repeated ids too. Rows that repeat both id and text are one document:
+their units are listed once, and each of the rows is cut alike. A text that loses every unit is empty. A very long text is
+one row of its own in a batch to Python and is never split. An empty table gives an empty result. Other columns are ignored
+or passed on as they are.
 """
 
 from __future__ import annotations
@@ -17,71 +24,83 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confera.llm.common import checkpointed, own_name, text_batches
 
-#: Shorter lines (headings, licence lines, table rows) are left alone: they repeat in clean documents too.
-MIN_WORDS = 25
-_BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")}
+_END = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+"), "clause": re.compile(r"[.,;:!?][\x20\x09-\x0D]+|\n")}
 
 
 def units(text: str, unit: str = "line") -> Iterator[tuple[int, str]]:
-    """Start and text of each unit, without its line end."""
+    """Start and text of each unit, with its end."""
     at = 0
-    for m in _BREAK[unit].finditer(text):
-        yield at, text[at : m.start()]
+    for m in _END[unit].finditer(text):
+        yield at, text[at : m.end()]
         at = m.end()
-    yield at, text[at:]
+    if at < len(text):
+        yield at, text[at:]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def hashed_units(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int) -> DataFrame:
-    """doc_id, unit (number from 0), start, length, h1, h2 of every unit of enough words."""
+_UNIT = {"unit": pa.int32(), "k": pa.int32(), "words": pa.int32(), "start": pa.int64(), "length": pa.int64(), "h1": pa.int64(), "h2": pa.int64()}
+
+
+def hashed_units(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
+    """doc_id, text_hash, unit (number from 0), k (number among units with a word), words, start, length, h1, h2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, text in enumerate(batch.column("text")):
+            for row, text in enumerate(batch.column("text")):
+                k = 0
                 for n, (start, part) in enumerate(units(text.as_py() or "", unit)):
-                    words = part.encode("utf-8", "surrogatepass").lower().split()
-                    if len(words) >= max(1, min_words):
+                    if words := part.encode("utf-8", "surrogatepass").lower().split():
                         h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        rows.append((k, n, start, len(part), _signed(h >> 64), _signed(h & (1 << 64) - 1)))
+                        rows.append((row, n, k, len(words), start, len(part), _signed(h >> 64), _signed(h & (1 << 64) - 1)))
+                        k += 1
             if rows:
                 of, *rest = zip(*rows)
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), *(pa.array(c, t) for c, t in zip(rest, kinds))], names=["doc_id", "unit", "start", "length", "h1", "h2"])
+                of = pa.array(of)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("text_hash").take(of), *(pa.array(c, t) for c, t in zip(rest, _UNIT.values()))], names=["doc_id", "text_hash", *_UNIT])
 
     kind = dict(docs.dtypes)[id_col]
-    return text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, unit int, start bigint, length bigint, h1 bigint, h2 bigint")
+    texts = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, text_hash bigint, unit int, k int, words int, start bigint, length bigint, h1 bigint, h2 bigint")
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit to remove: doc_id, unit, start, length, keep_doc_id, keep_unit, keep_start, copies."""
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, unit: str = "line", min_run_words: int = 1) -> DataFrame:
+    """One row per unit to remove: doc_id, text_hash, unit, start, length, keep_doc_id, keep_unit, keep_start, copies."""
     # Hashed once for the groups and once for the rows: cheaper than writing the units of all documents.
-    found = hashed_units(docs, id_col, text_col, unit, min_words)
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("unit").alias("unit"), F.col("start").alias("start"))
+    found = hashed_units(docs, id_col, text_col, unit)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"), F.col("unit").alias("unit"), F.col("start").alias("start"))
     groups = found.groupBy("h1", "h2").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     # The same key under an expression of its own: the join then has a plain exchange on both sides, and Spark can split
     # the rows of a hot line over tasks.
     groups = groups.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), F.col("h2").bitwiseXOR(F.lit(0)).alias("h2"), "keep", "copies")
-    met = found.join(groups, ["h1", "h2"])
-    met = met.filter(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("unit") == F.col("keep.unit"))))
-    return met.select("doc_id", "unit", "start", "length", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"), F.col("keep.start").alias("keep_start"), "copies")
+    first = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash")) & (F.col("unit") == F.col("keep.unit"))
+    again = found.join(groups, ["h1", "h2"]).filter(~first)
+    place = ["doc_id", "text_hash", "unit", "start", "length", "k", "words"]
+    # Rows that repeat id and text are one document from here on, which also keeps every window below within one text.
+    again = again.select(*place, F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"), F.col("keep.start").alias("keep_start"), "copies").distinct()
+    if min_run_words > 1:
+        text = ["doc_id", "text_hash"]
+        again = again.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*text).orderBy("k")))
+        again = again.withColumn("run_words", F.sum("words").over(Window.partitionBy(*text, "run"))).filter(F.col("run_words") >= min_run_words)
+    return again.select(*place[:5], "keep_doc_id", "keep_unit", "keep_start", "copies")
 
 
 def remove_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removed units cut out, and removed_spans: (start, length) in the original text, ascending.
 
-    Only documents that lose something meet the spans; a cut takes the unit and the line end after it.
+    A row meets the spans of its own id (null too) and its own text, so no text is cut by the spans of another.
     """
-    spans_col, gone = own_name(docs, "spans"), own_name(docs, "gone")
-    spans = checkpointed(removed.groupBy(F.col("doc_id").alias(gone)).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias(spans_col)))
+    spans_col, gone, hash_col = (own_name(docs, c) for c in ("spans", "gone", "hash"))
+    spans = removed.groupBy(F.col("doc_id").alias(gone), F.col("text_hash").alias(hash_col)).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias(spans_col))
+    spans = checkpointed(spans)
 
     @F.pandas_udf("string")
     def cut(texts, spans):  # noqa: ANN001, ANN202
@@ -89,22 +108,25 @@ def remove_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", te
 
         out = []
         for text, own in zip(texts, spans):
-            if text is None or own is None or not len(own):
-                out.append(text)
+            if text is None:
+                out.append(None)
                 continue
             kept, at = [], 0
             for s in own:
                 kept.append(text[at : s["start"]])
-                at = min(len(text), s["start"] + s["length"] + 1)
+                at = s["start"] + s["length"]
             kept.append(text[at:])
             out.append("".join(kept))
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, F.col(id_col) == F.col(gone), "left")
-    text = F.when(F.col(spans_col).isNull(), F.col(f"`{text_col}`")).otherwise(cut(F.col(f"`{text_col}`"), F.col(spans_col)))
+    text = F.col(f"`{text_col}`")
+    joined = docs.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col(gone)) & (F.xxhash64(text) == F.col(hash_col)), "left")
+    # Texts that lose nothing go to Python as nulls.
+    loses = F.col(spans_col).isNotNull()
+    shorter = F.when(loses, cut(F.when(loses, text), F.col(spans_col))).otherwise(text)
     out = "removed_spans" if "removed_spans" not in docs.columns else spans_col + "_removed"
-    return joined.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns], F.coalesce(F.col(spans_col), F.array().cast("array<struct<start:bigint,length:bigint>>")).alias(out))
+    return joined.select(*[(shorter.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns], F.coalesce(F.col(spans_col), F.array().cast("array<struct<start:bigint,length:bigint>>")).alias(out))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    return remove_units(docs, repeated_units(docs, id_col, text_col, unit=unit, min_words=min_words), id_col, text_col)
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, unit: str = "line", min_run_words: int = 1) -> DataFrame:
+    return remove_units(docs, repeated_units(docs, id_col, text_col, unit=unit, min_run_words=min_run_words), id_col, text_col)

@@ -38,9 +38,18 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
 
 
+#: Words of a passage that op3 takes out: of a copied passage of 50 words, about as many lie in clauses that it holds whole.
+PASSAGE_WORDS = 30
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line that goes, with its place in the original text and that of the line that stays."""
-    return repeated_units(table(spark, sf_dir, "documents"))
+    """One row per clause that goes with its passage, with its place in the original text and that of the one that stays."""
+    return repeated_units(table(spark, sf_dir, "documents"), unit="clause", min_run_words=PASSAGE_WORDS).drop("text_hash")
+
+
+def line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator by its defaults: every repeated line with a word goes, however short."""
+    return repeated_units(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -103,8 +112,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_token_store": op10_token_store,
+    "line_dedup_every_line": line_dedup_every_line,
 }
 
+
+def _units_sql(end: str) -> str:
+    """Units that end with what the pattern matches; their places, words and normalised texts, with the rank of each."""
+    return rf"""
+with cut as (select doc_id, string_split(regexp_replace(text, '({end})', '\1' || chr(57344), 'g'), chr(57344)) as parts from documents),
+units as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as unit from cut),
+placed as (select doc_id, unit::int as unit, sum(length(part)) over (partition by doc_id order by unit)::bigint - length(part) as start, length(part) as length,
+    trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from units),
+ranked as (select *, len(string_split(norm, ' ')) as words, row_number() over (partition by doc_id order by unit) as k, first_value(doc_id) over w as keep_doc_id, first_value(unit) over w as keep_unit,
+    first_value(start) over w as keep_start, count(*) over (partition by norm) as copies, row_number() over w as nth from placed where norm <> '' window w as (partition by norm order by doc_id, unit)),
+again as (select *, k - row_number() over (partition by doc_id order by k) as run from ranked where nth > 1)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
 with cut as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
@@ -117,14 +140,11 @@ fits as (select p.page_id, p.host, p.path, r.rule, r.rverdict, row_number() over
 select page_id, host, path, rule, case when rule is not null then rverdict
     when host = 'spam-farm.example.org' or host like '%.spam-farm.example.org' then 'block' else 'allow' end as verdict
 from fits where k = 1""",
-    "op3_line_dedup": r"""
-with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as unit from documents),
-placed as (select doc_id, unit::int as unit, sum(length(line) + 1) over (partition by doc_id order by unit)::bigint - length(line) - 1 as start, length(line) as length,
-    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from lines),
-ranked as (select *, first_value(doc_id) over w as keep_doc_id, first_value(unit) over w as keep_unit, first_value(start) over w as keep_start,
-    count(*) over (partition by norm) as copies, row_number() over w as k from placed where len(string_split(norm, ' ')) >= 25
-    window w as (partition by norm order by doc_id, unit))
-select doc_id, unit, start, length, keep_doc_id, keep_unit, keep_start, copies from ranked where k > 1""",
+    "op3_line_dedup": _units_sql(r"[.,;:!?][\x20\x09-\x0D]+|\n") + f""",
+runs as (select *, sum(words) over (partition by doc_id, run) as run_words from again)
+select doc_id, unit, start, length, keep_doc_id, keep_unit, keep_start, copies from runs where run_words >= {PASSAGE_WORDS}""",
+    "line_dedup_every_line": _units_sql(r"\n") + """
+select doc_id, unit, start, length, keep_doc_id, keep_unit, keep_start, copies from again""",
     "op4_revisits": r"""
 with p as (select page_id, 1600000000 + page_id * 600 as t0, substr(md5(coalesce(html, '')), 1, 12) as tag, length(html) as n, regexp_replace(url, '#.*$', '') as bare from pages),
 h as (select *, regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1) as head from p),

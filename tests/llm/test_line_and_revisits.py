@@ -13,32 +13,65 @@ def _norm(line):
     return " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
 
 
-def test_line_dedup(spark):
-    long_, other = " ".join(f"w{k}" for k in range(30)), " ".join(f"ü{k}" for k in range(40))
-    rows = [(5, f"head\n{long_}\ntail", "s"), (3, f"x\n{other}\n{long_.upper()}  \n{long_}", "s"), (9, f"{long_}\n\n{other}", "s"), (7, None, "s"), (8, "", "s"), (1, "short\nshort", "s"), (2, "short", "s"), (None, other, "s"), (11, long_.replace(" ", "\t") + "\n" + other, "s")]
+def _cut(text, end):
+    at = 0
+    for m in re.finditer(end, text):
+        yield text[at : m.end()]
+        at = m.end()
+    if at < len(text):
+        yield text[at:]
+
+
+def _expected(spark, rows, end, least):
+    """Brute force: for each distinct row of id and text the units that go, and its text without them."""
+    docs = list(dict.fromkeys((i, t) for i, t, _ in rows))
+    hashes = [r[0] for r in spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "k int, t string").orderBy("k").selectExpr("xxhash64(t)").collect()]
+    ranked = sorted(zip(docs, hashes), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[1]))
+    first, copies, want, left = {}, Counter(), [], {}
+    times = Counter((i, t) for i, t, _ in rows)
+    for (i, t), _ in ranked:
+        at, run, marked = 0, [], []
+        for n, part in enumerate(_cut(t or "", end)):
+            key = _norm(part)
+            if key:
+                copies[key] += times[(i, t)]
+                run = [*run, (n, at, len(part), key)] if key in first else []
+                if run:
+                    marked.append(run)
+                first.setdefault(key, (i, n, at))
+            at += len(part)
+        gone = {u for run in marked for u in run if sum(len(x[3].split()) for x in max((r for r in marked if r[0] == run[0]), key=len)) >= least}
+        want += [(i, n, at, m, *first[key], key) for n, at, m, key in gone]
+        cuts = {a: m for _, a, m, _ in gone}
+        left[(i, t)] = None if t is None else "".join(c for k, c in enumerate(t) if not any(a <= k < a + m for a, m in cuts.items()))
+    return Counter((*w[:7], copies[w[7]]) for w in want), left
+
+
+@pytest.mark.parametrize(("unit", "end", "least"), [("line", r"\n", 1), ("line", r"\n", 6), ("clause", r"[.,;:!?][\x20\x09-\x0D]+|\n", 4), ("clause", r"[.,;:!?][\x20\x09-\x0D]+|\n", 1), ("paragraph", r"\n[ \t\r]*(?:\n[ \t\r]*)+", 1)])
+def test_line_dedup_against_brute_force(spark, unit, end, least):
+    import random
+
+    rng = random.Random(3)
+    parts = ["one", "Two words.", "a b c d e, ", "été  ß\t日本. ", "x", ", ", "\n", "\n\n", "\n \n", " ", "end!", "A B C", "tail: "]
+    rows = [(rng.choice([1, 2, 3, 4, 5, 5, 6, None, None]), "".join(rng.choice(parts) for _ in range(rng.randrange(25))), "s") for _ in range(40)]
+    rows += [(8, None, "s"), (None, None, "s"), (9, "", "s"), (10, " \n\n ", "s"), rows[0], rows[0], rows[5], (11, "very long line " * 20_000 + "\nAnd on.", "s"), (5, "completely other text that must stay whole please", "s"), (12, "and on.", "s")]
     docs = docs_of(spark, rows)
-    got = line_dedup.repeated_units(docs).collect()
-    first, want = {}, Counter()
-    copies = Counter()
-    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0])):
-        at = 0
-        for k, line in enumerate((t or "").split("\n")):
-            key = _norm(line)
-            if len(key.split()) >= line_dedup.MIN_WORDS:
-                copies[key] += 1
-                if key in first:
-                    want[(i, k, at, len(line), *first[key], key)] += 1
-                first.setdefault(key, (i, k, at))
-            at += len(line) + 1
-    assert Counter(tuple(r) for r in got) == Counter({(*w[:7], copies[w[7]]): n for w, n in want.items()})
-    out = {r.doc_id: r for r in line_dedup.substring_dedup(docs).collect()}
-    assert out[3].text == rows[1][1].split("\n" + long_)[0] or long_ not in out[3].text
-    assert out[5].text == "head\ntail" and [tuple(s) for s in out[5].removed_spans] == [(5, len(long_))]
-    assert out[7].text is None and out[8].text == "" and out[1].text == "short\nshort" and out[11].text == ""
-    assert set(out[5].asDict()) == {*docs.columns, "removed_spans"}
-    assert line_dedup.substring_dedup(docs.limit(0)).count() == 0
-    paragraphs = docs_of(spark, [(1, f"{long_}\nmore\n\n{other}", "s"), (2, f"a\n\n{long_}\nmore\n\nb", "s")])
-    assert [(r.doc_id, r.start, r.length) for r in line_dedup.repeated_units(paragraphs, unit="paragraph").collect()] == [(2, 3, len(long_) + 5)]
+    want, left = _expected(spark, rows, end, least)
+    got = line_dedup.repeated_units(docs, unit=unit, min_run_words=least)
+    assert Counter(tuple(r) for r in got.drop("text_hash").collect()) == want and want
+    out = line_dedup.substring_dedup(docs, unit=unit, min_run_words=least)
+    assert out.columns == [*docs.columns, "removed_spans"]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, left[(i, t)]) for i, t, _ in rows)
+    assert line_dedup.substring_dedup(docs.limit(0), unit=unit).count() == 0
+
+
+def test_line_dedup_of_clashing_ids(spark):
+    other = "completely other text that must stay whole please"
+    rows = [(5, "head\nsame line here\ntail", "s"), (3, "same line here", "s"), (5, other, "s"), (None, "same line here\nx", "s"), (None, "x", "s")]
+    out = Counter((r.doc_id, r.text) for r in line_dedup.substring_dedup(docs_of(spark, rows)).collect())
+    # Of "x" one of the two rows of null id keeps it, by the hash of the whole text.
+    assert out[(5, "head\ntail")] == out[(3, "same line here")] == out[(5, other)] == 1
+    assert sorted(t for (i, t), n in out.items() if i is None) == ["", "x"]
 
 
 def _canon(u):
