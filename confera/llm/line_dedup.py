@@ -46,22 +46,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_UNIT = {"unit": pa.int32(), "k": pa.int32(), "words": pa.int32(), "start": pa.int64(), "length": pa.int64(), "h1": pa.int64(), "h2": pa.int64()}
+_UNIT = {"unit": pa.int32(), "words": pa.int32(), "start": pa.int64(), "length": pa.int32(), "h1": pa.int64(), "h2": pa.int64()}
 
 
-def hashed_units(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
-    """doc_id, text_hash, unit (number from 0), k (number among units with a word), words, start, length, h1, h2."""
+def hashed_units(docs: DataFrame, id_col: str, text_col: str, unit: str, *, once: bool = False) -> DataFrame:
+    """doc_id, text_hash, unit (number among units with a word, from 0), words, start, length, h1, h2.
+
+    once: rows that repeat id and text give their units once a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
             rows = []
             for row, text in enumerate(batch.column("text")):
-                k = 0
-                for n, (start, part) in enumerate(units(text.as_py() or "", unit)):
+                if once:
+                    key = (batch.column("doc_id")[row].as_py(), batch.column("text_hash")[row].as_py())
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                n = 0
+                for start, part in units(text.as_py() or "", unit):
                     if words := part.encode("utf-8", "surrogatepass").lower().split():
                         h = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        rows.append((row, n, k, len(words), start, len(part), _signed(h >> 64), _signed(h & (1 << 64) - 1)))
-                        k += 1
+                        rows.append((row, n, len(words), start, len(part), _signed(h >> 64), _signed(h & (1 << 64) - 1)))
+                        n += 1
             if rows:
                 of, *rest = zip(*rows)
                 of = pa.array(of)
@@ -69,28 +78,27 @@ def hashed_units(docs: DataFrame, id_col: str, text_col: str, unit: str) -> Data
 
     kind = dict(docs.dtypes)[id_col]
     texts = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, text_hash bigint, unit int, k int, words int, start bigint, length bigint, h1 bigint, h2 bigint")
+    return texts.mapInArrow(run, f"doc_id {kind}, text_hash bigint, unit int, words int, start bigint, length int, h1 bigint, h2 bigint")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, unit: str = "line", min_run_words: int = 1) -> DataFrame:
-    """One row per unit to remove: doc_id, text_hash, unit, start, length, keep_doc_id, keep_unit, keep_start, copies."""
-    # Hashed once for the groups and once for the rows: cheaper than writing the units of all documents.
-    found = hashed_units(docs, id_col, text_col, unit)
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"), F.col("unit").alias("unit"), F.col("start").alias("start"))
-    groups = found.groupBy("h1", "h2").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    """One row per unit to remove: doc_id, text_hash, start, length, words, keep_doc_id, keep_start, copies."""
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"), F.col("start").alias("start"))
+    groups = hashed_units(docs, id_col, text_col, unit).groupBy("h1", "h2").agg(F.min(rank).alias("keep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     # The same key under an expression of its own: the join then has a plain exchange on both sides, and Spark can split
     # the rows of a hot line over tasks.
     groups = groups.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), F.col("h2").bitwiseXOR(F.lit(0)).alias("h2"), "keep", "copies")
-    first = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash")) & (F.col("unit") == F.col("keep.unit"))
-    again = found.join(groups, ["h1", "h2"]).filter(~first)
-    place = ["doc_id", "text_hash", "unit", "start", "length", "k", "words"]
-    # Rows that repeat id and text are one document from here on, which also keeps every window below within one text.
-    again = again.select(*place, F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"), F.col("keep.start").alias("keep_start"), "copies").distinct()
+    first = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash")) & (F.col("start") == F.col("keep.start"))
+    # Hashed once more for the rows: cheaper than writing the units of all documents.
+    again = hashed_units(docs, id_col, text_col, unit, once=True).join(groups, ["h1", "h2"]).filter(~first)
+    again = again.select("doc_id", "text_hash", "unit", "start", "length", "words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "copies")
+    # Dealt by text: what follows stays within one text, of which the tasks above have left a copy each at most.
+    again = again.repartition("doc_id", "text_hash").distinct()
     if min_run_words > 1:
         text = ["doc_id", "text_hash"]
-        again = again.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*text).orderBy("k")))
+        again = again.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy(*text).orderBy("unit")))
         again = again.withColumn("run_words", F.sum("words").over(Window.partitionBy(*text, "run"))).filter(F.col("run_words") >= min_run_words)
-    return again.select(*place[:5], "keep_doc_id", "keep_unit", "keep_start", "copies")
+    return again.select("doc_id", "text_hash", "start", "length", "words", "keep_doc_id", "keep_start", "copies")
 
 
 def remove_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +133,7 @@ def remove_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", te
     loses = F.col(spans_col).isNotNull()
     shorter = F.when(loses, cut(F.when(loses, text), F.col(spans_col))).otherwise(text)
     out = "removed_spans" if "removed_spans" not in docs.columns else spans_col + "_removed"
-    return joined.select(*[(shorter.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns], F.coalesce(F.col(spans_col), F.array().cast("array<struct<start:bigint,length:bigint>>")).alias(out))
+    return joined.select(*[(shorter.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns], F.coalesce(F.col(spans_col), F.array().cast("array<struct<start:bigint,length:int>>")).alias(out))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, unit: str = "line", min_run_words: int = 1) -> DataFrame:

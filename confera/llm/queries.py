@@ -121,9 +121,9 @@ def _units_sql(end: str) -> str:
     return rf"""
 with cut as (select doc_id, string_split(regexp_replace(text, '({end})', '\1' || chr(57344), 'g'), chr(57344)) as parts from documents),
 units as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as unit from cut),
-placed as (select doc_id, unit::int as unit, sum(length(part)) over (partition by doc_id order by unit)::bigint - length(part) as start, length(part) as length,
+placed as (select doc_id, unit::int as unit, sum(length(part)) over (partition by doc_id order by unit)::bigint - length(part) as start, length(part)::int as length,
     trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from units),
-ranked as (select *, len(string_split(norm, ' ')) as words, row_number() over (partition by doc_id order by unit) as k, first_value(doc_id) over w as keep_doc_id, first_value(unit) over w as keep_unit,
+ranked as (select *, len(string_split(norm, ' '))::int as words, row_number() over (partition by doc_id order by unit) as k, first_value(doc_id) over w as keep_doc_id,
     first_value(start) over w as keep_start, count(*) over (partition by norm) as copies, row_number() over w as nth from placed where norm <> '' window w as (partition by norm order by doc_id, unit)),
 again as (select *, k - row_number() over (partition by doc_id order by k) as run from ranked where nth > 1)"""
 
@@ -142,9 +142,9 @@ select page_id, host, path, rule, case when rule is not null then rverdict
 from fits where k = 1""",
     "op3_line_dedup": _units_sql(r"[.,;:!?][\x20\x09-\x0D]+|\n") + f""",
 runs as (select *, sum(words) over (partition by doc_id, run) as run_words from again)
-select doc_id, unit, start, length, keep_doc_id, keep_unit, keep_start, copies from runs where run_words >= {PASSAGE_WORDS}""",
+select doc_id, start, length, words, keep_doc_id, keep_start, copies from runs where run_words >= {PASSAGE_WORDS}""",
     "line_dedup_every_line": _units_sql(r"\n") + """
-select doc_id, unit, start, length, keep_doc_id, keep_unit, keep_start, copies from again""",
+select doc_id, start, length, words, keep_doc_id, keep_start, copies from again""",
     "op4_revisits": r"""
 with p as (select page_id, 1600000000 + page_id * 600 as t0, substr(md5(coalesce(html, '')), 1, 12) as tag, length(html) as n, regexp_replace(url, '#.*$', '') as bare from pages),
 h as (select *, regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1) as head from p),

@@ -38,13 +38,13 @@ def _expected(spark, rows, end, least):
                 run = [*run, (n, at, len(part), key)] if key in first else []
                 if run:
                     marked.append(run)
-                first.setdefault(key, (i, n, at))
+                first.setdefault(key, (i, at))
             at += len(part)
         gone = {u for run in marked for u in run if sum(len(x[3].split()) for x in max((r for r in marked if r[0] == run[0]), key=len)) >= least}
-        want += [(i, n, at, m, *first[key], key) for n, at, m, key in gone]
+        want += [(i, at, m, len(key.split()), *first[key], key) for _, at, m, key in gone]
         cuts = {a: m for _, a, m, _ in gone}
         left[(i, t)] = None if t is None else "".join(c for k, c in enumerate(t) if not any(a <= k < a + m for a, m in cuts.items()))
-    return Counter((*w[:7], copies[w[7]]) for w in want), left
+    return Counter((*w[:6], copies[w[6]]) for w in want), left
 
 
 @pytest.mark.parametrize(("unit", "end", "least"), [("line", r"\n", 1), ("line", r"\n", 6), ("clause", r"[.,;:!?][\x20\x09-\x0D]+|\n", 4), ("clause", r"[.,;:!?][\x20\x09-\x0D]+|\n", 1), ("paragraph", r"\n[ \t\r]*(?:\n[ \t\r]*)+", 1)])
