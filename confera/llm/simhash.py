@@ -1,17 +1,22 @@
 """SimHash near-duplicates: 64-bit fingerprints of 3-word shingles, linked at few differing bits, by pivot distance tables.
 
-Every distinct fingerprint gets a row of a pivot table: its Hamming distances to many fixed reference fingerprints. By the
-triangle inequality two fingerprints whose rows differ by more than the limit in any coordinate can't link; such pairs are
-discarded, and survivors are verified on the fingerprints themselves. Pivots alone would leave a scan of all pairs, so
-pairs are first sought among fingerprints that agree on enough of four 16-bit quarters: at most `bits` quarters can hold a
-differing bit, so linked fingerprints share the others (an exact rule, no sampling). A group of fingerprints with one such
-key that is larger than `small_group` is not compared pair by pair: each of its members names itself and its one-bit
-neighbours, and two members link exactly if they name a common one, so linking each to the least that names it keeps every
-component with a number of links in proportion to the members. Components follow by star contraction over representatives.
+Every distinct fingerprint gets a row of a pivot table: its Hamming distances to many fixed reference fingerprints. The
+references come in families: one spread by a hash, and the same with all bits of one 16-bit quarter turned. By the triangle
+inequality linked fingerprints differ by at most `bits` in every coordinate; and as the difference between two coordinates
+of a family is the distance within one quarter, and at most `bits` quarters of a linked pair hold a differing bit, in all
+other quarters a linked pair has no coordinate difference at all. So the table itself is the search: fingerprints are dealt
+by their coordinates over each choice of quarters that a linked pair may share, pairs that meet nowhere are discarded with
+no comparison, and a fingerprint that meets none is done. With ten families the coordinates of two quarters tell apart about
+2^31 classes, so few unlinked pairs survive, at any size of the table.
+
+Survivors are verified through references of their own: each names itself and its one-bit neighbours, and two of them are
+within two bits exactly if they name a common one. Each is linked to the least that names it, which keeps every component
+with a number of links in proportion to the members, however many near copies a group has; no pairs of a group are listed.
+Components follow by star contraction over representatives.
 
 Defined results: a null or blank text has fingerprint zero and links like any other. Repeated rows give a row each. Null
-ids rank last; a component of null ids alone has a null component_id. An empty table gives an empty result. Other columns
-are ignored, whatever their names.
+ids rank last; a component of null ids alone has a null component_id. A very long text is hashed in blocks within its row.
+An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -29,9 +34,8 @@ from confera.llm.common import checkpointed, own_name, text_batches
 from confera.llm.components import components
 
 BITS = 2
-PIVOTS = 16
-#: Largest group that is compared pair by pair; larger ones take the exact way by common neighbours.
-SMALL_GROUP = 32
+#: Families of reference fingerprints; each has five.
+FAMILIES = 10
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -58,67 +62,62 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
 
-def pivots(count: int = PIVOTS) -> list[int]:
-    """Reference fingerprints, spread by the hash itself; as signed 64-bit numbers."""
-    return [x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(f"pivot {i}".encode(), 0) for i in range(count))]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _pivot_row(fp: Column, count: int) -> Column:
-    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots(count)])
+_QUARTERS = [0xFFFF << 16 * q for q in range(4)]
 
 
-def _quarters(bits: int) -> list[int]:
-    """Masks of the quarters that fingerprints within `bits` must share some choice of; as signed 64-bit numbers."""
-    if not 0 <= bits <= 3:
-        raise ValueError("0 to 3 differing bits")
-    masks = [sum(0xFFFF << 16 * q for q in pick) for pick in combinations(range(4), 4 - bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def pivots(families: int = FAMILIES) -> list[int]:
+    """Reference fingerprints, five a family: one spread by the hash itself, then it with each quarter turned; signed."""
+    bases = [xxhash.xxh64_intdigest(f"pivot {i}".encode(), 0) for i in range(families)]
+    return [_signed(x) for b in bases for x in (b, *(b ^ m for m in _QUARTERS))]
 
 
-def _near(x: Column, y: Column, bits: int) -> Column:
-    """Discards by the largest coordinate difference, then verifies."""
-    close = F.forall(F.zip_with(x["row"], y["row"], lambda a, b: F.abs(a.cast("int") - b.cast("int")) <= bits), lambda ok: ok)
-    return close & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= bits)
+def pivot_table(distinct: DataFrame, families: int = FAMILIES) -> DataFrame:
+    """fp, row: the distances of each fingerprint to all references."""
+    distances = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots(families)]
+    return distinct.select("fp", F.array(*distances).alias("row"))
 
 
-def fingerprint_links(distinct: DataFrame, *, bits: int = BITS, count: int = PIVOTS, small_group: int = SMALL_GROUP) -> DataFrame:
-    """distinct: distinct fingerprints in fp. Links (a, b) whose components are those of all pairs within `bits`."""
-    table = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(_quarters(bits))])).alias("key"))
-    table = table.select("fp", F.col("key.k").alias("k"), F.col("key.part").alias("part"))
-    sizes = table.groupBy("k", "part").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    # The key as an expression of its own: an exchange on both sides of the join, so that hot keys can be split.
-    met = checkpointed(table.join(sizes.select("k", F.col("part").bitwiseXOR(F.lit(0)).alias("part"), "members"), ["k", "part"]))
+def surviving(distinct: DataFrame, *, bits: int = BITS, families: int = FAMILIES) -> DataFrame:
+    """distinct: distinct fingerprints in fp. fp of those that the pivot table leaves with a possible partner."""
+    within = [F.xxhash64(F.lit(q), *[F.get("row", F.lit(5 * j)) - F.get("row", F.lit(5 * j + 1 + q)) for j in range(families)]) for q in range(4)]
+    shares = [F.xxhash64(F.lit(k), *[within[q] for q in pick]) for k, pick in enumerate(combinations(range(4), 4 - bits))]
+    dealt = pivot_table(distinct, families).select("fp", F.explode(F.array(*shares)).alias("share"))
+    # Two of a share are enough to know that it has partners; the least and the largest combine before the shuffle.
+    met = dealt.groupBy("share").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least != most")
+    # The key as an expression of its own: an exchange on both sides of the join, so that hot shares can be split.
+    return dealt.join(met.select(F.col("share").bitwiseXOR(F.lit(0)).alias("share")), "share").select("fp").distinct()
 
-    groups = met.filter(F.col("members") <= small_group).withColumn("row", _pivot_row(F.col("fp"), count))
-    groups = groups.groupBy("k", "part").agg(F.collect_list(F.struct("fp", "row")).alias("g"))
-    pairs = groups.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: _near(x, y, bits)), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")))))).alias("p"))
-    pairs = pairs.select("p.a", "p.b")
 
-    # Within bits of each other: a chain of one-bit steps whose middle both name; for 2 bits one step from either side.
-    large = met.filter(F.col("members") > small_group).select("fp").distinct()
-    ones = [0, *((1 << i) - (1 << 64) if i == 63 else 1 << i for i in range(64))]
-    steps = [F.lit(0)] if bits == 0 else [F.lit(o) for o in ones]
-    if bits == 3:
-        raise ValueError("large groups need at most 2 differing bits")
-    named = large.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(s.cast("bigint")) for s in (steps if bits == 2 else [F.lit(0), *steps[1:]])])).alias("name"))
-    if bits == 1:  # a name counts only if a member has it
-        named = named.join(large.select(F.col("fp").alias("name")), "name", "left_semi")
+def fingerprint_links(distinct: DataFrame, *, bits: int = BITS, families: int = FAMILIES) -> DataFrame:
+    """distinct: distinct fingerprints in fp. Links (a, b) within bits, whose components are those of all pairs within bits."""
+    if not 0 <= bits <= 2:
+        raise ValueError("0 to 2 differing bits")
+    if bits == 0:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    left = checkpointed(surviving(distinct, bits=bits, families=families))
+    turned = [F.lit(0), *[F.lit(_signed(1 << i)) for i in range(64)]]
+    named = left.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(t.cast("bigint")) for t in turned])).alias("name"))
+    if bits == 1:  # a name that a survivor has is the partner itself
+        return named.filter("fp > name").join(left.select(F.col("fp").alias("name")), "name", "left_semi").select(F.col("fp").alias("a"), F.col("name").alias("b"))
     least = named.groupBy("name").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).filter("b != most").select(F.col("name").bitwiseXOR(F.lit(0)).alias("name"), "b")
-    stars = named.join(least, "name").filter("fp != b").select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(stars).distinct()
+    return named.join(least, "name").filter("fp != b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = BITS, count: int = PIVOTS, small_group: int = SMALL_GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = BITS, families: int = FAMILIES) -> DataFrame:
     """One row per row: doc_id, fingerprint, component_id."""
-    prints, of = _rooted(docs, id_col, text_col, bits=bits, count=count, small_group=small_group)
+    prints, of = _rooted(docs, id_col, text_col, bits=bits, families=families)
     return prints.join(of.drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _rooted(docs: DataFrame, id_col: str, text_col: str, *, bits: int = BITS, count: int = PIVOTS, small_group: int = SMALL_GROUP) -> tuple[DataFrame, DataFrame]:
+def _rooted(docs: DataFrame, id_col: str, text_col: str, *, bits: int = BITS, families: int = FAMILIES) -> tuple[DataFrame, DataFrame]:
     """doc_id, fp of every row; and fp, root (which names the component, with or without ids), component_id of every fp."""
     prints = checkpointed(text_batches(docs).select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(fingerprint_links(classes.select("fp"), bits=bits, count=count, small_group=small_group))
+    roots = components(fingerprint_links(classes.select("fp"), bits=bits, families=families))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints, rooted.join(named, "root").select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "root", "component_id")

@@ -283,8 +283,8 @@ def _components(prints):
     return [least.get(find(k)) for k in range(n)]
 
 
-@pytest.mark.parametrize("small_group", [32, 2])
-def test_near_duplicates(spark, rows, small_group):
+@pytest.mark.parametrize("families", [10, 1])
+def test_near_duplicates(spark, rows, families):
     rng = random.Random(4)
     base = [f"w{rng.randrange(500)}" for _ in range(200)]
     near = []
@@ -293,7 +293,7 @@ def test_near_duplicates(spark, rows, small_group):
         base[rng.randrange(200)] = f"v{k}"
         near.append((5000 - k, " ".join(base), "s"))
     every = rows + near
-    got = simhash.near_duplicates(docs_of(spark, every), small_group=small_group).collect()
+    got = simhash.near_duplicates(docs_of(spark, every), families=families).collect()
     prints = [(i, _simhash(t)) for i, t, _ in every]
     want = Counter((i, f"{p:016x}", c) for (i, p), c in zip(prints, _components(prints)))
     assert Counter(tuple(r) for r in got) == want
@@ -322,12 +322,36 @@ def test_fingerprint_links_find_every_pair(spark):
     points |= {0, 1, 1 << 63, (1 << 63) | 1, (1 << 64) - 1}
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
     for bits in (0, 1, 2):
-        links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fp bigint"), bits=bits, small_group=6).collect()
+        links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fp bigint"), bits=bits).collect()
         assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= bits for a, b in ((r.a, r.b) for r in links))
-        seen, comp = {p: p for p in signed}, None
         assert _closure(signed, [(r.a, r.b) for r in links]) == _closure(signed, [(a, b) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits])
 
 
+def test_pivot_table_discards_pairs_and_keeps_links(spark):
+    rng = random.Random(12)
+    points = {rng.getrandbits(64) for _ in range(3000)}
+    partners = set()
+    for p in sorted(points)[:60]:
+        q = p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)
+        partners |= {p, q} if p != q else set()
+        points.add(q)
+    # Near in three quarters of the bits but unlinked: survive only if the table can't tell.
+    points |= {p ^ 0x0007_0007_0007_0007 for p in sorted(points)[:60]}
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    df = spark.createDataFrame([(signed(p),) for p in points], "fp bigint")
+    table = {r.fp: r.row for r in simhash.pivot_table(df).collect()}
+    references = simhash.pivots()
+    assert len(references) == 50 and all(row == [((fp ^ x) & (1 << 64) - 1).bit_count() for x in references] for fp, row in list(table.items())[:50])
+    kept = {r.fp for r in simhash.surviving(df).collect()}
+    assert {signed(p) for p in partners} <= kept
+    # Of about 4.9 million pairs hardly any is left: the table does the search.
+    assert len(kept) <= len(partners) + 10
+    # Fewer references tell less apart, but lose no link.
+    assert kept <= {r.fp for r in simhash.surviving(df, families=1).collect()}
+    linked = [(a, b) for a in partners for b in partners if a < b and (a ^ b).bit_count() <= 2]
+    assert linked and all(max(abs(x - y) for x, y in zip(table[signed(a)], table[signed(b)])) <= 2 for a, b in linked)
+
+
 def _closure(nodes, links):
     of = {n: {n} for n in nodes}
     for a, b in links:
