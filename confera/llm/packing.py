@@ -7,8 +7,8 @@ The result is a list of (pattern, times); each piece then finds its place from i
 Ranks come from counts per input partition and length, so a length that a third of all pieces share is dealt out like any.
 
 Defined results: a null text counts as empty and still has its end id. Repeated rows are packed once each; their order
-among equals is arbitrary but fixed. A null id is carried along. An empty table gives an empty result. Other columns are
-ignored, whatever their names.
+among equals is arbitrary but fixed. A null id is carried along. A very long text is encoded whole, then cut into pieces.
+An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -218,9 +218,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capa
         encode = encoder(tokenizer).encode
         for batch in batches:
             rows = []
-            for k, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                ids = (encode(text) if text else b"") + end
+            for k, ids in enumerate(encode(batch.column("text").to_pylist())):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((k, piece, at // 4, len(part) // 4, zlib.crc32(part), part))

@@ -12,11 +12,14 @@ A lookup asks the Bloom filter, finds the block by binary search in the index an
     footer  u64 offset and bytes of index, u64 offset and bytes of bloom, u64 documents, u64 ids, u32 crc32 of the six, magic
 
 Keys are a byte (0: null id, 1: any other) and the id with its sign bit turned, big-endian, so bytes sort as ids do.
-Each task writes its shard under a name of its own in the shared folder, and only shards that the finished job reports are
-read, so a lost executor or a second attempt leaves no trace. One block is in memory at a time.
-
-Defined results: a null text has the end id alone. A null id sorts first. Repeated rows are stored once each, by id, then
-by text. An empty table writes no shard and gives an empty result. Other columns are ignored, whatever their names.
+Each task writes its shards under names of its own in the shared folder, and only shards that the finished job reports are
+read, so a lost executor or a second attempt leaves no trace. A task begins a new shard when one is full, so what a shard
+keeps in memory until its end (16 bytes a document for the filter, and the index) is bounded; of the values one block is in
+memory at a time. Texts are dealt by ranges of (id, hash of the text), so rows of one hot id spread over shards.
+
+Defined results: ids are whole numbers; any other kind is an error. A null text has the end id alone. A null id sorts first.
+Repeated rows are stored once each, by id, then by text. A very long text is one entry, alone in its block. An empty table
+writes no shard and gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,6 +42,10 @@ from confera.llm.tokens import encoder
 
 MAGIC = b"CFSST001"
 BLOCK_BYTES = 1 << 16
+#: Bytes of values after which a task begins another shard.
+SHARD_BYTES = 1 << 28
+#: Shards that a lookup's catalogue may have (paths and key ranges, about 50 MB); more are refused with an error.
+MAX_SHARDS = 200_000
 BITS_PER_KEY, HASHES = 10, 7
 _FOOTER = struct.Struct("<6QI8s")
 
@@ -71,9 +78,22 @@ def _read_varint(buf: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bloom_places(keys: list[bytes], bits: int, hashes: int) -> np.ndarray:
-    a, b = (np.array([xxhash.xxh64_intdigest(k, seed) % bits for k in keys], dtype=np.uint64) for seed in (1, 2))
-    return (a[:, None] + np.arange(hashes, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
+def _hashes(key: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2)
+
+
+def _bloom_places(a: np.ndarray, b: np.ndarray, bits: int, hashes: int) -> np.ndarray:
+    m = np.uint64(bits)
+    return (a[:, None] % m + np.arange(hashes, dtype=np.uint64) * (b[:, None] % m)) % m
+
+
+def _bloom(a: np.ndarray, b: np.ndarray, bits: int) -> bytes:
+    """The packed bits, filled by a part of the keys at a time."""
+    filled = np.zeros((bits + 7) // 8, dtype=np.uint8)
+    for at in range(0, len(a), 1 << 16):
+        places = _bloom_places(a[at : at + (1 << 16)], b[at : at + (1 << 16)], bits, HASHES).ravel()
+        np.bitwise_or.at(filled, (places >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (places & np.uint64(7))).astype(np.uint8))
+    return filled.tobytes()
 
 
 class Writer:
@@ -83,12 +103,14 @@ class Writer:
         self.stream, self.block_bytes = stream, block_bytes
         self.block, self.size, self.entries, self.first, self.last = [], 0, 0, b"", b""
         self.index: list[bytes] = []
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")  # two of each key, for the filter
+        self.low = b""
         self.at = self.docs = self.ids = 0
 
     def add(self, key: bytes, ids: bytes) -> None:
-        if self.docs and key < self.keys[-1]:
+        if self.docs and key < self.last:
             raise ValueError("keys must ascend")
+        self.low = self.low if self.docs else key
         wide = np.frombuffer(ids, dtype="<u4")
         value = b"\2" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\4" + ids
         shared = 0
@@ -100,7 +122,7 @@ class Writer:
         self.block += [entry, value]
         self.size += len(entry) + len(value)
         self.entries, self.last = self.entries + 1, key
-        self.keys.append(key)
+        self.hashes.extend(_hashes(key))
         self.docs, self.ids = self.docs + 1, self.ids + len(wide)
         if self.size >= self.block_bytes:
             self._flush()
@@ -118,10 +140,8 @@ class Writer:
         self._flush()
         index = b"".join(self.index)
         bits = max(64, self.docs * BITS_PER_KEY)
-        filled = np.zeros((bits + 7) // 8 * 8, dtype=np.uint8)
-        if self.keys:
-            filled[_bloom_places(self.keys, bits, HASHES).ravel()] = 1
-        bloom = struct.pack("<IQ", HASHES, bits) + np.packbits(filled, bitorder="little").tobytes()
+        both = np.frombuffer(self.hashes, dtype=np.uint64).reshape(-1, 2) if self.docs else np.zeros((0, 2), dtype=np.uint64)
+        bloom = struct.pack("<IQ", HASHES, bits) + _bloom(both[:, 0], both[:, 1], bits)
         body = (self.at, len(index), self.at + len(index), len(bloom), self.docs, self.ids)
         self.stream.write(index + bloom + _FOOTER.pack(*body, zlib.crc32(struct.pack("<6Q", *body)), MAGIC))
 
@@ -174,7 +194,8 @@ class Shard:
             raw = self._read(self._bloom_at, self._bloom_bytes)
             self._bloom = (*struct.unpack_from("<IQ", raw), raw[12:])
         hashes, bits, filled = self._bloom
-        return all(filled[int(p) >> 3] >> (int(p) & 7) & 1 for p in _bloom_places([key_of(doc_id)], bits, hashes)[0])
+        a, b = (np.array([h], dtype=np.uint64) for h in _hashes(key_of(doc_id)))
+        return all(filled[int(p) >> 3] >> (int(p) & 7) & 1 for p in _bloom_places(a, b, bits, hashes)[0])
 
     def get(self, doc_id: int | None) -> list[bytes]:
         """The ids of every row with this doc_id; none if there is none."""
@@ -197,32 +218,45 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1) -> list[dict]:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> list[dict]:
     """Writes the shards and gives one small record for each, in the order of the ids: path, docs, ids, first and last key."""
-    spark = docs.sparkSession
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be a whole number")
     store, path = _filesystem(folder)
     store.create_dir(path, recursive=True)
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).encode
         writer = stream = None
-        name = f"{folder}/{uuid.uuid4().hex}.sst"
+        done: list[tuple] = []
+
+        def close() -> None:
+            writer.close()
+            stream.close()
+            done.append((name, writer.docs, writer.ids, writer.low, writer.last))
+
         for batch in batches:
-            encode = encoder(tokenizer).encode
-            for doc_id, missing, text in zip(batch["id"].tolist(), batch["missing"].tolist(), batch["text"].tolist()):
+            for doc_id, ids in zip(batch.column("id").to_pylist(), encode(batch.column("text").to_pylist())):
                 if writer is None:
+                    name = f"{folder}/{uuid.uuid4().hex}.sst"
                     store, path = _filesystem(name)
                     stream = store.open_output_stream(path)
                     writer = Writer(stream)
-                writer.add(key_of(None if missing else doc_id), (encode(text) if text else b"") + end)
+                writer.add(key_of(doc_id), ids + end)
+                if writer.at + writer.size >= shard_bytes:
+                    close()
+                    writer = None
         if writer is not None:
-            writer.close()
-            stream.close()
-            yield pd.DataFrame([(name, writer.docs, writer.ids, writer.keys[0], writer.keys[-1])], columns=["path", "docs", "ids", "first", "last"])
-
-    by_id = text_batches(docs).select(F.coalesce(F.col(id_col), F.lit(0)).cast("bigint").alias("id"), F.col(id_col).isNull().alias("missing"), F.col(text_col).alias("text"))
-    by_id = by_id.withColumn("h", F.xxhash64("text")).repartitionByRange(F.desc("missing"), "id", "h").sortWithinPartitions(F.desc("missing"), "id", "h")
-    shards = [r.asDict() for r in by_id.select("id", "missing", "text").mapInPandas(write, "path string, docs bigint, ids bigint, first binary, last binary").collect()]
+            close()
+        if done:
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=["path", "docs", "ids", "first", "last"])
+
+    order = [F.col("id").asc_nulls_first(), F.col("h").asc_nulls_first()]
+    by_id = text_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    by_id = by_id.repartitionByRange(*order).sortWithinPartitions(*order)
+    shards = [r.asDict() for r in by_id.select("id", "text").mapInArrow(write, "path string, docs bigint, ids bigint, first binary, last binary").collect()]
     return sorted(shards, key=lambda r: (bytes(r["first"]), bytes(r["last"])))
 
 
@@ -255,6 +289,43 @@ def read_shards(spark, shards: list[dict]) -> DataFrame:
     return files.repartition(max(1, len(rows))).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def lookup(ids: DataFrame, shards: list[dict], id_col: str = "doc_id") -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit) of every stored document whose id is in ids; an id's copies give a row each.
+
+    Distinct ids are dealt to the shards whose range of keys holds them; a shard's filter turns most absent ones away, and
+    for the rest one block is read.
+    """
+    if len(shards) > MAX_SHARDS:
+        raise ValueError(f"{len(shards)} shards; raise MAX_SHARDS ({MAX_SHARDS})")
+    spark = ids.sparkSession
+    ranges = [(r["path"], bytes(r["first"]), bytes(r["last"])) for r in shards]
+    files = spark.createDataFrame(ranges, "path string, first binary, last binary")
+    wanted = ids.select(F.col(id_col).cast("bigint").alias("id")).distinct()
+    turned = F.unhex(F.lpad(F.hex(F.col("id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    key = F.when(F.col("id").isNull(), F.lit(b"\0" * 9)).otherwise(F.concat(F.lit(b"\1"), turned))
+    met = wanted.withColumn("key", key).join(F.broadcast(files), (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = stream = at = None
+        for batch in batches:
+            out = []
+            for name, doc_id in zip(batch.column("path").to_pylist(), batch.column("id").to_pylist()):
+                if name != at:
+                    if stream is not None:
+                        stream.close()
+                    store, path = _filesystem(name)
+                    stream = store.open_input_file(path)
+                    shard, at = Shard(stream), name
+                out += [(doc_id, v) for v in shard.get(doc_id)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], names=["doc_id", "ids"])
+        if stream is not None:
+            stream.close()
+
+    dealt = met.select("path", "id").repartition("path").sortWithinPartitions("path", "id")
+    return text_batches(dealt).mapInArrow(read, "doc_id bigint, ids binary")
+
+
 def token_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1) -> DataFrame:
     """Encodes, writes below the shared folder, and reads back."""
     folder = f"{shared_dir(docs.sparkSession)}/sstable-{uuid.uuid4().hex}"

@@ -1,68 +1,81 @@
-"""Token ids of whole texts as little-endian 32-bit bytes.
+"""Token ids of whole texts as little-endian 32-bit bytes, all of them from the tokenizers library, in batches.
 
-Most text is made of few distinct pieces (runs of letters, single digits, runs of marks), and the tokenizer's merges never
-cross a piece. So the ids of each piece are remembered per Python worker, and a text's ids are its pieces' bytes joined.
-This holds for texts of printable ASCII, tab, line ends and Latin-1 letters, where lower-casing and the split into pieces
-are the same in Python; any other text, and one that spells a special token, goes to the tokenizer whole.
+Where a tokenizer drops white space and no token crosses it, the ids of a text are those of its words one after the other;
+then the library encodes each distinct word of a batch once, and a worker remembers its ids. Whether that holds is read from
+the tokenizer's own description (`white_space_apart`); any other tokenizer gets the texts whole.
+
+Defined results: a null or empty text has no ids. Strings of special tokens within a text count as those tokens. A very long
+text is encoded as a whole. The memory of words is bounded and starts anew when full.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import struct
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 
-#: Entries of the memory of pieces of a worker, about 150 MB; it starts anew when full.
+#: Words that a worker remembers, about 150 MB.
 REMEMBERED = 700_000
 
-#: The tokenizer's pattern of pieces, over lower-cased text of the plain alphabet.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-_NOT_PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|(?:start|end)oftext\|>")
+#: Patterns of pieces that hold no white space, of tokenizers that drop what is between the pieces.
+APART = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+#: From here on letters may be composed anew, so that lower-casing first could give another letter.
+_COMPOSED = re.compile("[̀-\U0010ffff]")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level tokenizers write for each byte: printable ones stand for themselves, the rest follow from 256."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = (b for b in range(256) if b not in plain)
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+def _parts(spec: dict | None, many: str) -> list[dict]:
+    return [] if spec is None else spec[many] if spec["type"] == "Sequence" else [spec]
 
 
-_LETTERS = _byte_letters()
+def white_space_apart(spec: dict) -> bool:
+    """spec: a tokenizer's JSON. Whether encoding words apart gives the ids of the whole text."""
+    normal, pre = _parts(spec["normalizer"], "normalizers"), _parts(spec["pre_tokenizer"], "pretokenizers")
+    plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" and n["content"] == " " for n in normal)
+    first = pre[0] if pre else {"type": None}
+    cut = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") in APART
+    bytes_only = all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pre[1:])
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]]) for t in spec["added_tokens"])
+    return plain and cut and bytes_only and added and spec["post_processor"] is None
 
 
 class Encoder:
-    """encode(text) gives the ids of the text, without special tokens, as bytes of little-endian unsigned 32-bit ids."""
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of one lower-case piece, from the merges alone."""
-        spelled = piece.encode().decode("latin-1").translate(_LETTERS)
-        ids = [x.id for x in self.tokenizer.model.tokenize(spelled)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str) -> bytes:
-        if _NOT_PLAIN.search(text):
-            return self.direct(text)
-        known, pieces = self.known, _PIECE.findall(text.lower())
-        try:
-            return b"".join([known[x] for x in pieces])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for x in set(pieces):
-                if x not in known:
-                    known[x] = self.piece(x)
-            return b"".join([known[x] for x in pieces])
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        self.apart = white_space_apart(spec)
+        self.lower = any(n["type"] == "Lowercase" for n in _parts(spec["normalizer"], "normalizers"))
+        self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
+        self.known: dict[bytes, bytes] = {}
+
+    def whole(self, texts: Sequence[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def _words(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if self.lower and not _COMPOSED.search(text):
+            low = raw.lower()
+            if not any(t in low for t in self.special):
+                raw = low
+        return raw.split()
+
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The ids of each text, without special tokens, as little-endian unsigned 32-bit numbers."""
+        if not self.apart:
+            return self.whole([t or "" for t in texts])
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, split = self.known, [self._words(t) if t else [] for t in texts]
+        new = [w for w in set().union(*split) if w not in known]
+        if new:
+            known.update(zip(new, self.whole([w.decode() for w in new])))
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 @lru_cache(maxsize=2)

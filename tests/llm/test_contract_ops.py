@@ -129,17 +129,24 @@ def le32(ids):
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def test_encoder_agrees_with_the_tokenizer():
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_agrees_with_the_tokenizer(file):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     from confera.llm.tokens import Encoder
 
     rng = random.Random(11)
     plain = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA0, 0x100)]]
-    odd = [*"İıſŒœΣσςÅ日本語", "\x0b", "\x1c", "\x85", "\u00a0", "\u0301", "\u3000", "😀", "<|startoftext|>", "'S", "'re", "ß"]
-    own = Encoder(tokenizer_path())
-    for k in range(3000):
-        letters = plain if k % 2 else plain + odd * 4
-        text = "".join(rng.choice(letters) for _ in range(rng.randrange(30)))
-        assert own.encode(text) == own.direct(text) == le32(token_ids(text)), text
+    odd = [*"İıſŒœΣσςÅ日本語", "\x0b", "\x1c", "\x85", "\u00a0", "\u0301", "\u0331", "\u0307", "\u3000", "😀", "<|startoftext|>", "<|StartOfText|>", "<|endoftext|>", "'S", "'re", "ß", " H", "I"]
+    path = public_tokenizers.path(file)
+    own, library = Encoder(path), Tokenizer.from_file(path)
+    assert own.apart == (file == "word_bpe_49k.json")
+    texts = [None, "", " \n"] + ["".join(rng.choice(plain if k % 2 else plain + odd * 4) for _ in range(rng.randrange(30))) for k in range(4000)]
+    texts.append(" ".join(texts[3:]))
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        assert own.encode(part) == [le32(library.encode(t or "", add_special_tokens=False).ids) for t in part]
 
 
 def test_pack(spark, rows):
@@ -235,6 +242,18 @@ def test_token_store(spark, rows, tmp_path):
     assert sstable.token_store(docs_of(spark, rows).limit(0), tokenizer_path()).count() == 0
 
 
+def test_lookup_by_id(spark, rows, tmp_path):
+    docs = docs_of(spark, rows)
+    shards = sstable.write_shards(docs, tokenizer_path(), f"file://{tmp_path}/shards", shard_bytes=200)
+    assert len(shards) > 4 and sum(r["docs"] for r in shards) == len(rows)
+    wanted = spark.createDataFrame([(i,) for i in [None, 5, -3, 101, 102, 102, 120, 10**15, rows[3][0]]], "doc_id bigint")
+    got = Counter((r.doc_id, bytes(r.ids)) for r in sstable.lookup(wanted, shards).collect())
+    keys = {r.doc_id for r in wanted.collect()}
+    assert got == Counter((i, le32([*token_ids(t), 1])) for i, t, _ in rows if i in keys)
+    with pytest.raises(TypeError):
+        sstable.write_shards(docs, tokenizer_path(), f"file://{tmp_path}/none", id_col="text")
+
+
 def test_shard_lookup(tmp_path):
     rng = random.Random(3)
     ids = sorted([rng.randrange(-(10**12), 10**12) for _ in range(3000)] + [7] * 5)
