@@ -1,10 +1,13 @@
 """Bloom filter cascade: exact membership in a list, for every key of a known universe, without a join.
 
-Level 0 encodes the listed keys; level 1 the keys of the rest of the universe that level 0 lets through; level 2 the listed
-keys that level 1 lets through; and so on until none is left. A key of the universe is listed if the first level that turns
-it away is odd, or if none does and the number of levels is odd. Each level is an array of 64-bit words
-within the query's expressions; it grows with the list (about 1.44 log2(universe / list) bits a listed key) and its size is
-checked against a limit.
+Level 0 encodes the listed keys of the universe; level 1 the keys of the rest of the universe that level 0 lets through; level 2 the listed
+keys that level 1 lets through; and so on until none is left. A key of the universe is listed if the first
+level that turns it away is odd, or if none does and the number of levels is odd. A level is one array of 64-bit words in the
+query's expression, named once for all its hashes; it grows with the list (about 1.44 log2(universe / list) bits a listed
+key), not with the rows, and its size is checked against a limit.
+
+Defined results: a null key is in no list (the answer is null). A repeated listed key counts once. An empty list has no level
+and contains nothing; no more does one over an empty universe.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confera.llm.common import checkpointed, let
+
 #: Largest level in 64-bit words (8 MB); a longer list is refused with an error, never cut.
 MAX_WORDS = 1 << 20
 _HALF = math.sqrt(0.5)
@@ -40,11 +45,15 @@ class Level:
         """Whether the level lets the key through. The words are one array constant, folded once."""
         text = ",".join(str(self.words.get(i, 0)) for i in range((self.bits + 63) // 64))
         words = F.split(F.lit(text), ",").cast("array<bigint>")
-        out = F.lit(True)
-        for at in self.places(key):
-            one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-            out = out & (F.get(words, F.shiftright(at, 6).cast("int")).bitwiseAND(one) != 0)
-        return out
+
+        def all_set(words: Column) -> Column:
+            out = F.lit(True)
+            for at in self.places(key):
+                one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+                out = out & (F.get(words, F.shiftright(at, 6).cast("int")).bitwiseAND(one) != 0)
+            return out
+
+        return let(words, all_set)
 
 
 class Cascade:
@@ -53,10 +62,12 @@ class Cascade:
 
     @classmethod
     def build(cls, universe: DataFrame, listed: DataFrame, *, max_words: int = MAX_WORDS, max_levels: int = 64) -> Cascade:
-        """universe, listed: distinct keys in a column key; only listed keys of the universe matter."""
-        inside = universe.join(listed.select("key").distinct(), "key", "left_semi")
-        outside = universe.join(listed.select("key").distinct(), "key", "left_anti")
-        n, others = inside.count(), outside.count()
+        """universe, listed: keys in a column key, those of the universe distinct; only listed keys of the universe matter."""
+        keys = listed.select("key").filter("key is not null").distinct()
+        inside = checkpointed(universe.select("key").join(keys, "key", "left_semi"))
+        outside = universe.select("key").join(keys, "key", "left_anti")
+        n = inside.count()
+        others = universe.count() - n if n else 0
         levels: list[Level] = []
         wanted, rest = inside, outside
         while n and len(levels) < max_levels:
@@ -66,7 +77,8 @@ class Cascade:
                 raise ValueError(f"{n} keys need {bits} bits; raise max_words ({max_words}) to hold them")
             level = Level(len(levels), bits, max(1, round(math.log2(1 / rate)))).fill(wanted)
             levels.append(level)
-            wanted, rest = rest.filter(level.passes(F.col("key"))), wanted
+            # Written, as each level has but a part of the keys of the one before; else every level would filter them all anew.
+            wanted, rest = checkpointed(rest.filter(level.passes(F.col("key")))), wanted
             n, others = wanted.count(), n
         if n:
             raise ValueError(f"{n} keys are still undecided after {max_levels} levels")

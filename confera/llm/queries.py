@@ -17,7 +17,7 @@ from confera.llm.revisits import resolve_revisits
 from confera.llm.simhash import near_duplicates
 from confera.llm.sstable import token_store
 from confera.llm.toxicity import toxicity
-from confera.llm.url_filter import url_filter
+from confera.llm.url_filter import FIRST, SECOND, ZONES, unwanted_hosts, url_filter
 
 
 def tokenizer_path() -> str:
@@ -27,7 +27,7 @@ def tokenizer_path() -> str:
 
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-BLOCKED_HOSTS = ["spam-farm.example.org"]
+BLOCKED_HOSTS = unwanted_hosts()
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +129,10 @@ again as (select *, k - row_number() over (partition by doc_id order by k) as ru
 
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_url_filter": r"""
-with cut as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+    "op2_url_filter": rf"""
+with words as (select {FIRST} as a, {SECOND} as b, {ZONES} as z),
+unwanted as (select x || '-' || y || '.' || zone as bad from (select unnest(a) as x, b, z from words) w, unnest(b) as t(y), unnest(z) as u(zone)),
+cut as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 parts as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from cut),
 rules as (select * from (values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
@@ -138,7 +140,7 @@ rules as (select * from (values ('net/', 'net', '/', 'block'), ('example.net/en/
 fits as (select p.page_id, p.host, p.path, r.rule, r.rverdict, row_number() over (partition by p.page_id order by length(r.rule) desc nulls last) as k
     from parts p left join rules r on (p.host = r.rhost or p.host like '%.' || r.rhost) and starts_with(p.path, r.rpath))
 select page_id, host, path, rule, case when rule is not null then rverdict
-    when host = 'spam-farm.example.org' or host like '%.spam-farm.example.org' then 'block' else 'allow' end as verdict
+    when exists (select 1 from unwanted where host = bad or host like '%.' || bad) then 'block' else 'allow' end as verdict
 from fits where k = 1""",
     "op3_line_dedup": _units_sql(r"[.,;:!?][\x20\x09-\x0D]+|\n") + f""",
 runs as (select *, sum(words) over (partition by doc_id, run) as run_words from again)

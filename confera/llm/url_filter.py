@@ -6,11 +6,14 @@ exact, so the decision of a row needs no join: its candidates are tested within
 
 Defined results: a null URL, or one without ://, has an empty host and path, fits nothing and is allowed. Rules compare
 hosts in lower case (A-Z) and paths as they are. A rule given twice counts once; one that both allows and blocks blocks.
-An empty table gives an empty result. Other columns are ignored, whatever their names.
+An empty list blocks nothing. Of a very long URL the host's suffixes make as many candidates as the host has dots; its path
+makes one for each length that a rule's path has. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,17 @@ def _candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(_suffixes(host), lambda s: F.transform(heads, lambda h: F.concat(s, h))))
 
 
+# Words whose pairs name unwanted hosts (first-second under a zone), for `unwanted_hosts`.
+FIRST = "ads adult auto best bet big bonus buy cash casino cheap click cool cracked crypto daily deal diet easy fake fast free gold hot instant keto lotto lucky mega miracle money new online payday pirate poker porn pro quick replica rich save secret sexy slot spam super top vip warez win xxx".split()
+SECOND = "ads bets blog bonus bots cams cash casino chat club coin coins cracks dates deals diet downloads farm games gifts girls keys loans lotto meds money offers pills play poker porn prizes promo seo shop slots spam stream tips torrents track traffic vids warez watches win wins x zone".split()
+ZONES = ["example.com", "example.net", "example.org"]
+
+
+def unwanted_hosts(first: list[str] = FIRST, second: list[str] = SECOND, zones: list[str] = ZONES) -> list[str]:
+    """A list of hosts by a rule, for tables whose hosts are invented: every pair of the words under every zone."""
+    return [f"{a}-{b}.{z}" for z in zones for a in first for b in second]
+
+
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], blocked_hosts: list[str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """rules: (verdict, host/path). One row per row: page_id, host, path, rule, verdict."""
     spark = pages.sparkSession
@@ -50,7 +64,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], blocked_hosts: li
     parts = parts.select("page_id", host.alias("host"), path.alias("path"))
     with_path, bare = _candidates(F.col("host"), F.col("path"), lengths), _suffixes(F.col("host"))
     universe = checkpointed(parts.select(F.explode(F.concat(with_path, bare)).alias("key")).distinct())
-    listed = lambda keys: spark.createDataFrame([(k,) for k in sorted(keys)], "key string")
+    listed = lambda keys: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(sorted(keys))), "array<string>")).alias("key"))
     block, allow, spam = (Cascade.build(universe, listed(keys)) for keys in (made["block"], made["allow"], hosts))
 
     longest = F.aggregate(

@@ -108,6 +108,16 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.limit(0), URL_RULES, BLOCKED_HOSTS).count() == 0
 
 
+def test_url_filter_with_a_long_list(spark):
+    hosts = [f"h{k}.site{k % 977}.test" for k in range(100_000)]
+    wanted = [hosts[k] for k in range(0, 100_000, 997)]
+    urls = [f"http://{h}/en/1" for h in wanted] + [f"https://a.b.{h.upper()}?x" for h in wanted] + [f"http://x{h}/" for h in wanted] + [f"http://site{k}.test/" for k in range(500)] + ["http://" + "a." * 200 + hosts[3]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, URL_RULES, hosts + hosts[:5]).collect()}
+    assert got == {i: "block" if i < 2 * len(wanted) or i == len(urls) - 1 else "allow" for i in range(len(urls))}
+    assert {r.verdict for r in url_filter.url_filter(pages, [], []).collect()} == {"allow"}
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(5000).selectExpr("concat('k', id) key")
     listed = spark.range(5000).filter("id % 37 = 3").selectExpr("concat('k', id) key")
@@ -116,6 +126,7 @@ def test_cascade_is_exact(spark):
     got = {r.key for r in universe.filter(cascade.contains(universe.key)).collect()}
     assert got == {r.key for r in listed.collect()}
     assert not universe.filter(Cascade.build(universe, listed.limit(0)).contains(universe.key)).count()
+    assert not Cascade.build(universe.limit(0), listed).levels
 
 
 def token_ids(text):
