@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A folder of this machine won't do on a cluster, so unset is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="confera-shared-")
+    if not found and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        found = "file://" + tempfile.mkdtemp(prefix="confera-shared-")  # driver and executors are one process
         spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
@@ -31,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of narrow tables that one file of a checkpoint holds, where their number is known.
 ROWS_A_FILE = 200_000
+#: Files it has at least: a reader of one file would have all rows in one task.
+LEAST_FILES = 8
 
 
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -39,7 +43,7 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     rows: about how many there are, if known; then there are as many files as they fill, however many partitions df has.
     """
     shared_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))).checkpoint(eager=True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -61,8 +65,6 @@ def own_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-
-
 #: What a Python worker gets at once of texts: bounds its memory whatever the length of the rows.
 BATCH_BYTES = 4 << 20
 
