@@ -2,7 +2,9 @@
 
 Where a tokenizer drops white space and no token crosses it, the ids of a text are those of its words one after the other;
 then the library encodes each distinct word of a batch once, and a worker remembers its ids. Whether that holds is read from
-the tokenizer's own description (`white_space_apart`); any other tokenizer gets the texts whole.
+the tokenizer's own description (`white_space_apart`); any other tokenizer gets the texts whole. Of texts of printable ASCII
+and Latin-1 letters the words are cut further, at the places where the tokenizer's own pattern cuts them, as there are far
+fewer distinct pieces than words.
 
 Defined results: a null or empty text has no ids. Strings of special tokens within a text count as those tokens. A very long
 text is encoded as a whole. The memory of words is bounded and starts anew when full.
@@ -17,14 +19,13 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker remembers, about 150 MB.
+#: Words and pieces that a worker remembers, about 150 MB.
 REMEMBERED = 700_000
 
-#: Patterns of pieces that hold no white space, of tokenizers that drop what is between the pieces.
-APART = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
-#: From here on letters may be composed anew, so that lower-casing first could give another letter.
-_COMPOSED = re.compile("[̀-\U0010ffff]")
-
+#: Patterns of pieces that hold no white space, of tokenizers that drop what is between the pieces; each with
+#: the same pattern over lower-case plain text.
+APART = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")}
+_NOT_PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
 
 def _parts(spec: dict | None, many: str) -> list[dict]:
     return [] if spec is None else spec[many] if spec["type"] == "Sequence" else [spec]
@@ -51,19 +52,19 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         self.apart = white_space_apart(spec)
         self.lower = any(n["type"] == "Lowercase" for n in _parts(spec["normalizer"], "normalizers"))
-        self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
-        self.known: dict[bytes, bytes] = {}
+        self.piece = APART[_parts(spec["pre_tokenizer"], "pretokenizers")[0]["pattern"]["Regex"]] if self.apart and self.lower else None
+        self.special = [t["content"].lower() for t in spec["added_tokens"]]
+        self.known: dict[str, bytes] = {}
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _words(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        if self.lower and not _COMPOSED.search(text):
-            low = raw.lower()
+    def _pieces(self, text: str) -> list[str]:
+        if self.piece is not None and not _NOT_PLAIN.search(text):
+            low = text.lower()
             if not any(t in low for t in self.special):
-                raw = low
-        return raw.split()
+                return self.piece.findall(low)
+        return [w.decode() for w in text.encode().split()]  # at ASCII white space only
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text, without special tokens, as little-endian unsigned 32-bit numbers."""
@@ -71,11 +72,11 @@ class Encoder:
             return self.whole([t or "" for t in texts])
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, split = self.known, [self._words(t) if t else [] for t in texts]
+        known, split = self.known, [self._pieces(t) if t else [] for t in texts]
         new = [w for w in set().union(*split) if w not in known]
         if new:
-            known.update(zip(new, self.whole([w.decode() for w in new])))
-        return [b"".join([known[w] for w in words]) for words in split]
+            known.update(zip(new, self.whole(new)))
+        return [b"".join([known[w] for w in pieces]) for pieces in split]
 
 
 @lru_cache(maxsize=2)
