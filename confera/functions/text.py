@@ -105,22 +105,27 @@ def _nfkc(text: str | None) -> str | None:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; only texts beyond ASCII leave the JVM."""
+    """Compatibility composition. ASCII texts have no other form: they go to Python as nulls and stay as they are."""
 
     @F.pandas_udf(StringType())
     def run(texts):  # noqa: ANN001, ANN202
         return texts.map(_nfkc)
 
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(run(text))
+    return F.coalesce(run(F.when(~text.rlike(r"^[\x00-\x7F]*$"), text)), text)
 
 
-#: Punctuation that the transcript normaliser and the tokenizer drop.
-_PUNCTUATION = r"""[\p{Punct}，。！？；：、“”‘’（）《》【】…—·～]"""
+# Punctuation that the transcript normaliser drops; the tokenizer also takes the slash.
+PUNCTUATION = "，。！？、；：“”‘’（）【】《》.,!?;:'\"()[]<>_-"
+
+
+def _any_of(chars: str) -> str:
+    """The characters as a class, in Java syntax."""
+    return "[" + "".join("\\" + c if c in "[]-^\\&" else c for c in chars) + "]"
 
 
 def normalise_transcript(text: Column) -> Column:
-    text = F.lower(trimmed(F.regexp_replace(F.regexp_replace(nfkc(text), "\r\n?", "\n"), r"(?U)\s+", " ")))
-    return F.regexp_replace(text, _PUNCTUATION, "")
+    text = F.lower(F.trim(F.regexp_replace(nfkc(text), r"(?U)\s+", " ")))
+    return F.regexp_replace(text, _any_of(PUNCTUATION), "")
 
 
 def transcript_hash(text: Column) -> Column:
@@ -129,8 +134,8 @@ def transcript_hash(text: Column) -> Column:
 
 def lexical_tokens(text: Column) -> Column:
     """Tokens of at most two characters whole, longer ones as their two-character grams."""
-    plain = F.regexp_replace(F.lower(nfkc(text)), _PUNCTUATION, " ")
-    words = F.filter(F.split(plain, r"(?U)\s+"), lambda x: x != "")
+    plain = F.regexp_replace(F.lower(nfkc(text)), _any_of(PUNCTUATION + "/"), " ")
+    words = F.filter(F.split(plain, r"(?U)[\s\x{FEFF}]+"), lambda x: x != "")
     return F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= 2, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(2))))))
 
 
@@ -180,6 +185,25 @@ def slug(text: Column) -> Column:
     return F.when(F.coalesce(out, F.lit("")) == "", "unknown").otherwise(out)
 
 
+def context_id(text: Column) -> Column:
+    """A workspace or user as part of a path: runs of anything else than letters, digits, _ and - become one -."""
+    return _or_default(F.lower(F.regexp_replace(F.regexp_replace(text, "(?i)[^a-z0-9_-]+", "-"), "^-+|-+$", "")), "default")
+
+
+def customer_id(text: Column) -> Column:
+    """A customer as a folder: plain names as they are, at most 64 characters; others by a short hash."""
+    name = F.substring(trimmed(text), 1, 128)
+    return F.when(name.rlike("^[a-zA-Z0-9_-]+$"), F.substring(name, 1, 64)).otherwise(F.concat(F.lit("h_"), F.substring(F.sha2(name, 256), 1, 24)))
+
+
+def run_file_id(text: Column) -> Column:
+    return _or_default(F.regexp_replace(F.regexp_replace(text, r'(?U)[\\/:*?"<>|\s]+', "-"), "^-+|-+$", ""), "run")
+
+
+def _or_default(text: Column, otherwise: str) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) == "", otherwise).otherwise(text)
+
+
 def stable_id(*parts: Column) -> Column:
     return F.concat_ws("_", *[slug(F.coalesce(p.cast("string"), F.lit(""))) for p in parts])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from confera.functions.text import js_round, ratio
+from confera.functions.text import context_id, js_round, ratio
 
 
 def score_pairs(labels: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -67,6 +67,15 @@ def judge_drift(baseline: DataFrame, candidate: DataFrame, warn: float = 0.4) ->
     return out.withColumn("warns", F.abs("avg_delta") >= warn)
 
 
+def field_drift(baseline: DataFrame, candidate: DataFrame, warn: float = 0.4) -> DataFrame:
+    """Both: case_id, goal_completion, recovery_trace (scores, null where a judge gave none). field, cases, avg_delta, warns."""
+    fields = ("goal_completion", "recovery_trace")
+    both = baseline.select("case_id", *[F.col(f).alias(f"b_{f}") for f in fields]).join(candidate.select("case_id", *[F.col(f).alias(f"c_{f}") for f in fields]), "case_id")
+    moves = both.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f"c_{f}") - F.col(f"b_{f}")).alias("move")) for f in fields])).alias("x")).select("x.*")
+    out = moves.groupBy("field").agg(F.count("move").alias("cases"), js_round(F.avg("move"), 4).alias("avg_delta"))
+    return out.withColumn("warns", F.coalesce(F.abs("avg_delta") >= warn, F.lit(False)))
+
+
 # Limits of the gate.
 GATE = {"mae": 1.8, "goal_accuracy": 0.25, "recovery_accuracy": 0.25, "samples": 4, "drift": 0.4}
 
@@ -90,6 +99,28 @@ def coverage_gaps(coverage: DataFrame, wanted: int) -> DataFrame:
     return coverage.withColumn("missing", F.greatest(F.lit(0), F.lit(wanted) - F.col("approved")))
 
 
+def count_by(rows: DataFrame, key: Column) -> DataFrame:
+    """key, count: the commonest first, then by name; blank keys count as unassigned."""
+    named = F.coalesce(F.nullif(F.trim(key.cast("string")), F.lit("")), F.lit("unassigned"))
+    return rows.groupBy(named.alias("key")).count().orderBy(F.desc("count"), "key")
+
+
+def coverage_readiness(cases: DataFrame, drafts: DataFrame, labels: DataFrame, target: int, approved_share: float = 0.8) -> DataFrame:
+    """drafts: case_id, review_status, no_evidence. One row: counts, gaps to the target and what is ready."""
+    wanted = F.ceil(F.lit(target * approved_share)).cast("bigint")
+    n = cases.agg(F.count(F.lit(1)).alias("cases")).join(drafts.agg(F.count(F.lit(1)).alias("drafts"), F.count_if(F.col("review_status") == "approved").alias("approved"), F.count_if("no_evidence").alias("without_evidence"))).join(labels.agg(F.count(F.lit(1)).alias("labels")))  # one row each
+    return n.select("*", F.greatest(F.lit(0), F.lit(target) - F.col("cases")).alias("case_gap"), F.greatest(F.lit(0), wanted - F.col("approved")).alias("approved_gap"), (F.col("cases") >= target).alias("pool_ready"), (F.col("approved") >= wanted).alias("labels_ready"), (F.col("labels") == F.col("approved")).alias("imported_all"), (F.col("without_evidence") == 0).alias("evidence_ready"))
+
+
+def annotation_tasks(cases: DataFrame, version: str, assignees: list[str], reviewers: list[str], priority: str = "P1") -> DataFrame:
+    """cases: case_id, rows (array of struct role, content), notes. A draft task each, with its counts and its people by turns."""
+    n = F.row_number().over(Window.orderBy("case_id")) - 1
+    turn = lambda people: F.element_at(F.array(*[F.lit(p) for p in people]), (F.pmod(n, F.lit(len(people))) + 1).cast("int")) if people else F.lit(None).cast("string")
+    of = lambda role: F.size(F.filter("rows", lambda r: r["role"] == role))
+    task = F.concat(F.lit(f"{version}_"), context_id(F.col("case_id").cast("string")), F.lit("_label"))
+    return cases.select(task.alias("task_id"), "case_id", F.lit(priority).alias("priority"), F.lit("draft").alias("status"), turn(assignees).alias("assignee"), turn(reviewers).alias("reviewer"), F.size("rows").alias("messages"), of("user").alias("user_messages"), of("assistant").alias("assistant_messages"), (F.trim(F.coalesce("notes", F.lit(""))) != "").alias("has_notes"))
+
+
 def assign_round_robin(cases: DataFrame, people: list[str], order: str = "case_id") -> DataFrame:
     """Each case gets the person whose turn it is in order of the cases; a bounded list of tasks for people."""
     nth = F.row_number().over(Window.orderBy(order)) - 1
@@ -97,11 +128,44 @@ def assign_round_robin(cases: DataFrame, people: list[str], order: str = "case_i
     return cases.withColumn("assignee", F.element_at(names, (F.pmod(nth, F.lit(len(people))) + 1).cast("int")))
 
 
-def validate_labels(labels: DataFrame, required: list[str]) -> DataFrame:
-    """labels: case_id, dimensions (array of struct dimension, score), status. Adds errors and valid."""
-    have = F.transform("dimensions", lambda d: d["dimension"])
-    errors = F.concat(F.transform(F.array_except(F.array(*[F.lit(r) for r in required]), have), lambda d: F.concat(F.lit("missing:"), d)), F.transform(F.filter("dimensions", lambda d: ~d["score"].between(1, 5) | d["score"].isNull()), lambda d: F.concat(F.lit("range:"), d["dimension"])), F.array_compact(F.array(F.when(F.coalesce(F.col("status") != "approved", F.lit(True)), F.lit("not-approved")))))
-    return labels.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
+# Dimensions that a gold label must have, and the statuses that it may name.
+GOLD_DIMENSIONS = ["empathy", "on_topic", "not_preachy", "recovery"]
+GOAL_STATUSES, RECOVERY_STATUSES = ("achieved", "partial", "failed", "unclear"), ("none", "completed", "failed")
+
+
+def validate_labels(labels: DataFrame, required: list[str] = GOLD_DIMENSIONS, cases: DataFrame | None = None) -> DataFrame:
+    """labels: case_id, dimensions (array of struct dimension, score, evidence), status; and, where there are such columns,
+    labeler, reviewer, reviewed_at, goal (struct status, score, evidence array), trace (struct status, quality).
+
+    Adds errors and valid, which also asks for approval. cases: the known ones, else any case will do.
+    """
+    given = dict(labels.dtypes)
+    blank = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit(""))) == ""
+    names = F.array(*[F.lit(r) for r in required])
+    bad = F.filter("dimensions", lambda d: ~d["score"].between(1, 5) | d["score"].isNull())
+    parts = [F.transform(F.array_except(names, F.transform("dimensions", lambda d: d["dimension"])), lambda d: F.concat(F.lit("missing:"), d)), F.transform(bad, lambda d: F.concat(F.lit("range:"), d["dimension"]))]
+    if "evidence" in given["dimensions"]:
+        parts.append(F.transform(F.filter("dimensions", lambda d: blank(d["evidence"])), lambda d: F.concat(F.lit("evidence:"), d["dimension"])))
+    checks = [(blank(F.col(c)), c) for c in ("labeler", "reviewer", "reviewed_at") if c in given]
+    if "goal" in given:
+        good = F.col("goal.evidence")
+        checks += [(~F.coalesce(F.col("goal.status").isin(*GOAL_STATUSES), F.lit(False)), "goal:status"), (~F.coalesce(F.col("goal.score").between(0, 5), F.lit(False)), "goal:score"), (F.coalesce((F.size(good) == 0) | F.exists(good, blank), F.lit(True)), "goal:evidence")]
+    if "trace" in given:
+        none = F.coalesce((F.col("trace.status") == "none") & (F.col("trace.quality") != 0), F.lit(False))
+        checks += [(~F.coalesce(F.col("trace.status").isin(*RECOVERY_STATUSES), F.lit(False)), "trace:status"), (~F.coalesce(F.col("trace.quality").between(0, 5), F.lit(False)), "trace:quality"), (none, "trace:none")]
+    if cases is not None:
+        labels = labels.join(cases.select("case_id").distinct().withColumn("known", F.lit(True)), "case_id", "left")
+        checks.append((F.col("known").isNull(), "unknown-case"))
+    checks.append((F.coalesce(F.col("status") != "approved", F.lit(True)), "not-approved"))
+    errors = F.concat(*parts, F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in checks])))
+    return labels.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).drop("known")
+
+
+def import_labels(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The labels that come in: approved and without an error; and a row of counts (imported, skipped, failed)."""
+    approved = F.col("status") == "approved"
+    counts = validated.agg(F.count_if("valid").alias("imported"), F.count_if(~F.coalesce(approved, F.lit(False))).alias("skipped"), F.count_if(approved & ~F.col("valid")).alias("failed"))
+    return validated.filter("valid").drop("errors", "valid"), counts
 
 
 def prefill_labels(cases: DataFrame) -> DataFrame:

@@ -66,6 +66,41 @@ def pass_rate(results: DataFrame, least: float = 0.6) -> DataFrame:
     return results.agg(F.count_if("success").alias("passed"), F.count_if(~F.col("success")).alias("failed"), F.count_if(F.col("success").isNull()).alias("skipped"), js_round(F.coalesce(F.avg(F.col("success").cast("int")), F.lit(0.0)), 4).alias("pass_rate")).withColumn("gate", F.when(F.col("pass_rate") >= least, "passed").otherwise("failed"))
 
 
+# Metrics that a scenario declares: name, least score that passes, base metric whose result it takes over.
+SCENARIO_METRICS = [("issue_resolution", 0.7, "goal_completion"), ("kind_tone", 0.68, "empathy"), ("stays_on_task", 0.68, "on_topic"), ("tool_grounding", 0.85, "service_call_grounding")]
+
+
+def scenario_registry(values: DataFrame, kpis: DataFrame, references: DataFrame | None = None, scenario: str = "customer_support", proxies: list = SCENARIO_METRICS, definitions: list = REGISTRY) -> DataFrame:
+    """Base metrics, then business.<kpi> of every KPI, then scenario.<scenario>.<metric> by proxy.
+
+    seq, metric, category, score, threshold, success (null: skipped), status (ready or skipped), in the order of definition.
+    """
+    spark = values.sparkSession
+    references = references or kpi_references(spark)
+    place = spark.createDataFrame([(m, k) for k, (m, *_) in enumerate(definitions)], "metric string, seq int")
+    base = metric_registry(values, definitions).withColumnRenamed("source", "category").join(place, "metric")
+    order = references.withColumn("at", F.monotonically_increasing_id()).groupBy("kpi").agg(F.min("at").alias("at"), F.max("success").alias("threshold"))
+    nth = F.row_number().over(Window.orderBy("at")) - 1  # as many rows as a template has KPIs
+    business = order.withColumn("seq", (F.lit(len(definitions)) + nth).cast("int")).join(kpis.select("kpi", "score"), "kpi", "left")
+    business = business.select(F.concat(F.lit("business."), "kpi").alias("metric"), F.lit("business").alias("category"), "score", "threshold", (F.col("score") >= F.col("threshold")).alias("success"), "seq")
+    rows = [(f"scenario.{scenario}.{m}", float(t), p, k) for k, (m, t, p) in enumerate(proxies)]
+    own = spark.createDataFrame(rows, "name string, least double, metric string, k int").join(base.select("metric", "category", "score"), "metric", "left")
+    own = own.join(references.agg(F.count_distinct("kpi").alias("n")))  # one row
+    own = own.select(F.col("name").alias("metric"), "category", "score", F.col("least").alias("threshold"), (F.col("score") >= F.col("least")).alias("success"), (F.lit(len(definitions)) + F.col("n") + F.col("k")).cast("int").alias("seq"))
+    out = base.select(*own.columns).unionByName(business).unionByName(own)
+    return out.select("seq", "metric", "category", "score", "threshold", "success", F.when(F.col("success").isNull(), "skipped").otherwise("ready").alias("status"))
+
+
+def registry_gate(results: DataFrame, least: float = 0.6, named: int = 3) -> DataFrame:
+    """One row: pass_rate (skipped ones left out), gate (failed, warning or passed) and its reasons."""
+    fails = F.array_sort(F.collect_list(F.when(~F.col("success") & (F.col("category") != "synthetic"), F.struct("seq", "metric"))))
+    out = results.agg(js_round(F.coalesce(F.avg(F.col("success").cast("int")), F.lit(0.0)), 4).alias("pass_rate"), F.slice(fails, 1, named).alias("fails"), F.max((F.col("metric") == "trace_step_efficiency") & F.col("success").isNull()).alias("untraced"), F.count_if(F.col("success").isNull()).alias("skipped"), F.count_if(F.col("success").isNotNull()).alias("ready"))
+    low = F.col("pass_rate") < least
+    reasons = F.concat(F.when(low, F.array(F.lit("FAILED:pass_rate"))).otherwise(F.array().cast("array<string>")), F.transform("fails", lambda x: F.concat(F.lit("WARNING:"), x["metric"])), F.when(F.col("untraced"), F.array(F.lit("INFO:no_trace"))).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("reasons", reasons)
+    return out.select("pass_rate", "ready", "skipped", F.when(low, "failed").when(F.size("reasons") > 0, "warning").otherwise("passed").alias("gate"), "reasons")
+
+
 def eval_cases(turns: DataFrame) -> DataFrame:
     """A case per session: first user input, last assistant output, turns; and what the case has to offer."""
     user, assistant = F.when(F.col("role") == "user", F.col("turn_index")), F.when(F.col("role") == "assistant", F.col("turn_index"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,10 +104,39 @@ def summary_cards(turns: DataFrame, goals: DataFrame, metrics: DataFrame) -> Dat
     return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in cards.items()])).alias("x")).select("x.*")
 
 
-def suggestions(metrics: DataFrame) -> DataFrame:
-    """Advice whose condition the metrics meet: key, text."""
-    rules = [("slow", F.col("avg_response_gap_sec") > 60, F.format_string("Average gap is %.1f s: answer sooner.", "avg_response_gap_sec")), ("switching", F.col("topic_switch_rate") > 0.5, F.format_string("Sessions switch topic %.2f times: keep to the question.", "topic_switch_rate")), ("repeats", F.col("question_repeat_rate") > 0.1, F.format_string("%.1f%% of questions repeat: answer them directly.", F.col("question_repeat_rate") * 100)), ("escalation", F.col("escalation_rate") > 0.2, F.format_string("%.1f%% of sessions escalate: offer help earlier.", F.col("escalation_rate") * 100)), ("unresolved", F.col("resolution_rate") < 0.5, F.format_string("Only %.1f%% of sessions end resolved.", F.col("resolution_rate") * 100))]
-    return metrics.select(F.explode(F.array_compact(F.array(*[F.when(test, F.struct(F.lit(k).alias("key"), text.alias("text"))) for k, test, text in rules]))).alias("x")).select("x.*")
+# The advice of a report, with the facts that it names in braces.
+ADVICE = [
+    "P0：当前平均情绪分为 {avg_emotion}，其中 {low_turns} 个轮次低于 40 分，建议在低谷后两轮内强制触发共情确认与恢复性追问。",
+    "P0：当前目标达成率为 {goal_percent}% ，共有 {failed_goals} 个 session 明确未达成，建议优先把这些 bad case 编译为调优包并加入回放回归。",
+    "P0：平均响应间隔为 {gap} 秒，建议首轮确认性回复压缩到 20 秒内，并监控长间隔后的 topic 延续判断。",
+    "P1：当前 topic segment 切换共 {switches} 次，建议在切段前加入“主题确认句”，减少无意跳转。",
+    "P1：用户主动提问 {questions} 次；理解障碍风险为 {understanding_barrier}，建议执行“先回答、再扩展”的固定顺序。",
+    "P1：当前识别到 {recovered} 条成功恢复轨迹、{unrecovered} 条失败恢复轨迹，建议沉淀成功修复话术并对失败片段生成 remediation spec。",
+    "P1：兴趣衰减风险为 {interest_decline}、情绪恢复失败风险为 {recovery_failure}，建议把信号层直接接入策略触发器。",
+    "P2：当前共情维度得分 {empathy}/5，建议继续沉淀 segment 级证据片段，提升主观评估的可解释性。",
+]
+
+
+def report_facts(turns: DataFrame, metrics: DataFrame, dimensions: DataFrame, signals: DataFrame, goals: DataFrame, recoveries: DataFrame) -> DataFrame:
+    """One row of what the advice names. Without rows counts are 0, risks low and empathy 1."""
+    c = F.col
+    base = turns.agg(js_round(F.coalesce(F.avg("emotion_score"), F.lit(0.0)), 1).alias("avg_emotion"), F.count_if(c("emotion_score") <= 40).alias("low_turns"), F.count_if("is_topic_switch").alias("switches"), F.count_if(c("is_question") & (c("role") == "user")).alias("questions"))
+    reached = goals.agg(js_round(F.coalesce(F.avg((c("status") == "achieved").cast("int")), F.lit(0.0)) * 100).cast("int").alias("goal_percent"), F.count_if(c("status") == "failed").alias("failed_goals"))
+    traces = recoveries.agg(F.count_if(c("status") == "completed").alias("recovered"), F.count_if(c("status") == "failed").alias("unrecovered"))
+    risks = signals.agg(*[F.coalesce(F.max(F.when(c("signal_key") == k, c("severity"))), F.lit("low")).alias(k) for k in ("interest_decline", "understanding_barrier", "recovery_failure")])
+    kind = dimensions.agg(F.coalesce(F.max(F.when(c("dimension") == "empathy", c("score"))), F.lit(1)).alias("empathy"))
+    gap = metrics.select(js_round(c("avg_response_gap_sec")).cast("int").alias("gap"))
+    return base.join(reached).join(traces).join(risks).join(kind).join(gap)  # one row each
+
+
+def suggestions(facts: DataFrame, texts: list[str] = ADVICE) -> DataFrame:
+    """seq, text of every line of advice, with the facts put in. Whole numbers show no places."""
+    plain = {f: F.regexp_replace(F.col(f).cast("string"), r"\.0$", "") for f in facts.columns}
+    filled = []
+    for text in texts:
+        parts = re.split(r"\{(\w+)\}", text)
+        filled.append(F.concat(*[plain[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)]))
+    return facts.select(F.posexplode(F.array(*filled)).alias("seq", "text"))
 
 
 def trend_points(runs: DataFrame, last: int = 20) -> DataFrame:

@@ -14,13 +14,77 @@ EVOLUTIONS = ("add_constraint", "switch_tone", "inject_noise", "multi_turn", "mi
 PERSONAS = ("impatient", "novice", "expert", "anxious", "loyal")
 
 
-def select_cases(cases: DataFrame, most: int = 5) -> DataFrame:
-    """The worst cases of a package, with priority and the part of the agent to edit."""
-    hard = F.arrays_overlap("tags", F.array(*[F.lit(t) for t in HARD_TAGS]))
-    priority = F.when(hard | (F.col("severity") >= 0.72), "P0").when(F.col("severity") >= 0.48, "P1").otherwise("P2")
-    has = lambda t: F.array_contains("tags", t)
-    scope = F.array_compact(F.array(F.when(has("goal_failed") | has("goal_partial"), "policy"), F.when(has("recovery_failed") | has("emotion_drop"), "prompt"), F.when(has("escalation_keyword"), "orchestration"), F.when(has("question_repeat") | has("understanding_barrier"), "skill")))
-    return cases.withColumns({"priority": priority, "edit_scope": scope}).orderBy(F.desc("severity"), "topic_segment_id").limit(most)
+# The layer that each tag asks to edit, in the order in which layers are named.
+EDIT_SCOPE = {
+    "prompt": ("goal_failed", "goal_partial", "goal_unclear", "off_topic_shift"),
+    "policy": ("escalation_keyword",),
+    "orchestration": ("recovery_failed", "question_repeat", "understanding_barrier"),
+    "code": ("long_response_gap",),
+}
+# Metric, tags that make it a target, direction, step from the current value, bound of the target, least and
+# most value, places of rounding. None for the tags: a target whenever its value is below the bound.
+TARGETS = [
+    ("goal_completion_rate", ("goal_failed", "goal_partial"), "increase", 0.15, 0.7, 0, 1, 4),
+    ("recovery_completion_rate", ("recovery_failed",), "increase", 0.2, 0.6, 0, 1, 4),
+    ("emotion_recovery_score", ("recovery_failed",), "increase", 1.0, 4.0, 1, 5, 2),
+    ("user_question_repeat_rate", ("question_repeat", "understanding_barrier"), "decrease", 0.08, 0.05, 0, 1, 4),
+    ("empathy_score", ("question_repeat", "understanding_barrier"), "increase", 1.0, 4.0, 1, 5, 2),
+    ("off_topic_score", ("off_topic_shift",), "increase", 1.0, 4.0, 1, 5, 2),
+    ("escalation_keyword_hit_rate", ("escalation_keyword",), "decrease", 0.1, 0.0, 0, 1, 4),
+    ("avg_response_gap_sec", ("long_response_gap",), "decrease", 10.0, 10.0, 0, 1e9, 0),
+    ("scenario_average_score", None, "increase", 0.1, 0.75, 0, 1, 4),
+]
+MOST_CASES, MOST_TAGS, MIN_WIN_RATE = 5, 5, 0.65
+
+
+def _tagged(tags: Column, names: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(tags, F.array(*[F.lit(n) for n in names]))
+
+
+def priority(tags: Column, severity: Column) -> Column:
+    return F.when(_tagged(tags, HARD_TAGS) | (severity >= 0.72), "P0").when(severity >= 0.48, "P1").otherwise("P2")
+
+
+def edit_scope(tags: Column) -> Column:
+    named = F.array_compact(F.array(*[F.when(_tagged(tags, names), layer) for layer, names in EDIT_SCOPE.items()]))
+    return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("prompt"), F.lit("orchestration")))
+
+
+def select_cases(cases: DataFrame, most: int = MOST_CASES) -> DataFrame:
+    """The worst cases of a package, with priority and the layers to edit of each."""
+    ordered = [F.desc("severity"), *(c for c in ("session_seq", "topic_segment_index") if c in cases.columns)]
+    return cases.withColumns({"priority": priority(F.col("tags"), F.col("severity")), "edit_scope": edit_scope(F.col("tags"))}).orderBy(*ordered).limit(most)
+
+
+def remediation_package(selected: DataFrame) -> DataFrame:
+    """One row for the cases of a package: cases, priority, edit_scope, dominant_tags (by frequency, then by name)."""
+    head = selected.agg(F.count(F.lit(1)).alias("cases"), F.max("severity").alias("severity"), F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"))
+    counted = selected.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "tag"))), 1, MOST_TAGS), lambda x: x["tag"]).alias("dominant_tags"))
+    return head.filter("cases > 0").join(top).select("cases", priority(F.col("tags"), F.col("severity")).alias("priority"), edit_scope(F.col("tags")).alias("edit_scope"), "dominant_tags", F.array_sort("tags").alias("tags"))
+
+
+def target_metrics(package: DataFrame, values: DataFrame) -> DataFrame:
+    """values: metric, value. metric, direction, current and target of what the tags of the package ask to move.
+
+    A metric without a value counts as 0, as no rate can be shown for it.
+    """
+    spark = values.sparkSession
+    rule = "metric string, tags array<string>, direction string, step double, bound double, low double, high double, places int"
+    rules = spark.createDataFrame([(m, None if t is None else list(t), d, x, b, float(lo), float(hi), n) for m, t, d, x, b, lo, hi, n in TARGETS], rule).withColumnRenamed("tags", "asked")
+    met = rules.join(package.select(F.col("tags")), F.coalesce(F.arrays_overlap("asked", "tags"), F.lit(True))).join(values, "metric", "left").withColumn("current", F.coalesce("value", F.lit(0.0)))
+    met = met.filter(F.col("asked").isNotNull() | (F.col("value") < F.col("bound")))
+    moved = F.when(F.col("direction") == "increase", F.greatest(F.col("current") + F.col("step"), F.col("bound"))).otherwise(F.greatest(F.col("current") - F.col("step"), F.col("bound")))
+    scale = F.pow(F.lit(10.0), F.col("places"))
+    return met.select("metric", "direction", "current", F.greatest("low", F.least("high", F.floor(moved * scale + 0.5) / scale)).alias("target"))
+
+
+def acceptance_guards(package: DataFrame, targets: DataFrame) -> DataFrame:
+    """guard, metric, comparator (lte or gte), threshold of the gate that a package sets."""
+    fixed = package.select(F.explode(F.array_compact(F.array(F.struct(F.lit("dangerous_reply_count").alias("guard"), F.lit(0.0).alias("threshold")), F.struct(F.lit("max_regressions").alias("guard"), F.lit(0.0).alias("threshold")), F.when(F.array_contains("tags", "long_response_gap"), F.struct(F.lit("avg_latency_regression_max_ratio").alias("guard"), F.lit(1.2).alias("threshold")))))).alias("x"))
+    up = F.col("direction") == "increase"
+    own = targets.select(F.concat("metric", F.when(up, "_min").otherwise("_max")).alias("guard"), "metric", F.when(up, "gte").otherwise("lte").alias("comparator"), js_round(F.col("target"), 4).alias("threshold"))
+    return fixed.select("x.guard", F.lit(None).cast("string").alias("metric"), F.lit("lte").alias("comparator"), "x.threshold").unionByName(own)
 
 
 def case_score(dimension: Column, goal: Column, recovery: Column, worst: Column) -> Column:
@@ -41,14 +105,34 @@ def offline_regression(before: DataFrame, after: DataFrame, max_regressions: int
     return out.withColumn("passed", (F.col("executed") > 0) & (F.col("regressed") <= max_regressions))
 
 
-def replay_validation(baseline: DataFrame, current: DataFrame, targets: DataFrame, win_rate: float = 0.65) -> DataFrame:
-    """baseline, current: metric, value; targets: metric, direction (increase or decrease), target. win rate and gate."""
-    met = targets.join(baseline.select("metric", F.col("value").alias("before")), "metric", "left").join(current.select("metric", F.col("value").alias("now")), "metric", "left")
-    better = F.when(F.col("direction") == "increase", F.col("now") > F.col("before")).otherwise(F.col("now") < F.col("before"))
-    passed = F.when(F.col("direction") == "increase", F.col("now") >= F.col("target")).otherwise(F.col("now") <= F.col("target"))
-    met = met.withColumns({"improved": F.coalesce(better, F.lit(False)), "passed": F.coalesce(passed, F.lit(False))})
-    out = met.agg(F.count(F.lit(1)).alias("metrics"), F.count_if("improved").alias("improved"), F.count_if("passed").alias("passed"))
-    return out.withColumn("win_rate", js_round(F.coalesce(F.try_divide(F.col("improved").cast("double"), F.col("metrics").cast("double")), F.lit(0.0)), 4)).withColumn("gate", F.when(F.col("win_rate") >= win_rate, "passed").otherwise("failed"))
+def replay_targets(targets: DataFrame, current: DataFrame) -> DataFrame:
+    """targets: metric, direction, current, target; current: metric, value of the replay. Adds now, improved, passed."""
+    met = targets.join(current.select("metric", F.col("value").alias("now")), "metric", "left")
+    up = F.col("direction") == "increase"
+    improved = F.when(up, F.col("now") > F.col("current")).otherwise(F.col("now") < F.col("current"))
+    passed = F.when(up, F.col("now") >= F.col("target")).otherwise(F.col("now") <= F.col("target"))
+    return met.withColumns({"improved": F.coalesce(improved, F.lit(False)), "passed": F.coalesce(passed, F.lit(False))})
+
+
+def guard_results(guards: DataFrame, results: DataFrame, baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """guard, comparator, threshold, value, passed. Without a value a metric's guard fails, a ratio to nothing passes."""
+    gap = lambda df, name: df.agg(F.max(F.when(F.col("metric") == "avg_response_gap_sec", F.col("value"))).alias(name))
+    facts = results.agg(F.count_if(~F.col("improved") & ~F.col("passed")).cast("double").alias("regressed")).join(gap(baseline, "gap_before")).join(gap(current, "gap_now"))  # one row each
+    met = guards.join(current.select("metric", "value"), "metric", "left").join(facts)
+    value = F.when(F.col("guard") == "max_regressions", F.col("regressed")).when(F.col("guard") == "dangerous_reply_count", 0.0).when(F.col("guard") == "avg_latency_regression_max_ratio", F.when(F.col("gap_before") > 0, F.try_divide("gap_now", "gap_before"))).otherwise(F.col("value"))
+    met = met.withColumn("v", value)
+    ok = F.when(F.col("comparator") == "gte", F.col("v") >= F.col("threshold")).otherwise(F.col("v") <= F.col("threshold"))
+    return met.select("guard", "comparator", "threshold", js_round(F.col("v"), 4).alias("value"), F.coalesce(ok, F.col("guard") == "avg_latency_regression_max_ratio").alias("passed"))
+
+
+def replay_validation(results: DataFrame, guards: DataFrame | None = None, win_rate: float = MIN_WIN_RATE) -> DataFrame:
+    """results: of replay_targets; guards: of guard_results. One row; without targets the win rate is 1."""
+    out = results.agg(F.count(F.lit(1)).alias("metrics"), F.count_if("improved").alias("improved"), F.count_if("passed").alias("passed"), F.count_if(~F.col("improved") & ~F.col("passed")).alias("regressed"))
+    out = out.withColumn("win_rate", js_round(F.coalesce(F.try_divide(F.col("improved").cast("double"), F.col("metrics").cast("double")), F.lit(1.0)), 4))
+    held = F.lit(True)
+    if guards is not None:
+        out, held = out.join(guards.agg(F.coalesce(F.every("passed"), F.lit(True)).alias("held"))), F.col("held")
+    return out.withColumn("gate", F.when((F.col("win_rate") >= win_rate) & held, "passed").otherwise("failed")).drop("held")
 
 
 def release_readiness(links: DataFrame, validations: DataFrame, last: int = 5) -> DataFrame:
@@ -73,6 +157,24 @@ def workflow_status(steps: DataFrame, most: int = 3) -> DataFrame:
     return out.join(failing, "scope", "left").select("scope", status.alias("status"), F.coalesce("blockers", F.array().cast("array<string>")).alias("blockers"))
 
 
+def package_values(evaluation) -> DataFrame:  # noqa: ANN001
+    """metric, value of one evaluation, under the names that packages use. Rates without a case are 0."""
+    e = evaluation
+    o = e.objective.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(c).cast("double").alias("value")) for k, c in {"user_question_repeat_rate": "question_repeat_rate", "escalation_keyword_hit_rate": "escalation_rate", "avg_response_gap_sec": "avg_response_gap_sec"}.items()])).alias("x")).select("x.*")
+    names = F.create_map(*[F.lit(x) for kv in {"empathy": "empathy_score", "on_topic": "off_topic_score", "recovery": "emotion_recovery_score"}.items() for x in kv])
+    d = e.dimensions.select(F.try_element_at(names, F.col("dimension")).alias("metric"), F.col("score").cast("double").alias("value")).filter("metric is not null")
+    g = e.goals.agg(F.coalesce(F.avg((F.col("status") == "achieved").cast("int")), F.lit(0.0)).alias("value")).select(F.lit("goal_completion_rate").alias("metric"), "value")
+    r = e.recoveries.filter("status <> 'none'").agg(F.coalesce(F.avg((F.col("status") == "completed").cast("int")), F.lit(0.0)).alias("value")).select(F.lit("recovery_completion_rate").alias("metric"), "value")
+    k = e.kpis.agg(js_round(F.avg("score"), 4).alias("value")).select(F.lit("scenario_average_score").alias("metric"), "value")
+    return o.unionByName(d).unionByName(g).unionByName(r).unionByName(k)
+
+
+def run_values(evaluation) -> DataFrame:  # noqa: ANN001
+    """metric, value that two runs are compared by: KPI mean, bad cases, response gap, escalation."""
+    own = package_values(evaluation).filter(F.col("metric").isin("scenario_average_score", "avg_response_gap_sec", "escalation_keyword_hit_rate"))
+    return own.unionByName(evaluation.bad_cases.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("bad_case_count").alias("metric"), "value"))
+
+
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     """metric, left, right, delta of two runs."""
     return left.select("metric", F.col("value").alias("left")).join(right.select("metric", F.col("value").alias("right")), "metric", "full").withColumn("delta", js_round(F.col("right") - F.col("left"), 4))

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from confera.functions.text import evidence_range, stable_id
+from confera.functions.text import customer_id, evidence_range, run_file_id, stable_id
 
 CANONICAL = ["session_id", "timestamp", "role", "content"]
 
 
+def use_shared_folder(spark) -> str:
+    """The folder that checkpoints go to: spark.checkpoint.dir. Unset, it is an error on a cluster, and a folder of this machine where the master is local."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not found and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        found = "file://" + tempfile.mkdtemp(prefix="confera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found)
+    return found
+
+
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: max_by, which combines before it shuffles."""
     rest = [c for c in rows.columns if c not in key]
@@ -49,10 +65,76 @@ def write_canonical_csv(turns: DataFrame, path: str) -> None:
     turns.orderBy("session_seq", "turn_index").select(F.col("session_id").alias("sessionId"), "timestamp", "role", "content").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_enriched_csv(enriched: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    columns = columns or enriched.columns
-    flat = [F.array_join(c, "|").alias(c) if t.startswith("array") else F.col(c) for c, t in enriched.select(*columns).dtypes]
-    enriched.select(*flat).write.mode("overwrite").option("header", True).option("nullValue", "").option("escape", '"').csv(path)
+# The header of the enriched CSV, in order, with the column that each takes.
+ENRICHED_CSV = {
+    "sessionId": "session_id", "timestamp": "timestamp", "role": "role", "content": "content", "turnIndex": "turn_index", "topic": "topic", "topicSegmentId": "topic_segment_id", "topicSegmentIndex": "topic_segment_index", "topicSummary": "topic_summary",
+    "topicStartTurn": "start_turn", "topicEndTurn": "end_turn", "topicSource": "topic_source", "topicConfidence": "topic_confidence", "emotionPolarity": "emotion_polarity", "emotionIntensity": "emotion_intensity", "emotionLabel": "emotion_label",
+    "emotionBaseScore": "emotion_base_score", "emotionScore": "emotion_score", "emotionEvidence": "emotion_evidence", "emotionSource": "emotion_source", "emotionConfidence": "emotion_confidence", "emotionValenceWeight": "valence_weight",
+    "emotionLengthWeight": "length_weight", "emotionStyleWeight": "style_weight", "emotionGapWeight": "gap_weight", "emotionRecoveryWeight": "recovery_weight", "emotionRiskPenalty": "risk_penalty", "responseGapSec": "response_gap_sec",
+    "isDropoffTurn": "is_dropoff", "isQuestion": "is_question", "isTopicSwitch": "is_topic_switch", "activeHour": "active_hour", "tokenCountEstimate": "token_estimate",
+}
+
+
+def enriched_csv(enriched: DataFrame) -> DataFrame:
+    """The 33 columns as text, null as empty, lists joined by |. A column that the table lacks is empty."""
+    kinds = dict(enriched.dtypes)
+
+    def text(column: str):  # noqa: ANN202
+        if column not in kinds:
+            return F.lit("")
+        c = F.col(column)
+        return F.coalesce(F.array_join(c, "|") if kinds[column].startswith("array") else F.regexp_replace(c.cast("string"), r"\.0$", "") if kinds[column] in ("double", "float") else c.cast("string"), F.lit(""))
+
+    return enriched.select(*[text(column).alias(name) for name, column in ENRICHED_CSV.items()])
+
+
+def write_enriched_csv(enriched: DataFrame, path: str) -> None:
+    enriched_csv(enriched).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def save_baseline(snapshot: DataFrame, path: str, customer: str, run_id: str) -> None:
+    """Stores the rows of one run of one customer; storing it again replaces them. Names become safe parts of the path."""
+    one = snapshot.sparkSession.range(1).select(customer_id(F.lit(customer)).alias("c"), run_file_id(F.lit(run_id)).alias("r")).first()
+    snapshot.write.mode("overwrite").parquet(f"{path}/customer={one.c}/run={one.r}")
+
+
+def read_baselines(spark, path: str) -> DataFrame:
+    """Every stored row with customer and run; filters on these two read only the folders they need."""
+    return spark.read.parquet(path)
+
+
+def find_baseline(baselines: DataFrame, run_id: str, customer: str | None = None) -> DataFrame:
+    """The rows of a run: of the customer, or of the first customer by name that has it."""
+    of_run = baselines.filter(F.col("run").cast("string") == run_file_id(F.lit(run_id)))
+    if customer is not None:
+        return of_run.filter(F.col("customer").cast("string") == customer_id(F.lit(customer)))
+    return of_run.join(of_run.agg(F.min("customer").alias("customer")), "customer", "left_semi")
+
+
+def baseline_list(baselines: DataFrame, customer: str) -> DataFrame:
+    """run, created_at, label of a customer's baselines, the latest first."""
+    own = baselines.filter(F.col("customer").cast("string") == customer_id(F.lit(customer)))
+    return own.groupBy("run").agg(F.max("created_at").alias("created_at"), F.max("label").alias("label")).orderBy(F.desc("created_at"), "run")
+
+
+# The columns of the index of a case registry.
+CASE_INDEX = ["case_id", "case_set_type", "topic_label", "baseline_case_score", "baseline_version", "duplicate_group_key", "created_at"]
+
+
+def case_index(cases: DataFrame) -> DataFrame:
+    """A row of each stored case, the latest where a case was stored again; a missing group is empty."""
+    kept = latest(cases, ["case_id"], ["created_at"])
+    return kept.select(*[F.coalesce("duplicate_group_key", F.lit("")).alias(c) if c == "duplicate_group_key" else F.col(c) for c in CASE_INDEX])
+
+
+def case_manifest(cases: DataFrame) -> DataFrame:
+    """case_set_type, case_count, updated_at."""
+    return cases.groupBy("case_set_type").agg(F.count_distinct("case_id").alias("case_count"), F.max("created_at").alias("updated_at"))
+
+
+def append_cases(cases: DataFrame, path: str) -> None:
+    """Adds cases to the registry, a folder for each set type; readers see whole appends."""
+    cases.write.mode("append").partitionBy("case_set_type").parquet(path)
 
 
 def write_results(tables: dict[str, DataFrame], path: str, run_id: str) -> None:

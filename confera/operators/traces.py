@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from confera.functions.text import unit4
+
 
 def in_time():
     return Window.partitionBy("trace_id").orderBy(F.coalesce("start_ms", F.lit(0)), "span_id")
@@ -86,6 +88,13 @@ def project(spans: DataFrame) -> dict[str, DataFrame]:
     return {"rows": rows, "contexts": met, "tool_calls": tool_calls(paired)}
 
 
+def step_efficiency(spans: DataFrame) -> DataFrame:
+    """trace_id, spans, errors, value: the share of spans that ended well, less 0.08 for each that ended with a warning."""
+    n = lambda *kinds: F.count_if(F.col("status").isin(*kinds))
+    out = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), n("error").alias("errors"), n("success", "ok", "warning").alias("good"), n("warning").alias("warned"))
+    return out.select("trace_id", "spans", "errors", unit4(F.col("good") / F.col("spans") - F.col("warned") * 0.08).alias("value"))
+
+
 def evict(stored: DataFrame, most: int = 200) -> DataFrame:
     """The latest traces of a buffer."""
     return stored.orderBy(F.desc("ingested_at"), F.desc("trace_id")).limit(most)

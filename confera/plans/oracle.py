@@ -215,7 +215,8 @@ select session_id, seg as topic_segment_index, session_id || '_topic_' || seg as
     "pii_email": "select doc_id, len(regexp_extract_all(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b'))::int as pii_hits, length(regexp_replace(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '[REDACTED_EMAIL]', 'g'))::int as redacted_length from documents where regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b')",
     "keyword_overlap": f"with p as (select conv_id::varchar as session_id, coalesce(arg_min(text, turn) filter (role = 'user'), '') as a, coalesce(arg_max(text, turn) filter (role = 'assistant'), '') as b from conversations group by 1), q as (select session_id, {_KEYS.format('a')} as x, {_KEYS.format('b')} as y from p) select session_id, {r('coalesce(len(list_intersect(x, y)) / nullif(len(x), 0)::double, 0)', 2)} as overlap from q",
     "cosine_topk": f"with v as (select vec_id, {_UNIT} as v from embeddings), p as (select a.vec_id as query_id, b.vec_id as item_id, {r(_COS, 4)} as similarity from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0), k as (select *, row_number() over (partition by query_id order by similarity desc, item_id)::int as rank from p) select * from k where rank <= 5",
-    "similarity_pairs": f"with v as (select vec_id, {_UNIT} as v from embeddings), p as (select a.vec_id as a, b.vec_id as b, {r(_COS, 4)} as similarity from v a join v b on a.vec_id < b.vec_id) select * from p where similarity >= 0.35",
+    "vector_classes": "select vec_id, min(vec_id) over (partition by embedding) as representative, count(*) over (partition by embedding) as copies from embeddings",
+    "similarity_pairs": f"with v as (select min(vec_id) as vec_id, {_UNIT} as v from embeddings group by embedding), p as (select a.vec_id as a, b.vec_id as b, {r(_COS, 4)} as similarity from v a join v b on a.vec_id < b.vec_id) select * from p where similarity >= 0.35",
     "cluster_medoids": f"with v as (select vec_id, label, {_UNIT} as v from embeddings), p as (select a.label, a.vec_id, sum({_COS}) as c from v a join v b on a.label = b.label group by 1, 2), k as (select *, row_number() over (partition by label order by {r('c', 6)} desc, vec_id) as k, count(*) over (partition by label) as size from p) select label, size, vec_id as medoid from k where k = 1",
     "stratified_sample": "with u as (select source, md5(text) as h, min(doc_id) as doc_id from documents group by 1, 2), k as (select source, doc_id, row_number() over (partition by source order by md5('seed:' || doc_id), doc_id)::int as rank from u) select * from k where rank <= 5",
     "agreement_scores": chain(_JUDGED, _AGREE) + " select dimension, samples, mae, rmse, spearman, kappa from agreed",

@@ -250,13 +250,21 @@ def cosine_topk(spark, sf_dir):
 
 @query
 def similarity_pairs(spark, sf_dir):
+    """Pairs of different vectors; vector_classes tells which vectors a representative stands for."""
     return similarity.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35)
 
 
+@query
+def vector_classes(spark, sf_dir):
+    return similarity.vector_classes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 @query
 def vector_components(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return similarity.components(vectors, similarity.similar_pairs(vectors, "vec_id", "embedding", 0.35), "vec_id")
+    same = similarity.vector_classes(vectors, "vec_id", "embedding").select(F.col("vec_id").alias("a"), F.col("representative").alias("b"))
+    links = similarity.similar_pairs(vectors, "vec_id", "embedding", 0.35).select("a", "b").unionByName(same.filter("a <> b"))
+    return similarity.components(vectors, links, "vec_id")
 
 
 @query

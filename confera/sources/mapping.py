@@ -29,8 +29,31 @@ class MappingPlan:
 
     @property
     def capabilities(self) -> dict[str, bool]:
-        has = {k: k in self.fields or k in self.parents for k in CANDIDATES}
-        return {"basic_chat": has["role"] and has["content"], "sessions": has["session_id"], "timing": has["timestamp"]}
+        return capability_report(self.targets)[0]
+
+    @property
+    def targets(self) -> set[str]:
+        names = {"role": "messages.role", "content": "messages.content", "timestamp": "messages.timestamp", "session_id": "conversationId"}
+        return {names[t] for t in (*self.fields, *self.parents)}
+
+
+# Groups of metrics, each with the capability it needs and what is missing without it.
+METRIC_GROUPS = [
+    ("basic_chat", "basic_chat_eval", "role and content"), ("schema_aware", "schema_aware_eval", "schema"), ("slot_eval", "slot_eval", "slots or dialogue states"), ("state_tracking", "state_tracking_eval", "dialogue states"),
+    ("service_call_eval", "service_call_eval", "service calls"), ("service_result_grounding", "service_result_grounding", "service results"), ("actual_tool_trace_eval", "actual_tool_trace_eval", "tool traces"),
+]
+
+
+def capability_report(targets: set[str]) -> tuple[dict[str, bool], list[str], list[tuple[str, str]]]:
+    """targets: names such as messages.role or annotations.serviceCalls. Capabilities, enabled groups, disabled ones with what they lack."""
+    starts = lambda prefix: any(t.startswith(prefix) for t in targets)
+    any_of = lambda *names: bool(targets & {*names})
+    calls = any_of("annotations.serviceCalls")
+    has = {
+        "basic_chat": {"messages.role", "messages.content"} <= targets, "schema_aware": starts("schema."), "slot_eval": any_of("annotations.slotMentions", "annotations.dialogueStates"), "state_tracking": any_of("annotations.dialogueStates"),
+        "service_call_eval": calls, "service_result_grounding": any_of("annotations.serviceResults"), "actual_tool_trace_eval": any_of("actualTrace.toolCalls", "actualTrace.toolResults"), "benchmark_gold_eval": starts("gold.") or calls,
+    }
+    return has, [g for c, g, _ in METRIC_GROUPS if has[c]], [(g, lack) for c, g, lack in METRIC_GROUPS if not has[c]]
 
 
 def find_field(names: list[str], target: str) -> str | None:

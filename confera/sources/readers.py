@@ -135,6 +135,24 @@ def dialogue_frames(dialogues: DataFrame) -> DataFrame:
     return f.select("case_id", "turn_index", "role", "utterance", F.col("f.service").alias("service"), empty("f.actions").alias("actions"), empty("f.slots").alias("slots"), state.alias("state"), F.when(F.col("f.service_call").isNotNull(), F.struct(F.col("f.service_call.method").alias("method"), params.alias("parameters"))).alias("call"), F.coalesce(F.size("f.service_results"), F.lit(0)).alias("results"))
 
 
+_SERVICE = "array<struct<service_name:string,description:string,intents:array<struct<name:string>>,slots:array<struct<name:string>>>>"
+
+
+def read_schema(spark: SparkSession, path: str) -> DataFrame:
+    """service, seq, description, intents, slots of the services in a file: under schema, schema.services or services, or a bare list.
+
+    The first of these places that holds a service counts; a record without name, intents or slots is none. Of a service
+    that comes again the first record stays.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), F.input_file_name().alias("file"))
+    at = lambda place: F.filter(F.from_json(F.to_json(F.try_variant_get("v", place, "variant")), _SERVICE), lambda s: s["service_name"].isNotNull() & s["intents"].isNotNull() & s["slots"].isNotNull())
+    places = F.array(*[at(p) for p in ("$", "$.schema", "$.schema.services", "$.services")])
+    found = F.get(F.filter(places, lambda x: F.size(F.coalesce(x, F.array().cast(_SERVICE))) > 0), F.lit(0))
+    rows = whole.select("file", F.posexplode(found).alias("at", "s")).select("file", "at", F.col("s.service_name").alias("service"), "s.description", F.transform("s.intents", lambda x: x["name"]).alias("intents"), F.transform("s.slots", lambda x: x["name"]).alias("slots"))
+    first = rows.groupBy("service").agg(F.min_by(F.struct("at", "description", "intents", "slots"), F.struct("file", "at")).alias("r"))
+    return first.select("service", F.col("r.at").alias("seq"), "r.description", "r.intents", "r.slots")
+
+
 def used_schema(schema: DataFrame, dialogues: DataFrame) -> DataFrame:
     return schema.join(dialogues.select(F.explode("dialogue.services").alias("service")).distinct(), "service", "left_semi")
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,9 +77,8 @@ def test_similar_pairs_of_many_rows_are_exact(spark):
     got = [(r.a, r.b) for r in similarity.similar_pairs(df.unionByName(zeros), "id", "v", 0.35).collect()]
     want = brute_pairs(vectors, 0.35)
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
-    banded = {(r.a, r.b) for r in similarity.similar_pairs(df, "id", "v", 0.35, exact_below=0).collect()}
-    print("pairs", len(want), "of them in the default bands", len(banded))
-    assert banded <= want
+    classes = {r.id: (r.representative, r.copies) for r in similarity.vector_classes(df.unionByName(zeros), "id", "v").collect()}
+    assert classes[5] == (5, 1) and classes[20_000] == (1000, 20_000) and len(classes) == 20_100
 
 
 def test_similar_pairs_and_components(spark):
@@ -89,8 +89,6 @@ def test_similar_pairs_and_components(spark):
     want = brute_pairs(vectors, 0.93)
     exact = {(r.a, r.b) for r in similarity.similar_pairs(df, "id", "v", 0.93, tile=10).collect()}
     assert exact == want and want
-    banded = {(r.a, r.b) for r in similarity.similar_pairs(df, "id", "v", 0.93, exact_below=0, bits=6, bands=24).collect()}
-    assert banded <= want and len(banded) >= 0.9 * len(want)
     comps = {r.id: r.cluster for r in similarity.components(df, spark.createDataFrame(list(want), "a bigint, b bigint"), "id").collect()}
     assert all(comps[a] == comps[b] for a, b in want) and all(comps[k] <= k for k in comps)
 
@@ -170,3 +168,138 @@ def test_store(spark, tmp_path):
     pool = spark.createDataFrame([(k, f"s{k % 2}", f"h{k % 5}") for k in range(20)], "id bigint, stratum string, hash string")
     got = similarity.stratified_sample(pool, "stratum", "id", "hash", 3).collect()
     assert len(got) == 6 and len({(r.stratum, r.hash) for r in got}) == 6
+
+
+def _near(a, b):
+    cosine = sum(x * y for x, y in zip(a[1], b[1])) / math.sqrt(sum(x * x for x in a[1]) * sum(x * x for x in b[1]))
+    far = math.sqrt(sum((x - y) ** 2 for x, y in zip(a[2], b[2])) / len(a[2]))
+    tags = len(a[3] ^ b[3]) / len(a[3] | b[3])
+    r = lambda x: math.floor(x * 1e4 + 0.5) / 1e4
+    return r(cosine), r(far), r(tags)
+
+
+def _made_cases(rng, n, start=0):
+    out = []
+    for k in range(n):
+        base = rng.randrange(6)
+        out.append((start + k, [math.sin(base + j) + rng.gauss(0, rng.choice([0.05, 0.3, 1])) for j in range(8)], [min(1.0, max(0.0, base / 6 + rng.gauss(0, 0.1))) for _ in range(5)], set(rng.sample(["a", "b", "c"], rng.randint(1, 2))), f"h{rng.randrange(40)}" if rng.random() < 0.3 else f"u{start + k}", rng.choice(["g1", "g1", "g2"])))
+    return out
+
+
+CASE = "case_id bigint, embedding array<double>, metrics array<double>, tags array<string>, hash string, duplicate_group string"
+
+
+def test_case_links_against_brute_force(spark):
+    rng = random.Random(4)
+    cases = _made_cases(rng, 60)
+    cases += [(100 + k, *cases[k][1:]) for k in range(10)]  # copies of features
+    df = spark.createDataFrame([(i, e, m, sorted(t), h, g) for i, e, m, t, h, g in cases], CASE)
+    want = set()
+    for x, a in enumerate(cases):
+        for b in cases[:x]:
+            cosine, far, tags = _near(a, b)
+            if a[4] == b[4] or cosine >= 0.93 or (a[5] == b[5] and ((cosine >= 0.86 and far <= 0.22) or (far <= 0.12 and tags <= 0.2))):
+                want.add((a[0], b[0]))
+    closure = lambda links: {frozenset(s) for s in _joined([c[0] for c in cases], links).values()}
+    got = {(r.a, r.b) for r in similarity.case_links(df, tile=9).collect()}
+    assert closure(got) == closure(want) and 3 < len(closure(want)) < 60 and len(got) < len(want) + 70
+
+
+def _joined(nodes, links):
+    of = {n: {n} for n in nodes}
+    for a, b in links:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for x in of[b]:
+                of[x] = of[a]
+    return of
+
+
+def test_duplicate_layer_against_brute_force(spark):
+    rng = random.Random(5)
+    pool, new = _made_cases(rng, 50), _made_cases(rng, 40, 1000)
+    frame = lambda rows: spark.createDataFrame([(i, e, m, sorted(t), h, g) for i, e, m, t, h, g in rows], CASE)
+    got = {r.case_id: (r.layer, r.matched_id) for r in similarity.duplicate_layer(frame(new), frame(pool)).collect()}
+    seen = Counter()
+    for c in new:
+        exact = [p[0] for p in pool if p[4] == c[4]]
+        semantic = min((-_near(c, p)[0], p[0]) for p in pool)
+        structural = min(((_near(c, p)[1], p[0]) for p in pool if p[3] == c[3]), default=(9, None))
+        want = ("exact", min(exact)) if exact else ("semantic", semantic[1]) if -semantic[0] >= 0.95 else ("structural", structural[1]) if structural[0] <= 0.1 else ("none", None)
+        assert got[c[0]] == want
+        seen[want[0]] += 1
+    assert len(seen) == 4
+
+
+def test_harvest(spark):
+    new = spark.createDataFrame([(1, 10, "a"), (2, 11, "b"), (3, 12, "a"), (4, 13, "z"), (5, 9, "c")], "case_id bigint, seq bigint, hash string")
+    stored = spark.createDataFrame([(90, "z"), (91, "z")], "case_id bigint, hash string")
+    assert {r.case_id: (r.saved, r.matched_id) for r in similarity.harvest_cases(new, stored).collect()} == {1: (True, None), 2: (True, None), 3: (False, 1), 4: (False, 90), 5: (True, None)}
+    rng = random.Random(6)
+    order = list(range(40))
+    rng.shuffle(order)
+    near = [(a, b) for a in range(40) for b in range(a) if rng.random() < 0.06]
+    cases = spark.createDataFrame([(c, k) for k, c in enumerate(order)], "case_id bigint, seq bigint")
+    saved = set()
+    for c in order:
+        if not any((c, s) in near or (s, c) in near for s in saved):
+            saved.add(c)
+    got = {r.case_id for r in similarity.harvest_strictly(cases, spark.createDataFrame(near, "a bigint, b bigint")).filter("saved").collect()}
+    assert got == saved
+
+
+def test_remediation_package_and_replay(spark):
+    rows = [(f"s{k}", k, sev, tags) for k, (sev, tags) in enumerate([(0.3, ["goal_partial"]), (0.9, ["recovery_failed", "long_response_gap"]), (0.5, ["question_repeat"]), (0.5, ["emotion_drop"]), (0.2, ["escalation_keyword"]), (0.1, ["goal_failed"])])]
+    cases = spark.createDataFrame(rows, "topic_segment_id string, session_seq int, severity double, tags array<string>").withColumn("topic_segment_index", F.lit(1))
+    selected = regression.select_cases(cases)
+    assert [(r.topic_segment_id, r.priority, r.edit_scope) for r in selected.collect()] == [("s1", "P0", ["orchestration", "code"]), ("s2", "P1", ["orchestration"]), ("s3", "P1", ["prompt", "orchestration"]), ("s0", "P2", ["prompt"]), ("s4", "P0", ["policy"])]
+    package = regression.remediation_package(selected)
+    head = package.first()
+    assert (head.cases, head.priority, head.edit_scope, head.dominant_tags) == (5, "P0", ["prompt", "policy", "orchestration", "code"], ["emotion_drop", "escalation_keyword", "goal_partial", "long_response_gap", "question_repeat"])
+    values = spark.createDataFrame([("goal_completion_rate", 0.8), ("recovery_completion_rate", 0.25), ("emotion_recovery_score", 2.0), ("user_question_repeat_rate", 0.2), ("empathy_score", 4.5), ("escalation_keyword_hit_rate", 0.05), ("avg_response_gap_sec", 31.4), ("scenario_average_score", 0.6)], "metric string, value double")
+    targets = regression.target_metrics(package, values)
+    assert {r.metric: (r.direction, r.current, r.target) for r in targets.collect()} == {
+        "goal_completion_rate": ("increase", 0.8, 0.95), "recovery_completion_rate": ("increase", 0.25, 0.6), "emotion_recovery_score": ("increase", 2.0, 4.0), "user_question_repeat_rate": ("decrease", 0.2, 0.12), "empathy_score": ("increase", 4.5, 5.0),
+        "escalation_keyword_hit_rate": ("decrease", 0.05, 0.0), "avg_response_gap_sec": ("decrease", 31.4, 21.0), "scenario_average_score": ("increase", 0.6, 0.75),
+    }
+    assert regression.target_metrics(package, values.filter("metric <> 'scenario_average_score'")).filter("metric = 'scenario_average_score'").isEmpty()
+    guards = regression.acceptance_guards(package, targets)
+    now = spark.createDataFrame([("goal_completion_rate", 0.96), ("recovery_completion_rate", 0.7), ("emotion_recovery_score", 4.0), ("user_question_repeat_rate", 0.1), ("empathy_score", 4.0), ("escalation_keyword_hit_rate", 0.0), ("avg_response_gap_sec", 40.0), ("scenario_average_score", 0.8)], "metric string, value double")
+    results = regression.replay_targets(targets, now)
+    held = {r.guard: (r.value, r.passed) for r in regression.guard_results(guards, results, values, now).collect()}
+    assert held["max_regressions"] == (2.0, False) and held["dangerous_reply_count"] == (0.0, True) and held["goal_completion_rate_min"] == (0.96, True) and held["avg_response_gap_sec_max"] == (40.0, False) and held["avg_latency_regression_max_ratio"] == (1.2739, False)
+    out = regression.replay_validation(results, regression.guard_results(guards, results, values, now)).first()
+    assert (out.metrics, out.improved, out.regressed, out.win_rate, out.gate) == (8, 6, 2, 0.75, "failed")
+    assert regression.replay_validation(results).first().gate == "passed" and regression.replay_validation(results.limit(0)).first().win_rate == 1.0
+
+
+def test_labels_are_validated_and_imported(spark):
+    dims = "array<struct<dimension:string,score:double,evidence:string>>"
+    full = [(d, 3.0, "said so") for d in calibration.GOLD_DIMENSIONS]
+    rows = [
+        ("a", full, "approved", "x", "y", "2026-01-01", ("achieved", 4.0, ["e"]), ("none", 0.0)), ("b", full[:3], "approved", "x", " ", "2026-01-01", ("achieved", 4.0, []), ("none", 1.0)), ("c", full, "draft", "x", "y", "z", ("lost", 6.0, [" "]), ("failed", None)),
+        ("q", [*full[:3], ("recovery", 7.0, "")], "approved", "x", "y", "z", ("failed", 0.0, ["e"]), ("completed", 5.0)), ("n", full, None, None, None, None, None, None),
+    ]
+    labels = spark.createDataFrame(rows, f"case_id string, dimensions {dims}, status string, labeler string, reviewer string, reviewed_at string, goal struct<status:string,score:double,evidence:array<string>>, trace struct<status:string,quality:double>")
+    known = spark.createDataFrame([(c,) for c in "abcn"], "case_id string")
+    checked = calibration.validate_labels(labels, cases=known)
+    errors = {r.case_id: set(r.errors) for r in checked.collect()}
+    assert errors["a"] == set() and errors["b"] == {"missing:recovery", "reviewer", "goal:evidence", "trace:none"}
+    assert errors["c"] == {"goal:status", "goal:score", "goal:evidence", "trace:quality", "not-approved"} and errors["q"] == {"range:recovery", "evidence:recovery", "unknown-case"}
+    assert {"labeler", "reviewer", "reviewed_at", "goal:status", "trace:status", "not-approved"} <= errors["n"]
+    come, counts = calibration.import_labels(checked)
+    assert [r.case_id for r in come.collect()] == ["a"] and tuple(counts.first()) == (1, 2, 2)
+
+
+def test_gold_set_work(spark):
+    rows = "array<struct<role:string,content:string>>"
+    cases = spark.createDataFrame([("B 2", [("user", "x"), ("assistant", "y"), ("user", "z")], " note"), ("a1", [], None)], f"case_id string, rows {rows}, notes string")
+    tasks = {r.case_id: tuple(r)[2:] + (r.task_id,) for r in calibration.annotation_tasks(cases, "v2", ["p", "q"], ["r"]).collect()}
+    assert tasks == {"B 2": ("P1", "draft", "p", "r", 3, 2, 1, True, "v2_b-2_label"), "a1": ("P1", "draft", "q", "r", 0, 0, 0, False, "v2_a1_label")}
+    drafts = spark.createDataFrame([("a", "approved", False), ("b", "approved", True), ("c", "draft", False)], "case_id string, review_status string, no_evidence boolean")
+    r = calibration.coverage_readiness(spark.range(4), drafts, spark.range(2), 5).first()
+    assert (r.cases, r.approved, r.case_gap, r.approved_gap, r.pool_ready, r.labels_ready, r.imported_all, r.evidence_ready) == (4, 2, 1, 2, False, False, True, False)
+    assert [tuple(x) for x in calibration.count_by(drafts, F.nullif(F.col("review_status"), F.lit("draft"))).collect()] == [("approved", 2), ("unassigned", 1)]
+    runs = lambda rows: spark.createDataFrame(rows, "case_id string, goal_completion double, recovery_trace double")
+    drift = {r.field: (r.cases, r.avg_delta, r.warns) for r in calibration.field_drift(runs([("a", 3.0, None), ("b", 4.0, None)]), runs([("a", 4.0, 2.0), ("b", 4.0, 1.0), ("c", 1.0, 1.0)])).collect()}
+    assert drift == {"goal_completion": (2, 0.5, True), "recovery_trace": (0, None, False)}
