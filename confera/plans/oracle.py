@@ -5,6 +5,17 @@ from __future__ import annotations
 from confera.functions.lexicon import SYNTHETIC as L
 
 
+def more_sql() -> dict[str, str]:
+    """The SQL that stands beside its query, in the modules of queries that have it so."""
+    from confera.plans import case_queries, source_queries, text_queries
+    from confera.plans.registry import SQL as beside
+
+    assert text_queries.QUERIES
+    source_queries.register_later()
+    case_queries.register_later()
+    return beside
+
+
 def rx(column: str, *patterns: str) -> str:
     return "(" + " or ".join(f"regexp_matches({column}, '{p}')" for p in patterns) + ")"
 
@@ -211,7 +222,6 @@ select session_id, seg as topic_segment_index, session_id || '_topic_' || seg as
     "severity_topk": chain(*FULL) + " select session_id, seg as topic_segment_index, severity from cases order by severity desc, session_seq, seg limit 10",
     "switch_counts": chain(TURNS, SEGMENTS) + " select session_id, count(*) filter (is_switch) as switches from g group by 1",
     "eval_cases": "select conv_id::varchar as session_id, arg_min(text, turn) filter (role = 'user') as input, arg_max(text, turn) filter (role = 'assistant') as actual_output, count(*) as turn_count from conversations group by 1",
-    "transcript_hash_dupes": "select sha256(regexp_replace(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) as hash, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1",
     "pii_email": "select doc_id, len(regexp_extract_all(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b'))::int as pii_hits, length(regexp_replace(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '[REDACTED_EMAIL]', 'g'))::int as redacted_length from documents where regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b')",
     "keyword_overlap": f"with p as (select conv_id::varchar as session_id, coalesce(arg_min(text, turn) filter (role = 'user'), '') as a, coalesce(arg_max(text, turn) filter (role = 'assistant'), '') as b from conversations group by 1), q as (select session_id, {_KEYS.format('a')} as x, {_KEYS.format('b')} as y from p) select session_id, {r('coalesce(len(list_intersect(x, y)) / nullif(len(x), 0)::double, 0)', 2)} as overlap from q",
     "cosine_topk": f"with v as (select vec_id, {_UNIT} as v from embeddings), p as (select a.vec_id as query_id, b.vec_id as item_id, {r(_COS, 4)} as similarity from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0), k as (select *, row_number() over (partition by query_id order by similarity desc, item_id)::int as rank from p) select * from k where rank <= 5",
@@ -243,3 +253,5 @@ s as (select i, m, i + length(m) as sh, floor((0.68::double + 0.12::double + (i
 select i + 1 as cell, m as failure_mode, ['impatient', 'novice', 'expert', 'anxious', 'loyal'][i % 5 + 1] as persona, ['add_constraint', 'switch_tone', 'inject_noise', 'multi_turn', 'missing_context', 'contradict'][sh % 6 + 1] as operator_1,
     ['add_constraint', 'switch_tone', 'inject_noise', 'multi_turn', 'missing_context', 'contradict'][(sh + 3) % 6 + 1] as operator_2, rarity, case when rarity >= 0.78 then 'hard' when rarity >= 0.52 then 'medium' else 'easy' end as difficulty from t""",
 }
+
+SQL |= more_sql()

@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confera.functions import pii, text
 from confera.functions.lexicon import SYNTHETIC
 from confera.operators import badcase, calibration, dialogue, emotion, extended, kpi, metrics, outcomes, regression, segment, sessionize, signals, similarity, store, traces
+from confera.plans import case_queries, source_queries, text_queries  # noqa: F401  register their queries
 from confera.plans.evaluate import Evaluation
+from confera.plans.registry import QUERIES, raw_turns, table
+from confera.plans.registry import query as registered
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def raw_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as turns. They have no times, so a fixed rule gives each turn its gap and each session its day."""
-    c = table(spark, sf_dir, "conversations")
-    gap = F.pmod(F.col("conv_id") * 37 + F.col("turn") * 53, F.lit(240))
-    since = F.sum(gap).over(Window.partitionBy("conv_id").orderBy("turn"))
-    start = F.lit(1_577_836_800_000).cast("bigint") + F.col("conv_id") * 86_400_000
-    return c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("conv_id").alias("session_seq"), (F.col("turn") + 1).cast("int").alias("turn_index"), "role", F.col("text").alias("content"), (start + since * 1000).alias("ts_ms"), F.hour(F.timestamp_millis(start + since * 1000)).alias("active_hour"))
+query = registered()
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,19 +192,6 @@ def eval_cases(spark, sf_dir):
     return kpi.eval_cases(raw_turns(spark, sf_dir)).select("session_id", "input", "actual_output", "turn_count")
 
 
-@query
-def transcript_hash_dupes(spark, sf_dir):
-    """Texts of documents that are equal after ASCII normalisation, by hash."""
-    docs = table(spark, sf_dir, "documents")
-    norm = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[ \t\n\r]+", " "), r"[^a-z0-9 ]", "")
-    return docs.groupBy(F.sha2(norm, 256).alias("hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
-
-
-@query
-def nfkc_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.transcript_hash(F.col("text")).alias("hash"))
-
-
 @query
 def pii_email(spark, sf_dir):
     email = [p for p in pii.PATTERNS if p[0] == "email"]
@@ -272,12 +241,6 @@ def cluster_medoids(spark, sf_dir):
     return similarity.medoids(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select("label", "size", "medoid")
 
 
-@query
-def lexical_embedding(spark, sf_dir):
-    turns = raw_turns(spark, sf_dir).withColumn("id", F.concat_ws(":", "session_id", "turn_index"))
-    return similarity.lexical_embedding(turns, "id", F.col("content")).select("id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
-
-
 @query
 def stratified_sample(spark, sf_dir):
     """Five documents of each source, of distinct texts, in a seeded order: a sampling operator."""
