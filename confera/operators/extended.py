@@ -43,13 +43,17 @@ def task_completion(calls: DataFrame) -> DataFrame:
 def knowledge_retention(facts: DataFrame, turns: DataFrame, prefix: int = 8) -> DataFrame:
     """facts: session_id, introduced, fact. retained: the joined later assistant turns contain the start of the fact.
 
-    The turns after each are joined once per session by a window from the end, so a fact meets one row.
+    The distinct starts of a session's facts meet its assistant turns as one short list; of each start the last turn that
+    holds it is kept, and a fact is retained if that is later. A start that runs over the end of a turn is found in the
+    turn's text with the beginnings of those after it, so no turn meets the text of all others.
     """
-    said = turns.filter("role = 'assistant'").select("session_id", F.col("turn_index").alias("at"), F.lit(None).cast("string").alias("fact"), "content")
-    asked = facts.select("session_id", F.col("introduced").alias("at"), "fact", F.lit(None).cast("string").alias("content"))
-    later = Window.partitionBy("session_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
-    met = said.unionByName(asked).withColumn("later", F.array_join(F.reverse(F.collect_list("content").over(later)), " ")).filter("fact is not null")
-    return met.select("session_id", F.col("at").alias("introduced"), "fact", F.contains("later", F.substring("fact", 1, prefix)).alias("retained"))
+    start = F.substring("fact", 1, prefix)
+    starts = facts.groupBy("session_id").agg(F.collect_set(start).alias("starts"))
+    following = Window.partitionBy("session_id").orderBy("turn_index").rowsBetween(1, prefix)
+    said = turns.filter("role = 'assistant'").select("session_id", "turn_index", F.concat_ws(" ", "content", F.substring(F.array_join(F.collect_list(F.substring("content", 1, prefix)).over(following), " "), 1, prefix)).alias("said"))
+    found = said.join(starts, "session_id").select("session_id", "turn_index", F.explode(F.filter("starts", lambda x: F.contains(F.col("said"), x))).alias("start"))
+    last = found.groupBy("session_id", "start").agg(F.max("turn_index").alias("last"))
+    return facts.withColumn("start", start).join(last, ["session_id", "start"], "left").select("session_id", "introduced", "fact", F.coalesce(F.col("last") > F.col("introduced"), F.lit(False)).alias("retained"))
 
 
 def retention_score(retained: DataFrame) -> DataFrame:

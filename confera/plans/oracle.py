@@ -29,7 +29,7 @@ def clamp(x: str, low: float, high: float, n: int) -> str:
 
 
 def chain(*parts: str) -> str:
-    return "with " + ",\n".join(parts)
+    return "with recursive " + ",\n".join(parts)
 
 
 _DOMAIN = "case " + " ".join(f"when {rx('content', p)} then {{}}" for p, *_ in L.domains[:-1]) + " else {} end"
@@ -50,9 +50,26 @@ t1 as (select *, floor((ts_ms - lag(ts_ms) over s) / 1000.0::double + 0.5)::bigi
     hour(make_timestamp(ts_ms * 1000))::int as active_hour from t0 window s as (partition by session_id order by turn_index)),
 t as (select * exclude (gap0), case when gap0 < 0 then 0 else gap0 end as gap from t1)"""
 
-SEGMENTS = f"""g0 as (select *, (1 + sum((role = 'user' and {rx('content', L.switch, L.negative_break)} and not {rx('content', L.continuation)} and turn_index > 1)::int)
-    over (partition by session_id order by turn_index))::int as seg, {domain(2)} as own_domain, {domain(1)} as own_label, {domain(3)} as hundredths from t),
-g as (select *, coalesce(lag(seg) over s <> seg, false) as is_switch, lag(role) over s as prev_role, lag(is_question) over s as prev_question from g0 window s as (partition by session_id order by turn_index))"""
+_MARKED = """g as (select *, coalesce(lag(seg) over s <> seg, false) as is_switch, lag(role) over s as prev_role, lag(is_question) over s as prev_question from g0 window s as (partition by session_id order by turn_index))"""
+_OWN = f"{domain(2)} as own_domain, {domain(1)} as own_label, {domain(3)} as hundredths"
+
+# The running-sum part of the rules.
+ROW_SEGMENTS = f"""g0 as (select *, (1 + sum((role = 'user' and {rx('content', L.switch, L.negative_break)} and not {rx('content', L.continuation)} and turn_index > 1)::int)
+    over (partition by session_id order by turn_index))::int as seg, {_OWN} from t),
+{_MARKED}"""
+
+# The scan, a turn of every session a step; its state is the list of domains of the open segment with their sums, in order of appearance.
+_LEAD = "list_filter(sums, lambda y: y.s = list_max(list_transform(sums, lambda z: z.s)))[1].d"
+_COMPATIBLE = "(p.lead, c.own_domain) in (" + ", ".join(f"('{x}', '{y}')" for x, y in sorted(L.compatible)) + ")" if L.compatible else "false"
+SEGMENTS = f"""k0 as (select *, {_OWN}, {rx('content', L.switch, L.negative_break)} as breaks, {rx('content', L.practice)} as practice, {rx('content', L.assistant_wrap)} as wrap, {rx('content', L.wrap_up)} as closing, {rx('content', L.continuation)} as goes_on from t),
+scan(session_id, turn_index, seg, sums) as (select session_id, turn_index, 1, [{{'d': own_domain, 's': hundredths}}] from k0 where turn_index = 1
+    union all select session_id, turn_index, case when splits then seg + 1 else seg end, case when splits then [{{'d': own_domain, 's': hundredths}}] when list_contains(list_transform(sums, lambda y: y.d), own_domain)
+        then list_transform(sums, lambda y: case when y.d = own_domain then {{'d': y.d, 's': y.s + hundredths}} else y end) else list_append(sums, {{'d': own_domain, 's': hundredths}}) end
+    from (select c.*, p.seg, p.sums, not c.goes_on and case when c.role = 'user' and c.breaks then true when p.lead = c.own_domain then false when c.role = 'user' and c.practice then true
+        when {_COMPATIBLE} or c.own_domain = 'casual' or (c.role = 'assistant' and not c.wrap) then false when c.own_domain = 'wrap_up' then c.closing else c.practice or c.hundredths >= 84 end as splits
+        from (select *, {_LEAD} as lead from scan) p join k0 c on c.session_id = p.session_id and c.turn_index = p.turn_index + 1)),
+g0 as (select t.*, scan.seg, {_OWN} from t join scan using (session_id, turn_index)),
+{_MARKED}"""
 
 CUES = f"""c0 as (select *, min(turn_index) over (partition by session_id, seg) as seg_start from g),
 c1 as (select session_id, seg, count(*) as n_rows, count(*) filter ({rx('content', L.negative)}) as neg, count(*) filter ({rx('content', L.positive)}) as pos,
@@ -161,6 +178,7 @@ cs as (select session_id, session_seq, seg, {clamp("h + case goal when 'failed'
     list_filter([{', '.join(f"case when {test} then '{tag}' end" for tag, test in _TAGS)}], lambda v: v is not null) as tags from hv),
 cases as (select * from cs where len(tags) > 0)"""
 
+QUALITY = "case rv.status when 'none' then 0 when 'failed' then 1.6::double else " + clamp("5 - (rt - ft) * 0.5::double + case rv.goal when 'achieved' then 1 when 'partial' then 0.5::double when 'failed' then -0.6::double else 0 end", 0, 5, 1) + " end"
 FULL = (*ALL, OBJECTIVE, SIGNALS, DIMENSIONS, GOALS, RECOVERY, KPI, CASES)
 _REG = [("avg_response_gap_sec", "objective", 0, 0.78), ("topic_switch_rate", "objective", 0, 0.72), ("resolution_rate", "objective", 1, 0.68), ("goal_completion", "subjective", 1, 0.7), ("empathy", "subjective", 1, 0.68), ("on_topic", "subjective", 1, 0.68), ("service_call_grounding", "structured", 1, 0.85), ("service_result_availability", "structured", 1, 0.95), ("schema_slot_compliance", "structured", 1, 0.95), ("trace_step_efficiency", "trace", 1, 0.72), ("synthetic_coverage", "synthetic", 1, 0.5)]
 
@@ -199,10 +217,12 @@ SQL: dict[str, str] = {
     "length_trend": chain(TURNS) + f", u as (select row_number() over (order by session_seq, turn_index) - 1 as i, content_length as y from t where role = 'user') select {r('regr_slope(y, i)', 4)} as length_trend from u",
     "domain_classify": chain(TURNS) + f" select session_id, turn_index, {domain(2)} as domain, {domain(3)} as hundredths from t",
     "negative_keyword_first": chain(TURNS) + f" select session_id, turn_index, {KEYWORD} as keyword, {WEIGHT} as weight from t where {KEYWORD} is not null",
-    "row_segments": chain(TURNS, SEGMENTS) + """, dd as (select session_id, seg, own_domain, own_label, sum(hundredths) as total, min(turn_index) as seen from g group by 1, 2, 3, 4),
+    "row_segments": chain(TURNS, ROW_SEGMENTS) + """, dd as (select session_id, seg, own_domain, own_label, sum(hundredths) as total, min(turn_index) as seen from g group by 1, 2, 3, 4),
 tp as (select session_id, seg, own_domain, own_label, row_number() over (partition by session_id, seg order by total desc, seen) as k from dd),
-sg as (select session_id, seg, min(turn_index) as start_turn, max(turn_index) as end_turn, count(*) as message_count, left(coalesce(arg_min(content, turn_index) filter (role = 'user'), arg_min(content, turn_index)), 20) as head from g group by 1, 2)
-select session_id, seg as topic_segment_index, session_id || '_topic_' || seg as topic_segment_id, own_label as topic, own_domain as topic_domain, own_label || case when head <> '' then '：' || head else '' end as topic_summary, start_turn, end_turn, message_count from sg join tp using (session_id, seg) where k = 1""",
+sg as (select session_id, seg, min(turn_index) as start_turn, max(turn_index) as end_turn, count(*) as message_count, avg(hundredths) as mean, left(coalesce(arg_min(content, turn_index) filter (role = 'user'), arg_min(content, turn_index)), 20) as head from g group by 1, 2)
+select session_id, seg as topic_segment_index, session_id || '_topic_' || seg as topic_segment_id, own_label as topic, own_domain as topic_domain, own_label || case when head <> '' then '：' || head else '' end as topic_summary, """ + clamp('mean / 100', 0, 1, 2) + """ as topic_confidence, start_turn, end_turn, message_count from sg join tp using (session_id, seg) where k = 1""",
+    "topic_segments": chain(TURNS, SEGMENTS) + " select session_id, turn_index, seg as topic_segment_index from g",
+    "evaluate_sessions": chain(*FULL) + f", bc as (select session_id, count(*) as bad_cases, max(severity) as worst from cases group by 1) select b.*, goals.status as goal, goals.score as goal_score, rv.status as recovery, {QUALITY} as quality_score, bad_cases, worst from (select session_id, max(turn_index) as turns, max(seg) as segments, avg(emotion) as emotion from x group by 1) b join goals using (session_id) join rv using (session_id) left join bc using (session_id)",
     "emotion_baseline": chain(TURNS, SEGMENTS, CUES) + " select session_id, seg as topic_segment_index, neg as n_negative, pos as n_positive, polarity as emotion_polarity, intensity as emotion_intensity, base as emotion_base_score from c3",
     "emotion_factors": chain(*ALL) + " select session_id, seg as topic_segment_index, valence as valence_weight, len_w as length_weight, style as style_weight, gap_w as gap_weight, rec as recovery_weight, risk as risk_penalty, emotion as emotion_score from e",
     "objective_metrics": chain(TURNS, SEGMENTS, OBJECTIVE) + " select * from o",
@@ -213,7 +233,7 @@ select session_id, seg as topic_segment_index, session_id || '_topic_' || seg as
     "rule_dimensions": chain(*ALL, SIGNALS, DIMENSIONS) + " select dimension, score from d",
     "goal_verdict": chain(*ALL, GOALS) + " select session_id, status, score, confidence, array_to_string(list_filter([case when f1 then 'user-give-up' end, case when f2 then 'escalation-keyword' end, case when f3 then 'explicit-failure-phrase' end, case when f4 then 'user-repeat-question-3x' end, case when a1 then 'assistant-resolution-stated' end, case when a2 then 'user-appreciation-close' end, case when a3 then 'emotion-uplift-at-close' end], lambda v: v is not null), ',') as rules from goals",
     "failure_candidates": chain(*ALL, GOALS, RECOVERY) + " select session_id, ft as failure_turn, kind as failure_kind from fc",
-    "recovery_window": chain(*ALL, GOALS, RECOVERY) + f" select session_id, status, ft as failure_turn, rt as recovery_turn, rt - ft as span_turns, case status when 'none' then 0 when 'failed' then 1.6::double else {clamp('5 - (rt - ft) * 0.5::double + case goal when ' + chr(39) + 'achieved' + chr(39) + ' then 1 when ' + chr(39) + 'partial' + chr(39) + ' then 0.5::double when ' + chr(39) + 'failed' + chr(39) + ' then -0.6::double else 0 end', 0, 5, 1)} end as quality_score from rv",
+    "recovery_window": chain(*ALL, GOALS, RECOVERY) + f" select session_id, status, ft as failure_turn, rt as recovery_turn, rt - ft as span_turns, {QUALITY} as quality_score from rv",
     "kpi_weighted": chain(*FULL) + " select kpi, score, status from kpis",
     "signal_projection": chain(*FULL) + " select 'run_business-kpi_' || replace(kpi, '_', '-') as id, 'run' as run_id, 'business_kpi' as kind, kpi as metric, score as value from kpis",
     "metric_passrate": chain(*FULL) + f", rg as (select * from (values {', '.join(str(x) for x in _REG)}) v(metric, source, more, thr)), rs as (select {clamp('case when more = 1 then value else 1 - value end', 0, 1, 4)} >= thr and value is not null as ok, value is null as skip from rg left join mv using (source, metric)), pr as (select count(*) filter (ok and not skip) as passed, count(*) filter (not ok and not skip) as failed, count(*) filter (skip) as skipped, {r('avg(ok::int) filter (not skip)', 4)} as pass_rate from rs) select *, case when pass_rate >= 0.6 then 'passed' else 'failed' end as gate from pr",
@@ -242,7 +262,7 @@ select session_id, seg as topic_segment_index, session_id || '_topic_' || seg as
     "latest_upsert": "select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from events) where k = 1",
     "trend_points": f"with d as (select strftime(ts, '%Y-%m-%d') as run_id, {r('avg(value)', 2)} as avg_emotion, {r('avg((value > 50)::int) * 100', 1)} as goal_percent, sum((event_type = 'error')::int)::bigint as bad_cases, {r('avg(value / 1000) * 100', 1)} as kpi_percent from events group by 1) select * from d order by run_id desc limit 20",
     "offline_regression": f"with m as (select {r('s.s_acctbal::double / 10000 - c.c_acctbal::double / 10000', 4)} as dl from customer c left join supplier s on s.s_suppkey = c.c_custkey) select count(*) as total, count(dl) as executed, count(*) - count(dl) as skipped, count(*) filter (dl >= 0.03) as improved, count(*) filter (dl <= -0.03) as regressed, {r('avg(dl)', 4)} as avg_delta, count(dl) > 0 and count(*) filter (dl <= -0.03) <= 0 as passed from m",
-    "fact_retention": chain(TURNS) + " select f.session_id, f.turn_index as introduced, coalesce(contains(string_agg(a.content, ' ' order by a.turn_index), left(any_value(f.content), 4)), false) as retained from t f left join t a on a.session_id = f.session_id and a.role = 'assistant' and a.turn_index > f.turn_index where f.role = 'user' and f.turn_index <= 2 group by 1, 2",
+    "fact_retention": chain(TURNS) + " select f.session_id, f.turn_index as introduced, coalesce(contains(string_agg(a.content, ' ' order by a.turn_index), left(any_value(f.content), 8)), false) as retained from t f left join t a on a.session_id = f.session_id and a.role = 'assistant' and a.turn_index > f.turn_index where f.role = 'user' group by 1, 2",
     "lexicon_toxicity": "with h as (select doc_id, " + " + ".join(f"contains(lower(text), '{w}')::int" for w in _TOXIC) + f" as hits from documents) select doc_id, hits::int as hits, {r('greatest(0, 1 - hits * 0.3::double)', 2)} as score from h where hits > 0",
     "vector_components": f"with recursive v as (select vec_id, {_UNIT} as v from embeddings), p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where {r(_COS, 4)} >= 0.35), c(vec_id, label) as (select vec_id, vec_id from v union select p.b, c.label from c join p on p.a = c.vec_id) select vec_id, min(label) as cluster from c group by 1",
     "summary_cards": chain(*FULL) + f""", w as (select (select count(distinct session_id) from x) as ss, (select count(*) from x) as tt, (select {r('avg(emotion)', 1)} from x) as em, (select avg((status = 'achieved')::int) from goals) as gr, o.* from o)

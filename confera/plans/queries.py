@@ -20,8 +20,12 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessionize.flag_turns(raw_turns(spark, sf_dir), SYNTHETIC)
 
 
-def by_row(spark: SparkSession, sf_dir: str) -> Evaluation:
-    return Evaluation(raw_turns(spark, sf_dir), SYNTHETIC, by_row=True).keep()
+def evaluated(spark: SparkSession, sf_dir: str) -> Evaluation:
+    return Evaluation(raw_turns(spark, sf_dir), SYNTHETIC).keep()
+
+
+def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.topic_segments(flagged(spark, sf_dir), SYNTHETIC)
 
 
 @query
@@ -78,8 +82,7 @@ def negative_keyword_first(spark, sf_dir):
 @query
 def row_segments(spark, sf_dir):
     """Segments by the running-sum part of the rules, described."""
-    turns = segment.row_splits(flagged(spark, sf_dir), SYNTHETIC)
-    return segment.describe_segments(turns).drop("topic_confidence")
+    return segment.describe_segments(segment.row_splits(flagged(spark, sf_dir), SYNTHETIC))
 
 
 @query
@@ -90,101 +93,101 @@ def topic_segments(spark, sf_dir):
 
 @query
 def emotion_baseline(spark, sf_dir):
-    cues = emotion.emotion_cues(segment.row_splits(flagged(spark, sf_dir), SYNTHETIC), SYNTHETIC)
+    cues = emotion.emotion_cues(segmented(spark, sf_dir), SYNTHETIC)
     return emotion.emotion_baseline(cues).select("session_id", "topic_segment_index", "n_negative", "n_positive", "emotion_polarity", "emotion_intensity", "emotion_base_score")
 
 
 @query
 def emotion_factors(spark, sf_dir):
-    scored = emotion.segment_emotions(segment.row_splits(flagged(spark, sf_dir), SYNTHETIC), SYNTHETIC)
+    scored = emotion.segment_emotions(segmented(spark, sf_dir), SYNTHETIC)
     return scored.select("session_id", "topic_segment_index", "valence_weight", "length_weight", "style_weight", "gap_weight", "recovery_weight", "risk_penalty", "emotion_score")
 
 
 @query
 def objective_metrics(spark, sf_dir):
-    return by_row(spark, sf_dir).objective
+    return evaluated(spark, sf_dir).objective
 
 
 @query
 def turning_points(spark, sf_dir):
-    return by_row(spark, sf_dir).turning_points
+    return evaluated(spark, sf_dir).turning_points
 
 
 @query
 def unresolved_low(spark, sf_dir):
-    return signals.unresolved_low(by_row(spark, sf_dir).enriched).filter("unresolved").select("session_id", "turn_index", "emotion_score")
+    return signals.unresolved_low(evaluated(spark, sf_dir).enriched).filter("unresolved").select("session_id", "turn_index", "emotion_score")
 
 
 @query
 def interest_decline(spark, sf_dir):
-    return signals.interest_decline(by_row(spark, sf_dir).enriched).select("signal_key", "score", "severity", "confidence", "evidence_turn_range")
+    return signals.interest_decline(evaluated(spark, sf_dir).enriched).select("signal_key", "score", "severity", "confidence", "evidence_turn_range")
 
 
 @query
 def implicit_signals(spark, sf_dir):
-    return by_row(spark, sf_dir).signals.select("signal_key", "score", "severity", "confidence")
+    return evaluated(spark, sf_dir).signals.select("signal_key", "score", "severity", "confidence")
 
 
 @query
 def rule_dimensions(spark, sf_dir):
-    return by_row(spark, sf_dir).dimensions
+    return evaluated(spark, sf_dir).dimensions
 
 
 @query
 def goal_verdict(spark, sf_dir):
-    return by_row(spark, sf_dir).goals.select("session_id", "status", "score", "confidence", F.array_join("triggered_rules", ",").alias("rules"))
+    return evaluated(spark, sf_dir).goals.select("session_id", "status", "score", "confidence", F.array_join("triggered_rules", ",").alias("rules"))
 
 
 @query
 def failure_candidates(spark, sf_dir):
-    return outcomes.failure_candidates(by_row(spark, sf_dir).enriched, SYNTHETIC).select("session_id", "failure_turn", "failure_kind")
+    return outcomes.failure_candidates(evaluated(spark, sf_dir).enriched, SYNTHETIC).select("session_id", "failure_turn", "failure_kind")
 
 
 @query
 def recovery_window(spark, sf_dir):
-    return by_row(spark, sf_dir).recoveries.select("session_id", "status", "failure_turn", "recovery_turn", "span_turns", "quality_score")
+    return evaluated(spark, sf_dir).recoveries.select("session_id", "status", "failure_turn", "recovery_turn", "span_turns", "quality_score")
 
 
 @query
 def kpi_weighted(spark, sf_dir):
-    return by_row(spark, sf_dir).kpis.select("kpi", "score", "status")
+    return evaluated(spark, sf_dir).kpis.select("kpi", "score", "status")
 
 
 @query
 def metric_passrate(spark, sf_dir):
-    return kpi.pass_rate(by_row(spark, sf_dir).registry)
+    return kpi.pass_rate(evaluated(spark, sf_dir).registry)
 
 
 @query
 def badcase_severity(spark, sf_dir):
-    return by_row(spark, sf_dir).bad_cases.select("session_id", "topic_segment_index", "severity", F.array_join("tags", "+").alias("tags"))
+    return evaluated(spark, sf_dir).bad_cases.select("session_id", "topic_segment_index", "severity", F.array_join("tags", "+").alias("tags"))
 
 
 @query
 def dominant_tags(spark, sf_dir):
-    return badcase.dominant_tags(by_row(spark, sf_dir).bad_cases)
+    return badcase.dominant_tags(evaluated(spark, sf_dir).bad_cases)
 
 
 @query
 def severity_topk(spark, sf_dir):
     """The ten worst cases: a report."""
-    return badcase.by_severity(by_row(spark, sf_dir).bad_cases, 10).select("session_id", "topic_segment_index", "severity")
+    return badcase.by_severity(evaluated(spark, sf_dir).bad_cases, 10).select("session_id", "topic_segment_index", "severity")
 
 
 @query
 def summary_cards(spark, sf_dir):
-    return by_row(spark, sf_dir).summary
+    return evaluated(spark, sf_dir).summary
 
 
 @query
 def evaluate_sessions(spark, sf_dir):
     """The flagship: every stage, with the sequential segmentation."""
-    return Evaluation(raw_turns(spark, sf_dir), SYNTHETIC).keep().sessions
+    return evaluated(spark, sf_dir).sessions
 
 
 @query
 def switch_counts(spark, sf_dir):
-    return metrics.switch_counts(by_row(spark, sf_dir).enriched)
+    return metrics.switch_counts(evaluated(spark, sf_dir).enriched)
 
 
 @query
@@ -359,14 +362,14 @@ def offline_regression(spark, sf_dir):
 
 @query
 def signal_projection(spark, sf_dir):
-    return store.project_signals("run", by_row(spark, sf_dir).kpis.select(F.lit("business_kpi").alias("kind"), F.col("kpi").alias("metric"), F.col("score").alias("value")))
+    return store.project_signals("run", evaluated(spark, sf_dir).kpis.select(F.lit("business_kpi").alias("kind"), F.col("kpi").alias("metric"), F.col("score").alias("value")))
 
 
 @query
 def fact_retention(spark, sf_dir):
-    """Whether what a user says first is taken up by a later assistant turn, by its first four characters, as the SQL has it (the rule: eight)."""
+    """Whether what a user says first is taken up by a later assistant turn, by its first eight characters."""
     turns = raw_turns(spark, sf_dir)
-    facts = turns.filter("role = 'user' and turn_index <= 2").select("session_id", F.col("turn_index").alias("introduced"), F.substring("content", 1, 4).alias("fact"))
+    facts = turns.filter("role = 'user'").select("session_id", F.col("turn_index").alias("introduced"), F.col("content").alias("fact"))
     return extended.knowledge_retention(facts, turns).select("session_id", "introduced", "retained")
 
 

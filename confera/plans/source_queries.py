@@ -305,7 +305,7 @@ def _by_row_sql(tail: str) -> str:
 def enriched_csv_rows(spark, sf_dir):
     """The enriched table as its CSV of 33 columns, read back as text; those columns that the SQL has."""
     path = scratch(spark)
-    store.write_enriched_csv(enrich(raw_turns(spark, sf_dir), SYNTHETIC, by_row=True), path)
+    store.write_enriched_csv(enrich(raw_turns(spark, sf_dir), SYNTHETIC), path)
     kept = [c for c in store.ENRICHED_CSV if c in _CSV_SQL]
     read = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     if read.columns != list(store.ENRICHED_CSV):
@@ -393,7 +393,7 @@ def baseline_list(spark, sf_dir):
 
 def projected_tables(spark, sf_dir):
     """The seven tables of an evaluation: rows and distinct ids of each."""
-    tables = store.project_evaluation("run", Evaluation(raw_turns(spark, sf_dir), SYNTHETIC, by_row=True).keep())
+    tables = store.project_evaluation("run", Evaluation(raw_turns(spark, sf_dir), SYNTHETIC).keep())
     out = None
     for name, df in tables.items():
         one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
