@@ -85,7 +85,9 @@ def surviving(distinct: DataFrame, *, bits: int = BITS, families: int = FAMILIES
     """distinct: distinct fingerprints in fp. fp of those that the pivot table leaves with a possible partner."""
     within = [F.xxhash64(F.lit(q), *[F.get("row", F.lit(5 * j)) - F.get("row", F.lit(5 * j + 1 + q)) for j in range(families)]) for q in range(4)]
     shares = [F.xxhash64(F.lit(k), *[within[q] for q in pick]) for k, pick in enumerate(combinations(range(4), 4 - bits))]
-    dealt = pivot_table(distinct, families).select("fp", F.explode(F.array(*shares)).alias("share"))
+    # Dealt anew: distinct fingerprints are so few bytes that they would come in a task or two, and the table is the work.
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pivot_table(spread, families).select("fp", F.explode(F.array(*shares)).alias("share"))
     # Two of a share are enough to know that it has partners; the least and the largest combine before the shuffle.
     met = dealt.groupBy("share").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least != most")
     # The key as an expression of its own: an exchange on both sides of the join, so that hot shares can be split.
