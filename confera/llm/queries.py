@@ -12,7 +12,7 @@ from confera.llm.exact_dedup import exact_dedup
 from confera.llm.line_dedup import repeated_units
 from confera.llm.mixing import mix
 from confera.llm.packing import pack
-from confera.llm.quality_rules import quality_rules
+from confera.llm.quality_rules import base_failed, quality_rules, text_statistics
 from confera.llm.revisits import resolve_revisits
 from confera.llm.simhash import near_duplicates
 from confera.llm.sstable import token_store
@@ -34,6 +34,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1 that SQL can express: the statistics of its base rules and what they say."""
+    stats = text_statistics(table(spark, sf_dir, "documents")).withColumn("base_failed", base_failed())
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
 
@@ -53,21 +59,26 @@ def line_dedup_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Capture records of every page, by a fixed rule: a full response, and two not-modified revisits in the days after.
+    """Capture records of every page, by a fixed rule: a full response and two not-modified revisits in the days after.
 
-    The first revisit carries the page's ETag as a weak one; the second only Last-Modified or, for every fourth page, an
-    ETag that no response has.
+    Every third page has a second full response two days later, every ninth of which has changed, so revisits choose between
+    two; every fifth page has a revisit before its first response. The first revisit carries the first response's ETag as a
+    weak one; the second only Last-Modified or, for every fourth page, an ETag that no response has; the early one nothing.
     """
-    tag = F.substring(F.md5(F.coalesce(F.col("html"), F.lit(""))), 1, 12)
-    at = 1_600_000_000 + F.col("page_id") * 600
+    page, html = F.col("page_id"), F.coalesce(F.col("html"), F.lit(""))
+    tag, changed = F.substring(F.md5(html), 1, 12), F.substring(F.md5(F.concat(html, F.lit("v2"))), 1, 12)
+    at = 1_600_000_000 + page * 600
     text = lambda c: c.cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     fields = lambda **k: F.map_filter(F.create_map(*[x for n, c in k.items() for x in (F.lit(n.replace("_", "-")), c)]), lambda _, v: v.isNotNull())
-    record = lambda n, ts, kind, headers: F.struct((F.col("page_id") * 3 + n).alias("record_id"), ts.alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"))
-    later, last = at + 86_400 * (1 + F.col("page_id") % 5), at + 86_400 * 7
-    full = fields(etag=F.concat(F.lit('"'), tag, F.lit('"')), last_modified=text(at - 1000), content_length=text(F.length("html")), cache_control=F.lit("max-age=60"), date=text(at))
-    weak = fields(etag=F.concat(F.lit('W/"'), tag, F.lit('"')), content_length=F.lit("0"), cache_control=F.lit("max-age=90"), date=text(later))
-    other = fields(etag=F.when(F.col("page_id") % 4 == 0, F.lit('"none"')), last_modified=text(at - 1000), date=text(last))
-    rows = F.array(record(0, at, "response", full), record(1, later, "revisit", weak), record(2, last, "revisit", other))
+    record = lambda n, ts, kind, headers: F.struct((page * 5 + n).alias("record_id"), ts.alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"))
+    full = lambda ts, tag: fields(etag=quoted(tag), last_modified=text(ts - 1000), content_length=text(F.length("html")), cache_control=F.lit("max-age=60"), date=text(ts))
+    later, last, second, early = at + 86_400 * (1 + page % 5), at + 86_400 * 7, at + 86_400 * 2, at - 3600
+    weak = fields(etag=F.concat(F.lit("W/"), quoted(tag)), content_length=F.lit("0"), cache_control=F.lit("max-age=90"), date=text(later))
+    other = fields(etag=F.when(page % 4 == 0, F.lit('"none"')), last_modified=text(at - 1000), date=text(last))
+    again = F.when(page % 3 == 0, record(3, second, "response", full(second, F.when(page % 9 == 0, changed).otherwise(tag))))
+    before = F.when(page % 5 == 0, record(4, early, "revisit", fields(date=text(early))))
+    rows = F.array_compact(F.array(record(0, at, "response", full(at, tag)), record(1, later, "revisit", weak), record(2, last, "revisit", other), again, before))
     return pages.select("url", F.explode(rows).alias("r")).select("url", "r.*")
 
 
@@ -113,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_token_store": op10_token_store,
     "line_dedup_every_line": line_dedup_every_line,
+    "quality_statistics": quality_statistics,
 }
 
 
@@ -129,6 +141,15 @@ again as (select *, k - row_number() over (partition by doc_id order by k) as ru
 
 
 ORACLE_SQL: dict[str, str] = {
+    "quality_statistics": r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+w as (select doc_id, unnest(range(len(words) - 2)) as i, words from d where len(words) >= 3),
+g as (select doc_id, i, count(*) over (partition by doc_id, words[i + 1], words[i + 2], words[i + 3]) as times from w),
+c as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where times > 1) group by 1),
+l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+s as (select d.doc_id, len(words)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words from d join l using (doc_id) left join c using (doc_id))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s""",
     "op2_url_filter": rf"""
 with words as (select {FIRST} as a, {SECOND} as b, {ZONES} as z),
 unwanted as (select x || '-' || y || '.' || zone as bad from (select unnest(a) as x, b, z from words) w, unnest(b) as t(y), unnest(z) as u(zone)),
@@ -148,22 +169,24 @@ select doc_id, start, length, words, keep_doc_id, keep_start, copies from runs w
     "line_dedup_every_line": _units_sql(r"\n") + """
 select doc_id, start, length, words, keep_doc_id, keep_start, copies from again""",
     "op4_revisits": r"""
-with p as (select page_id, 1600000000 + page_id * 600 as t0, substr(md5(coalesce(html, '')), 1, 12) as tag, length(html) as n, regexp_replace(url, '#.*$', '') as bare from pages),
+with p as (select page_id, 1600000000 + page_id * 600 as t0, substr(md5(coalesce(html, '')), 1, 12) as tag, substr(md5(coalesce(html, '') || 'v2'), 1, 12) as changed, length(html) as n, regexp_replace(url, '#.*$', '') as bare from pages),
 h as (select *, regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1) as head from p),
 t as (select *, substr(bare, length(head) + 1) as tail from h),
-c as (select page_id, t0, tag, n, regexp_replace(regexp_replace(lower(head), '^(http://[^/?]*):80$', '\1'), '^(https://[^/?]*):443$', '\1')
+c as (select page_id, t0, tag, changed, n, regexp_replace(regexp_replace(lower(head), '^(http://[^/?]*):80$', '\1'), '^(https://[^/?]*):443$', '\1')
     || regexp_replace(regexp_extract(tail, '^([^?]*)', 1), '/+$', '') as path,
     list_sort(list_filter(string_split(regexp_extract(tail, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) as params from t),
-u as (select page_id, t0, tag, n, path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as url from c),
-full_ as (select page_id * 3 as id, t0 as ts, url, tag, n, (t0 - 1000)::varchar as lm from u),
-rev as (select page_id * 3 + 1 as record_id, t0 + 86400 * (1 + page_id % 5) as ts, url, tag as etag, 'W/"' || tag || '"' as shown, null as lm, 'max-age=90' as cc from u
-    union all select page_id * 3 + 2, t0 + 86400 * 7, url, case when page_id % 4 = 0 then 'none' end, null, (t0 - 1000)::varchar, null from u),
+u as (select page_id, t0, tag, changed, n, path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as url from c),
+full_ as (select page_id * 5 as id, t0 as ts, url, tag, n, (t0 - 1000)::varchar as lm from u
+    union all select page_id * 5 + 3, t0 + 172800, url, case when page_id % 9 = 0 then changed else tag end, n, (t0 + 171800)::varchar from u where page_id % 3 = 0),
+rev as (select page_id * 5 + 1 as record_id, t0 + 86400 * (1 + page_id % 5) as ts, url, tag as etag, 'W/"' || tag || '"' as shown, null as lm, 'max-age=90' as cc from u
+    union all select page_id * 5 + 2, t0 + 86400 * 7, url, case when page_id % 4 = 0 then 'none' end, null, (t0 - 1000)::varchar, null from u
+    union all select page_id * 5 + 4, t0 - 3600, url, null, null, null, null from u where page_id % 5 = 0),
 j as (select r.*, f.id, f.ts as fts, f.tag as ftag, f.n, f.lm as flm,
     row_number() over (partition by r.record_id order by f.ts desc nulls last, f.id desc) as k from rev r left join full_ f on f.url = r.url and f.ts < r.ts),
 s as (select *, case when id is null then 'no_base' when case when etag is not null then etag = ftag when lm is not null then lm = flm else true end then 'resolved' else 'mismatch' end as status from j where k = 1)
 select record_id, url as canonical_url, ts, case when status = 'resolved' then id end as base_id, case when status = 'resolved' then fts end as base_ts, status,
     case when status = 'resolved' then 'cache-control=' || coalesce(cc, 'max-age=60') || ';content-length=' || n || ';date=' || ts || ';etag=' || coalesce(shown, '"' || ftag || '"')
-        || ';last-modified=' || flm end as headers from s""",
+        || ';last-modified=' || coalesce(lm, flm) end as headers from s""",
     "op7_exact_dedup": r"""
 with n as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
 select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
