@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confera.functions.lexicon import ZH, Lexicon
 from confera.operators import badcase, emotion, kpi, metrics, outcomes, segment, sessionize, signals
+from confera.operators.store import use_shared_folder
 
 
 def enrich(turns: DataFrame, lexicon: Lexicon = ZH, *, eager_user_breaks: bool = True, by_row: bool = False) -> DataFrame:
@@ -25,9 +27,17 @@ def enrich(turns: DataFrame, lexicon: Lexicon = ZH, *, eager_user_breaks: bool =
     return switched.join(described, emotion.KEY).join(scored, emotion.KEY).drop("own_topic")
 
 
+def result(f: Callable[[Evaluation], DataFrame]) -> cached_property:
+    """A result that others build on; written once where the evaluation keeps its results."""
+    return cached_property(wraps(f)(lambda self: self._kept(f(self))))
+
+
 @dataclass
 class Evaluation:
-    """Results as lazy frames. The enriched table feeds them all: persist it once with keep()."""
+    """Results as lazy frames, or, after keep(), each written once to the shared folder when it is first asked for.
+
+    Most results build on others, so without keep() a plan repeats what it builds on as often as it is used.
+    """
 
     turns: DataFrame
     lexicon: Lexicon = ZH
@@ -35,23 +45,29 @@ class Evaluation:
     run_id: str = "run"
     scenario: str = "generic"
 
-    @cached_property
+    @result
     def enriched(self) -> DataFrame:
         return enrich(self.turns, self.lexicon, by_row=self.by_row)
 
+    writes: bool = False
+
     def keep(self) -> Evaluation:
-        self.enriched.persist()
+        use_shared_folder(self.turns.sparkSession)
+        self.writes = True
         return self
 
-    @cached_property
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return df.checkpoint() if self.writes else df
+
+    @result
     def objective(self) -> DataFrame:
         return metrics.objective_metrics(self.enriched, self.lexicon)
 
-    @cached_property
+    @result
     def signals(self) -> DataFrame:
         return signals.implicit_signals(self.enriched, self.lexicon)
 
-    @cached_property
+    @result
     def dimensions(self) -> DataFrame:
         return signals.rule_dimensions(self.enriched, self.signals, self.lexicon)
 
@@ -59,23 +75,27 @@ class Evaluation:
     def turning_points(self) -> DataFrame:
         return outcomes.turning_points(self.enriched)
 
-    @cached_property
+    @result
     def goals(self) -> DataFrame:
         return outcomes.goal_completion(self.enriched, self.lexicon)
 
-    @cached_property
+    @result
     def recoveries(self) -> DataFrame:
         return outcomes.recovery_traces(self.enriched, self.goals, self.lexicon)
 
-    @cached_property
+    @result
+    def values(self) -> DataFrame:
+        return kpi.metric_values(self.objective, self.dimensions, self.signals, self.goals, self.recoveries)
+
+    @result
     def kpis(self) -> DataFrame:
-        return kpi.scenario_kpis(kpi.metric_values(self.objective, self.dimensions, self.signals, self.goals, self.recoveries))
+        return kpi.scenario_kpis(self.values)
 
     @cached_property
     def registry(self) -> DataFrame:
-        return kpi.metric_registry(kpi.metric_values(self.objective, self.dimensions, self.signals, self.goals, self.recoveries))
+        return kpi.metric_registry(self.values)
 
-    @cached_property
+    @result
     def bad_cases(self) -> DataFrame:
         return badcase.bad_cases(self.enriched, self.objective, self.signals, self.goals, self.recoveries, self.lexicon, scenario=self.scenario)
 
