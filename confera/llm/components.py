@@ -1,4 +1,8 @@
-"""Connected components of a graph of links, by alternating large-star and small-star steps."""
+"""Connected components of a graph of links, by alternating large-star and small-star steps.
+
+Defined results: a link of a node to itself says nothing, and repeated links count once, in either direction. Nodes are
+whole numbers and never null. No links give an empty result. Only the two columns named are read.
+"""
 
 from __future__ import annotations
 

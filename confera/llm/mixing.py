@@ -8,7 +8,7 @@ again, and the cut is the document there that brings the sum nearest the target.
 half a document, whatever its size, and a source that holds a third of all rows is summed in parts.
 
 Defined results: a null text has size 0 and is taken 0 words. Documents of a null source form a source of their own, last
-in order. Rows that share an id share its draw. A null id has the draw of its null. A source of size 0 has target 0. An
+in order. Rows that share an id share its draw. A null id has the draw of its null. A very long text counts its words like any. A source of size 0 has target 0. An
 empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 

@@ -8,7 +8,8 @@ the number of labelled rows, and no row reaches the driver.
 
 Defined results: a null text has no words (every statistic is 0) and, like any text of under 50 words, fails the base
 rules. With no usable labels the list is empty and the base rules alone decide. Labels other than 0 and 1 and repeated
-labels of an id (the smallest counts) are no error. Other columns are ignored, whatever their names.
+labels of an id (the smallest counts) are no error. Repeated rows give a row each. A very long text is counted within its row;
+words in repeated windows are found by sorting hashes, not by comparing windows. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ Last-Modified if it has one, else without a check. The resolved record's headers
 update taken from the revisit.
 
 Defined results: a record of null URL or time resolves nothing and is base for nothing. Of full responses at the same time
-the largest record id counts, and a revisit sees only responses of a strictly earlier time. Repeated rows resolve alike.
+the largest record id counts, and a revisit sees only responses of a strictly earlier time. Repeated rows resolve alike, a row each. A very long URL is a key like any; headers of any length are carried as text.
 An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 

@@ -9,10 +9,13 @@ phrases around an entry that clean texts use are learned as exceptions and cover
 
 A text's score is the sum of its entries' weights, each counted with diminishing effect when repeated, less a prior and a
 part that grows with the log of its length, through the logistic function. The sample's ids are few enough to broadcast,
-so no text is shuffled to meet its label; the driver gets the lexicon, of `max_entries` at most by weight and support.
+so no text is shuffled to meet its label; the driver gets the lexicon, of `max_entries` at most by weight and support, and
+of exception phrases `MAX_EXCEPTIONS` at most, the commonest in clean texts. Both bound the fitted model, as the sample
+does; every text is scored with all of it.
 
 Defined results: a null or empty text scores as one without entries. A row without a usable label is scored but not learned
-from; of an id's repeated labels the largest counts. With no toxic label every text scores 0. Other columns are ignored.
+from; of an id's repeated labels the largest counts. With no toxic label, or an empty table, every text scores 0. Texts that
+are equal score alike. A very long text is folded and matched whole, within its row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ _BLANK = {c: " " for c in range(256) if not chr(c).isalnum()}
 MIN_SUPPORT, MIN_SHARE, MIN_WEIGHT = 5, 0.004, 3.5
 PREFIXES = range(3, 9)
 MAX_ENTRIES = 20_000
+MAX_EXCEPTIONS = 5_000
 #: Labelled rows of each label that the lexicon is learned from, at most.
 MAX_ROWS = 30_000
 
@@ -240,7 +244,7 @@ def _occurrences(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     return rows.select("text", "toxic").mapInPandas(find, "whole boolean, entry string, before string, word string, after string, toxic int")
 
 
-def _exceptions(met: DataFrame, words: dict[str, float], beginnings: dict[str, float], toxic: int, clean: int, most: int = 5_000) -> list[str]:
+def _exceptions(met: DataFrame, words: dict[str, float], beginnings: dict[str, float], toxic: int, clean: int, most: int = MAX_EXCEPTIONS) -> list[str]:
     """Phrases of an entry and a word beside it that clean texts have, and hardly any toxic one."""
     own = met.filter((F.col("whole") & F.col("entry").isin(list(words))) | (~F.col("whole") & F.col("entry").isin(list(beginnings))))
     pairs = own.select("toxic", F.explode(F.array(F.when(F.col("before") != "", F.concat_ws(" ", "before", "word")), F.when(F.col("after") != "", F.concat_ws(" ", "word", "after")))).alias("phrase"))

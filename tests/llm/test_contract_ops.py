@@ -1,5 +1,6 @@
 """The dealt operators against brute force, with nulls, ties, repeated rows, empty tables and clashing columns."""
 
+import math
 import random
 import re
 import struct
@@ -73,6 +74,20 @@ def test_quality_statistics(spark, rows):
         assert (r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover))
 
 
+def test_decision_list_against_brute_force(spark):
+    """The ordered conditional against the rules applied one by one in Python."""
+    rng = random.Random(17)
+    rows = [(k, rng.choice([True, False]), *[rng.randrange(1, 90) for _ in range(7)]) for k in range(300)]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits"]
+    df = spark.createDataFrame([(k, bad or r[2] > 70, *r) for k, bad, *r in rows], "doc_id bigint, bad boolean, " + ", ".join(f"{n} bigint" for n in names))
+    learned = quality_rules.learn_rules(df)
+    assert learned.rules
+    features = lambda r: {"n_words": r.n_words, "mean_word": r.word_chars / max(r.n_words, 1), "symbols": r.n_symbols / max(r.n_words, 1), "dup_lines": r.n_dup_lines, "repeated": r.n_repeat_words / max(r.n_words, 1), "upper": r.n_upper / max(r.word_chars, 1), "digits": r.n_digits / max(r.word_chars, 1)}
+    for r in df.withColumn("rejected", learned.rejects()).collect():
+        x = features(r)
+        assert r.rejected == any(all((x[c.feature] >= c.threshold) == c.above for c in rule.conditions) for rule in learned.rules)
+
+
 def test_quality_rules_learn(spark):
     rng = random.Random(1)
     clean = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(80)), "s") for i in range(120)]
@@ -81,6 +96,8 @@ def test_quality_rules_learn(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in clean[:80]] + [(i, 0, 0) for i, _, _ in junk[:40]] + [(None, 0, 0), (5, None, 1)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
     assert all(got[i].kept for i, _, _ in clean) and not any(got[i].kept for i, _, _ in junk)
+    for r in got.values():
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed)
     none = quality_rules.quality_rules(docs, labels.limit(0)).collect()
     assert all(r.kept for r in none)
     assert quality_rules.quality_rules(docs.limit(0), labels).count() == 0
@@ -424,6 +441,42 @@ def test_toxicity_exceptions():
     assert score("azor blah") < 0.1 < score("zorblah")
 
 
+def _naive_score(lexicon, text):
+    """Every pattern sought at every place of the folded text."""
+    folded = toxicity.fold(text)
+    entries = {f" {w} ": x for w, x in lexicon.words.items()}
+    heads = {f" {w}": x for w, x in lexicon.beginnings.items()}
+    covered = {(k, k + len(p) + 1) for p in lexicon.exceptions for k in range(len(folded)) if folded.startswith(f" {p} ", k)}
+    times = defaultdict(list)
+    for k in range(len(folded)):
+        met = [(x, p) for p, x in [*entries.items(), *heads.items()] if folded.startswith(p, k)]
+        if met:
+            x, p = max(met, key=lambda m: m[0])
+            if not any(a <= k and k + len(p) - 1 <= b for a, b in covered):
+                times[p].append(x)
+    total = lexicon.prior + sum(x[0] * (1 + math.log(len(x))) for x in times.values()) - math.log1p((folded.count(" ") - 1) / 400)
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
+
+
+def test_scorer_against_a_naive_matcher():
+    rng = random.Random(13)
+    letters = ["ab", "ba", "abc", "cab", "b", "a", "é", "x1", "aa", "bb"]
+    for _ in range(150):
+        words = lambda n: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 2))) for _ in range(n)]
+        lexicon = toxicity.Lexicon({toxicity.fold(w).strip(): rng.uniform(1, 9) for w in words(8)}, {toxicity.fold(w).strip(): rng.uniform(1, 9) for w in words(5)}, [toxicity.fold(" ".join(words(2))).strip() for _ in range(6)], rng.uniform(-9, 0))
+        scorer = toxicity.Scorer(lexicon)
+        for text in [" ".join(words(rng.randrange(60))) for _ in range(6)] + ["", None, ". , -", "AB  ab\nab"]:
+            assert scorer.score(text) == pytest.approx(_naive_score(lexicon, text))
+
+
+def test_toxicity_of_ties_repeats_and_empty_tables(spark):
+    docs = docs_of(spark, [(1, "zorq ab", "s"), (2, "zorq ab", "s"), (2, "zorq ab", "s"), (3, None, "s")])
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 1, 0), (2, 1, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id in (1, 2)}) == 1
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and toxicity.drop_toxic(docs.limit(0), labels.limit(0)).count() == 0
+
+
 def _targets(sizes, weights, total):
     open_, out = set(range(len(sizes))), {}
     while True:

@@ -161,3 +161,14 @@ def test_pipeline(spark, tmp_path):
     for r in got:
         places[r.sequence_id].append((r.offset, r.length))
     assert all(sum(n for _, n in p) <= 2048 for p in places.values())
+
+
+def test_pipeline_of_an_empty_table_and_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    odd = [(None, None, "s"), (None, "", None), (1, "same words here", "s"), (1, "same words here", "s"), (2, "long " * 30_000, None), (3, "other words there", "t")]
+    for name, rows, most in (("empty", [], 0), ("odd", odd, 12)):
+        docs_of(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.coalesce(1).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len({(r.doc_id, r.start) for r in got}) <= 60 and (len(got) > 0) == bool(most)
