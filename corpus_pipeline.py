@@ -2,6 +2,11 @@
 
 Each stage takes the documents that its predecessor kept, written as Parquet and read again, and returns documents with the
 columns they came with; the last returns the packed pieces. Labels to learn from are those of the table beside documents.
+
+Defined results: an empty table gives an empty result. A null text scores as one without toxic words, is a copy of other null
+and empty texts (one stays), and is taken 0 words by the mix, so it may be taken any whole number of times. Rows of null ids
+are rows like any; of rows that repeat an id and a text one stays. A very long text passes every stage whole and is cut into
+pieces by the last. Columns beyond those of documents are carried along to the last stage, whatever their names.
 """
 
 from __future__ import annotations

@@ -80,3 +80,22 @@ def test_json_in_answers(spark):
     rows = ['{"a": 1}', 'well: {"a": "}", "b": {"c": 2}} done', "{bad} then {\"ok\": true}", "none", None]
     got = [r.x for r in spark.createDataFrame([(x,) for x in rows], "t string").select(text.extract_json(F.col("t")).alias("x")).collect()]
     assert got == ['{"a": 1}', '{"a": "}", "b": {"c": 2}}', '{"ok": true}', None, None]
+
+
+def test_redaction_against_python(spark):
+    import random
+    import re
+
+    from confera.functions import pii
+
+    rng = random.Random(3)
+    parts = ["a.b@x.org", "@", "13812345678", "+86 13912345678", "1234567890123456", "6222 0212 3456 7890 123", "11010519491231002X", "Order id: AB-12345", "订单号：XY12345", "order", "单号 1", "x", " ", "-", "1", "23", "，"]
+    texts = [None, ""] + ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(9))) for _ in range(400)]
+    got = pii.redact(spark.createDataFrame(list(enumerate(texts)), "id int, content string")).orderBy("id").collect()
+    for r, text in zip(got, texts):
+        hits, found = 0, []
+        for name, pattern, token in pii.PATTERNS:
+            text, n = (None, 0) if text is None else re.subn(pattern, token, text, flags=re.ASCII)
+            hits += n
+            found += [name] * (n > 0)
+        assert (r.content, r.pii_hits, r.pii_categories) == (text, hits, sorted(found))
