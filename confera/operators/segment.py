@@ -38,31 +38,49 @@ def split_rule(lexicon: Lexicon, eager_user_breaks: bool):
     return decide
 
 
-def topic_segments(turns: DataFrame, lexicon: Lexicon = ZH, *, eager_user_breaks: bool = True, honor_continuation: bool = True) -> DataFrame:
-    """turns with topic_segment_index (from 1 in each session) and the message's own topic: label, domain, hundredths."""
+def coded_turns(turns: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
+    """What the scan needs to know of each turn, and the columns to keep; no text."""
     text = F.col("content")
-    coded = turns.withColumn("own_topic", lexicon.domain(text)).select(
-        "session_id", "turn_index", "own_topic.domain", "own_topic.hundredths", (F.col("role") == "user").alias("user"), (F.col("role") == "assistant").alias("assistant"), (text.rlike(lexicon.switch) | text.rlike(lexicon.negative_break)).alias("breaks"),
+    own = turns.withColumn("own_topic", lexicon.domain(text))
+    return own.select(
+        "session_id", "turn_index", *keep, "own_topic.domain", "own_topic.hundredths", (F.col("role") == "user").alias("user"), (F.col("role") == "assistant").alias("assistant"), (text.rlike(lexicon.switch) | text.rlike(lexicon.negative_break)).alias("breaks"),
         text.rlike(lexicon.practice).alias("practice"), text.rlike(lexicon.assistant_wrap).alias("wrap"), text.rlike(lexicon.wrap_up).alias("closing"), text.rlike(lexicon.continuation).alias("continues"),
     )
-    decide = split_rule(lexicon, eager_user_breaks)
+
+
+class Scan:
+    """The open segment of one session: its number and, by domain in order of appearance, its sums."""
+
+    def __init__(self, lexicon: Lexicon, eager_user_breaks: bool, honor_continuation: bool, index: int = 0, sums: dict[str, int] | None = None):
+        self.decide, self.honor_continuation = split_rule(lexicon, eager_user_breaks), honor_continuation
+        self.index, self.sums = index, sums or {}
+
+    def segment_of(self, r) -> int:  # noqa: ANN001
+        """Takes the session's next turn in."""
+        if not self.index:
+            self.index = 1
+        elif not (self.honor_continuation and r.continues) and self.decide(max(self.sums, key=self.sums.get), r):
+            self.index, self.sums = self.index + 1, {}
+        self.sums[r.domain] = self.sums.get(r.domain, 0) + r.hundredths
+        return self.index
+
+
+def topic_segments(turns: DataFrame, lexicon: Lexicon = ZH, *, eager_user_breaks: bool = True, honor_continuation: bool = True) -> DataFrame:
+    """turns with topic_segment_index (from 1 in each session) and the message's own topic: label, domain, hundredths."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, index, sums = None, 0, {}
+        session, state = None, None
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                if r.session_id != session:
-                    session, index, sums = r.session_id, 1, {}
-                elif not (honor_continuation and r.continues) and decide(max(sums, key=sums.get), r):
-                    index, sums = index + 1, {}
-                sums[r.domain] = sums.get(r.domain, 0) + r.hundredths
-                out.append(index)
+                if r.session_id != session or state is None:
+                    session, state = r.session_id, Scan(lexicon, eager_user_breaks, honor_continuation)
+                out.append(state.segment_of(r))
             yield pd.DataFrame({"session_id": batch["session_id"], "turn_index": batch["turn_index"], "topic_segment_index": out})
 
-    ordered = coded.repartition("session_id").sortWithinPartitions("session_id", "turn_index")
+    ordered = coded_turns(turns, lexicon).repartition("session_id").sortWithinPartitions("session_id", "turn_index")
     indexed = ordered.mapInPandas(scan, "session_id string, turn_index int, topic_segment_index int")
-    return turns.join(indexed, ["session_id", "turn_index"]).withColumn("own_topic", lexicon.domain(text))
+    return turns.join(indexed, ["session_id", "turn_index"]).withColumn("own_topic", lexicon.domain(F.col("content")))
 
 
 def row_splits(turns: DataFrame, lexicon: Lexicon = ZH) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from confera.functions.lexicon import ZH, Lexicon
+from confera.operators.segment import Scan, coded_turns
+
 TURN = "session_id string, session_seq bigint, turn_index int, role string, content string, ts timestamp"
 
 
@@ -35,3 +40,22 @@ def evaluate_batches(turns: DataFrame, evaluate: Callable[[DataFrame], DataFrame
 
     writer = turns.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def segment_stream(turns: DataFrame, lexicon: Lexicon = ZH, *, eager_user_breaks: bool = True, honor_continuation: bool = True) -> DataFrame:
+    """session_id, turn_index, topic_segment_index of a stream of turns; a session's turns must come in their order.
+
+    The state of a session is its open segment, as small however long the session is. Within a micro-batch turns are put in
+    order; a turn that comes in a later batch than its successor is taken in after it.
+    """
+
+    def scan(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        index, sums = state.get if state.exists else (0, "{}")
+        open_ = Scan(lexicon, eager_user_breaks, honor_continuation, index, json.loads(sums))
+        rows = pd.concat(list(frames)).sort_values("turn_index", kind="stable")
+        out = [open_.segment_of(r) for r in rows.itertuples(index=False)]
+        state.update((open_.index, json.dumps(open_.sums)))
+        yield pd.DataFrame({"session_id": key[0], "turn_index": rows["turn_index"].to_numpy(), "topic_segment_index": out})
+
+    coded = coded_turns(turns, lexicon)
+    return coded.groupBy("session_id").applyInPandasWithState(scan, "session_id string, turn_index int, topic_segment_index int", "open int, sums string", "append", "NoTimeout")

@@ -144,3 +144,23 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.stop()
     assert sorted(map(tuple, spark.sql("select * from by_window").collect())) == sorted(map(tuple, streaming.activity_by_window(df).collect()))
     assert streaming.session_activity(df).count() == 3
+
+
+def test_streamed_segments_are_those_of_the_batch(spark, tmp_path):
+    import random
+
+    from confera.functions.lexicon import SYNTHETIC
+    from confera.operators import segment
+
+    rng = random.Random(2)
+    said = ["erin", "than", "thre", "tion", "are", "this", "from", "for", "thst", "erst", "plain"]
+    rows = [(f"s{k % 4}", k % 4, k // 4 + 1, rng.choice(["user", "assistant"]), " ".join(rng.sample(said, 2))) for k in range(160)]
+    turns = spark.createDataFrame(rows, "session_id string, session_seq bigint, turn_index int, role string, content string")
+    for n in range(4):  # a session's turns in four files, in order
+        turns.filter(f"turn_index > {10 * n} and turn_index <= {10 * n + 10}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = streaming.turn_stream(spark, f"{tmp_path}/in", schema="session_id string, session_seq bigint, turn_index int, role string, content string", files=1)
+    q = streaming.segment_stream(stream, SYNTHETIC).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).format("parquet").option("path", f"{tmp_path}/out").start()
+    assert q.awaitTermination(120)
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("session_id", "turn_index", "topic_segment_index").collect()))
+    want = sorted(map(tuple, segment.topic_segments(turns, SYNTHETIC).select("session_id", "turn_index", "topic_segment_index").collect()))
+    assert got == want and max(x[2] for x in want) > 3
