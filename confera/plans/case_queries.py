@@ -16,8 +16,8 @@ from confera.plans.registry import query, r, raw_turns, table, unit
 _WITH_EVALUATION: list[tuple] = []
 
 
-def evaluation_query(sql: str):  # noqa: ANN201
-    """A query whose SQL begins with all pieces of the evaluation; registered when those are there."""
+def evaluation_query(sql):  # noqa: ANN001, ANN201
+    """A query whose SQL begins with all pieces of the evaluation; registered when those are there. sql: text, or a function of their module."""
 
     def register(f):  # noqa: ANN001, ANN202
         _WITH_EVALUATION.append((sql, f))
@@ -30,7 +30,7 @@ def register_later() -> None:
     from confera.plans import oracle
 
     for sql, f in _WITH_EVALUATION:
-        query(oracle.chain(*oracle.FULL) + sql)(f)
+        query(oracle.chain(*oracle.FULL) + (sql if isinstance(sql, str) else sql(oracle)))(f)
 
 
 def evaluated(spark, sf_dir) -> Evaluation:
@@ -136,6 +136,36 @@ def merged_dimensions(spark, sf_dir):
     return signals.merge_dimensions(first.unionByName(d.select("dimension", F.lit(3.0).alias("score"), F.lit(1).alias("rows"))))
 
 
+def _signal_evidence(o) -> str:  # noqa: ANN001
+    row = lambda test, end="": f"(select struct_pack(s := session_id, t := turn_index, c := content, z := seg_end) from x where {test} order by session_seq {end}, turn_index {end} limit 1)"
+    unresolved = "exists (select 1 from low where low.unresolved and low.session_id = x.session_id and low.turn_index = x.turn_index)"
+    return f""", se as (select 'interest_decline' as k, coalesce({row("role = 'user'", 'desc')}, {row('true', 'desc')}) as e union all select 'understanding_barrier', coalesce({row("role = 'user' and " + o.rx('content', o.L.confusion))}, {row("role = 'user' and is_question")}, {row('true')})
+    union all select 'recovery_failure', coalesce({row(unresolved)}, {row('emotion <= 40')}, {row('true')}))
+select k as signal_key, '[turn ' || e.t || '] ' || e.c as evidence, e.s || ':' || case k when 'interest_decline' then greatest(1, e.t - 2) || '-' || e.t when 'understanding_barrier' then e.t || '-' || e.t else e.t || '-' || least(e.t + 4, e.z) end as evidence_turn_range from se"""
+
+
+@evaluation_query(_signal_evidence)
+def signal_evidence(spark, sf_dir):
+    """The turn that each signal names, and its range."""
+    return evaluated(spark, sf_dir).signals.select("signal_key", "evidence", "evidence_turn_range")
+
+
+def _goal_evidence(o) -> str:  # noqa: ANN001
+    said = lambda n: f"case when length(content) > {n} then left(content, {n}) || '…' else content end"
+    first = lambda text, test: f"arg_min('{text} at turn ' || turn_index || ': ' || {said(60)}, turn_index) filter (role = 'user' and {test})"
+    return f""", ge as (select session_id, {first('gave up', 'back <= 2 and ' + o.rx('content', *o.L.goal_give_up))} as w1, {first('escalated', o.rx('content', *o.L.goal_escalation))} as w2, {first('unsolved', o.rx('content', *o.L.goal_failure))} as w3,
+    arg_max('solved at turn ' || turn_index || ': ' || {said(80)}, turn_index) filter (role = 'assistant' and {o.rx('content', *o.L.goal_resolution)}) as v1, arg_max('closed with: ' || {said(60)}, turn_index) filter (role = 'user') as v2, 'emotion rose to ' || arg_max(emotion, turn_index) as v3 from ranked group by 1)
+select session_id, array_to_string(list_filter([case when f1 then w1 end, case when f2 then w2 end, case when f3 then w3 end, case when f4 then 'asked again, times: ' || rep.c end], lambda v: v is not null), '|') as failure_reasons,
+    array_to_string(list_filter([case when a1 then v1 end, case when a2 then v2 end, case when a3 then v3 end], lambda v: v is not null), '|') as achievement_evidence from gv join ge using (session_id) left join rep using (session_id)"""
+
+
+@evaluation_query(_goal_evidence)
+def goal_evidence(spark, sf_dir):
+    """What speaks for and against each session's goal."""
+    goals = evaluated(spark, sf_dir).goals
+    return goals.select("session_id", F.array_join("failure_reasons", "|").alias("failure_reasons"), F.array_join("achievement_evidence", "|").alias("achievement_evidence"))
+
+
 # ---- packages, gates and runs ----------------------------------------------------------------------------------------
 
 
