@@ -8,11 +8,13 @@ length needs no more memory than a short one.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from confera.functions.lexicon import ZH, Lexicon
 from confera.functions.text import confidence
@@ -39,9 +41,10 @@ def split_rule(lexicon: Lexicon, eager_user_breaks: bool):
 
 
 def coded_turns(turns: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
-    """What the scan needs to know of each turn, and the columns to keep; no text."""
+    """What the scan needs to know of each turn; keep: "row" for the turn itself, as a struct with its own topic."""
     text = F.col("content")
     own = turns.withColumn("own_topic", lexicon.domain(text))
+    own = own.withColumn("row", F.struct(*turns.columns, "own_topic")) if "row" in keep else own
     return own.select(
         "session_id", "turn_index", *keep, "own_topic.domain", "own_topic.hundredths", (F.col("role") == "user").alias("user"), (F.col("role") == "assistant").alias("assistant"), (text.rlike(lexicon.switch) | text.rlike(lexicon.negative_break)).alias("breaks"),
         text.rlike(lexicon.practice).alias("practice"), text.rlike(lexicon.assistant_wrap).alias("wrap"), text.rlike(lexicon.wrap_up).alias("closing"), text.rlike(lexicon.continuation).alias("continues"),
@@ -66,21 +69,28 @@ class Scan:
 
 
 def topic_segments(turns: DataFrame, lexicon: Lexicon = ZH, *, eager_user_breaks: bool = True, honor_continuation: bool = True) -> DataFrame:
-    """turns with topic_segment_index (from 1 in each session) and the message's own topic: label, domain, hundredths."""
+    """turns with topic_segment_index (from 1 in each session) and the message's own topic: label, domain, hundredths.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Rows go through the scan whole, as Arrow columns that it hands on untouched, so no join has to bring its answer back.
+    """
+    coded = coded_turns(turns, lexicon, "row")
+    codes = [c for c in coded.columns if c not in ("row", "session_id", "turn_index")]
+    kept = [*turns.columns, "own_topic"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session, state = None, None
+        turn = namedtuple("turn", codes)
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                if r.session_id != session or state is None:
-                    session, state = r.session_id, Scan(lexicon, eager_user_breaks, honor_continuation)
-                out.append(state.segment_of(r))
-            yield pd.DataFrame({"session_id": batch["session_id"], "turn_index": batch["turn_index"], "topic_segment_index": out})
-
-    ordered = coded_turns(turns, lexicon).repartition("session_id").sortWithinPartitions("session_id", "turn_index")
-    indexed = ordered.mapInPandas(scan, "session_id string, turn_index int, topic_segment_index int")
-    return turns.join(indexed, ["session_id", "turn_index"]).withColumn("own_topic", lexicon.domain(F.col("content")))
+            for own, *code in zip(batch.column("session_id").to_pylist(), *(batch.column(f"__{c}").to_pylist() for c in codes)):
+                if own != session or state is None:
+                    session, state = own, Scan(lexicon, eager_user_breaks, honor_continuation)
+                out.append(state.segment_of(turn(*code)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.int32())], names=[*kept, "topic_segment_index"])
+
+    rows = coded.select("row.*", *[F.col(c).alias(f"__{c}") for c in codes])
+    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "turn_index")
+    return ordered.mapInArrow(scan, rows.select(*kept).schema.add("topic_segment_index", IntegerType()))
 
 
 def row_splits(turns: DataFrame, lexicon: Lexicon = ZH) -> DataFrame:
