@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,9 @@ class MappingPlan:
     fields: dict[str, str] = field(default_factory=dict)
     parents: dict[str, str] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
+    confidence: float = 0.52
+    questions: list[str] = field(default_factory=list)
+    review: str = "none"
 
     @property
     def capabilities(self) -> dict[str, bool]:
@@ -92,9 +97,29 @@ def infer_mapping(schema: StructType) -> MappingPlan:
     if path:
         plan.parents = {t: f for t in ("session_id", "timestamp") if t not in plan.fields and (f := find_field(schema.fieldNames(), t)) and isinstance(schema[f].dataType, StringType)}
     plan.warnings = [f"{t} is missing" for t in ("role", "content") if t not in plan.fields]
+    plan.confidence = 0.52 if plan.warnings else 0.78
     return plan
 
 
+def _united(*lists: list[str]) -> list[str]:
+    """Trimmed, each once, in the order of their first appearance."""
+    return list(dict.fromkeys(t for x in lists for x_ in x if (t := x_.strip())))
+
+
+def review_mapping(plan: MappingPlan, judge: Callable[[MappingPlan], dict]) -> MappingPlan:
+    """The plan after a judge's review: a dict with confidence, warnings and questions, each of which may be missing.
+
+    The confidence is the mean of both, to two places; warnings and questions are united. A judge that fails leaves the plan
+    as it is, with a warning.
+    """
+    try:
+        said = judge(plan)
+    except Exception as e:  # noqa: BLE001  whatever a judge runs into, the plan stands
+        return replace(plan, warnings=_united(plan.warnings, [f"review failed: {e}"]), review="degraded")
+    own = min(1.0, max(0.0, said.get("confidence", plan.confidence)))
+    return replace(plan, confidence=math.floor((plan.confidence + own) / 2 * 100 + 0.5) / 100, warnings=_united(plan.warnings, said.get("warnings", [])), questions=_united(plan.questions, said.get("questions", [])), review="completed")
+
+
 def apply_mapping(df: DataFrame, plan: MappingPlan) -> DataFrame:
     """Canonical rows; empty contents go, unknown roles too, missing times are made from the place of the row."""
     if not plan.capabilities["basic_chat"]:
@@ -134,8 +159,3 @@ def sample_paths(kind: DataType, most: int = 30, depth: int = 3, keys: int = 20)
 
     walk(kind, "$", depth)
     return out[:most]
-
-
-def merge_review(plan: dict[str, float], review: dict[str, float], warnings: list[str], more: list[str]) -> tuple[dict[str, float], list[str]]:
-    """Mean confidences of a plan and its review, and the union of the warnings."""
-    return {k: (v + review[k]) / 2 if k in review else v for k, v in plan.items()}, list(dict.fromkeys(warnings + more))

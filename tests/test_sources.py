@@ -164,3 +164,16 @@ def test_streamed_segments_are_those_of_the_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("session_id", "turn_index", "topic_segment_index").collect()))
     want = sorted(map(tuple, segment.topic_segments(turns, SYNTHETIC).select("session_id", "turn_index", "topic_segment_index").collect()))
     assert got == want and max(x[2] for x in want) > 3
+
+
+def test_mapping_review(spark):
+    from confera.sources import mapping
+
+    plan = mapping.infer_mapping(spark.createDataFrame([("a", "b")], "speaker string, text string").schema)
+    assert plan.confidence == 0.78 and plan.capabilities["basic_chat"] and not plan.capabilities["slot_eval"]
+    done = mapping.review_mapping(plan, lambda p: {"confidence": 2.0, "warnings": [" odd ", "odd", ""], "questions": ["which?"]})
+    assert (done.confidence, done.warnings, done.questions, done.review) == (0.89, ["odd"], ["which?"], "completed")
+    failed = mapping.review_mapping(done, lambda p: 1 / 0)
+    assert failed.review == "degraded" and failed.confidence == 0.89 and failed.warnings == ["odd", "review failed: division by zero"]
+    _, enabled, disabled = mapping.capability_report({"messages.role", "messages.content", "schema.services"})
+    assert enabled == ["basic_chat_eval", "schema_aware_eval"] and ("slot_eval", "slots or dialogue states") in disabled
