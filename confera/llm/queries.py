@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confera.llm.common import table
+from confera.llm.divergence import source_divergence
 from confera.llm.exact_dedup import exact_dedup
+from confera.llm.imatch import COMMONEST, FAMILIES, PRIME, RAREST, edit_study, multipliers
+from confera.llm.importance import importance_scores
 from confera.llm.line_dedup import repeated_units
 from confera.llm.mixing import mix
 from confera.llm.packing import pack
@@ -112,6 +115,20 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarter of the documents that is drawn towards the benchmark's words and word pairs, and every document's score."""
+    out = importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_study(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
@@ -123,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_token_store": op10_token_store,
+    "op11_importance": op11_importance,
+    "op12_imatch": op12_imatch,
+    "op13_divergence": op13_divergence,
     "line_dedup_every_line": line_dedup_every_line,
     "quality_statistics": quality_statistics,
 }
@@ -140,6 +160,10 @@ ranked as (select *, len(string_split(norm, ' '))::int as words, row_number() ov
 again as (select *, k - row_number() over (partition by doc_id order by k) as run from ranked where nth > 1)"""
 
 
+#: The terms' bytes bit by bit: what a CRC takes in, eight steps a byte; and the CRC of a column `bits`.
+_BITS = "flatten(list_transform(range(1, length(hex(encode(term))), 2), lambda i: [('0x' || substr(hex(encode(term)), i, 2))::bigint, 0, 0, 0, 0, 0, 0, 0]))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, bits), lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295)"
+
 ORACLE_SQL: dict[str, str] = {
     "quality_statistics": r"""
 with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
@@ -205,4 +229,60 @@ p as (select name, size as source_size, target, case when size > 0 then least(fl
 r as (select d.*, p.source_size, p.target, p.whole, greatest(0, p.target - p.whole * p.source_size) as rest,
     sum(d.size) over (partition by d.name order by d.draw)::bigint as upto from d join p using (name))
 select doc_id, size, source_size, target, size * (whole + (case when rest > 0 and upto - size / 2.0 <= rest then 1 else 0 end)) as taken from r""",
+    "op11_importance": rf"""
+with texts as (select 'd' as side, doc_id as id, coalesce(text, '') as text from documents union all select 'b', item_id, coalesce(text, '') from benchmark),
+w as (select side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from texts),
+f as (select side, id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) as term from w),
+terms as (select term, {_CRC} % 10000 as bucket from (select term, {_BITS} as bits from (select distinct term from f))),
+c as (select side, id, bucket, count(*) as n from f join terms using (term) group by all),
+g as (select bucket, coalesce(sum(n) filter (side = 'd'), 0) as s, coalesce(sum(n) filter (side = 'b'), 0) as t from c group by bucket),
+total as (select sum(s) as s, sum(t) as t from g),
+gain as (select bucket, floor(1000 * ln((g.t + 1)::double * (total.s + 10000)::double / ((g.s + 1)::double * (total.t + 10000)::double)))::bigint as gain from g, total),
+d as (select id, sum(n)::bigint as n_features, sum(n * gain)::bigint as gains from c join gain using (bucket) where side = 'd' group by id),
+scored as (select doc_id, len(words) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(floor(gains::double / n_features), 0)::bigint as weight,
+    ('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint as h from (select id as doc_id, words from w where side = 'd') left join d on d.id = doc_id),
+s as (select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score from scored),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () * 25 // 100 as most from s where n_words >= 20)
+select s.doc_id, n_features, weight, score, case when rank <= most then rank end as rank from s left join r using (doc_id)""",
+    "op12_imatch": rf"""
+with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, ''))::bigint as n_chars from documents),
+n as (select *, coalesce(lead(text) over w, first_value(text) over w) as next_text, coalesce(lead(doc_id) over w, first_value(doc_id) over w) as next_id from d
+    window w as (order by doc_id rows between unbounded preceding and unbounded following)),
+e as (select *, substr(text, 1, n_chars - n_chars // 2) || substr(next_text, 1, n_chars // 2) as edited from n),
+t as (select 'own' as kind, doc_id, text from e union all select 'edited', doc_id, edited from e),
+w as (select kind, doc_id, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) as words from t),
+df as (select term, count(*) as df from (select unnest(words) as term from w where kind = 'own') group by term),
+lexicon as (select term from df where df >= 2 and df * {RAREST} >= (select count(*) from documents) and df * {COMMONEST} <= (select count(*) from documents)),
+pairs as (select kind, doc_id, unnest(words) as term from w),
+band as (select kind, doc_id, list(term) as terms from pairs semi join lexicon using (term) group by all),
+kept as (select kind, doc_id, list_sort(case when terms is not null then terms when len(words) > 0 then words else [' ' || text] end) as terms from w left join band using (kind, doc_id)),
+coded as (select term, {_CRC} as code from (select term, {_BITS} as bits from (select distinct unnest(terms) as term from kept))),
+each as (select kind, doc_id, i, terms[i] as term from (select kind, doc_id, terms, unnest(range(1, len(terms) + 1)) as i from kept)),
+family as (select unnest(range({FAMILIES})) as k, unnest({multipliers()}) as a),
+y as (select kind, doc_id, k, i, code * a % {PRIME} as y from each join coded using (term) cross join family),
+m as (select kind, doc_id, k, 1::bigint << length(bin(min(y))) as below from y group by all),
+h as (select kind, doc_id, k, substr(md5(string_agg(y::varchar, ' ' order by i)), 1, 8) as digest from y join m using (kind, doc_id, k) where y < below group by all),
+f as (select kind, doc_id, substr(md5(array_to_string(any_value(terms), ' ')), 1, 8) || string_agg(digest, '' order by k) as fingerprint from h join kept using (kind, doc_id) group by kind, doc_id),
+j as (select e.doc_id, n_chars, sha256(edited) as edited_sha256, a.fingerprint, b.fingerprint as edited_fingerprint, c.fingerprint as next_fingerprint
+    from e join f a on a.kind = 'own' and a.doc_id = e.doc_id join f b on b.kind = 'edited' and b.doc_id = e.doc_id join f c on c.kind = 'own' and c.doc_id = e.next_id)
+select doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    len(list_filter(range({FAMILIES + 1}), lambda i: substr(fingerprint, i * 8 + 1, 8) = substr(edited_fingerprint, i * 8 + 1, 8))) / {FAMILIES + 1}.0::double as near_edited,
+    len(list_filter(range({FAMILIES + 1}), lambda i: substr(fingerprint, i * 8 + 1, 8) = substr(next_fingerprint, i * 8 + 1, 8))) / {FAMILIES + 1}.0::double as near_next from j""",
+    "op13_divergence": r"""
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+w as (select doc_id, lang, source, unnest(words) as term from d),
+kept as (select lang, term, count(*)::hugeint as n from w group by lang, term having count(distinct doc_id) >= 3),
+v as (select lang, count(*)::hugeint as v, sum(n)::hugeint as total from kept group by lang),
+groups as (select lang, source from d group by all),
+c as (select lang, source, term, count(*)::hugeint as n from w semi join kept using (lang, term) group by all),
+size as (select g.lang, g.source, coalesce(sum(n), 0)::hugeint as total from groups g left join c using (lang, source) group by all),
+p as (select s.lang, s.source, kept.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (s.total + v.v) as p, 1 + 1000000000::hugeint * (kept.n + 1) // (v.total + v.v) as q
+    from size s join kept using (lang) join v using (lang) left join c on c.lang = s.lang and c.source = s.source and c.term = kept.term),
+f as (select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // y.p) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+pair as (select a.lang, a.source, b.source as item, coalesce(f.value, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+own as (select lang, source, term as item, ((p - q) * (p - q) // q)::bigint as value from p where n > 0 and p > q),
+rows as (select lang, source, 'pair' as part, item, value from pair union all select lang, source, 'term', item, value from own),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from rows)
+select * from ranked where part = 'pair' or rank <= 200""",
 }
