@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from confera.functions import pii, text
 from confera.functions.lexicon import SYNTHETIC
-from confera.operators import badcase, calibration, dialogue, emotion, extended, kpi, metrics, outcomes, regression, segment, sessionize, signals, similarity, store, traces
+from confera.operators import badcase, balls, calibration, dialogue, emotion, extended, kpi, metrics, outcomes, regression, segment, sessionize, signals, similarity, store, traces
 from confera.plans import case_queries, source_queries, text_queries  # noqa: F401  register their queries
 from confera.plans.evaluate import Evaluation
 from confera.plans.registry import QUERIES, raw_turns, table
@@ -223,7 +223,7 @@ def cosine_topk(spark, sf_dir):
 @query
 def similarity_pairs(spark, sf_dir):
     """Pairs of different vectors; vector_classes tells which vectors a representative stands for."""
-    return similarity.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35)
+    return balls.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35)
 
 
 @query
@@ -235,7 +235,7 @@ def vector_classes(spark, sf_dir):
 def vector_components(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     same = similarity.vector_classes(vectors, "vec_id", "embedding").select(F.col("vec_id").alias("a"), F.col("representative").alias("b"))
-    links = similarity.similar_pairs(vectors, "vec_id", "embedding", 0.35).select("a", "b").unionByName(same.filter("a <> b"))
+    links = balls.similar_links(vectors, "vec_id", "embedding", 0.35).unionByName(same.filter("a <> b"))
     return similarity.components(vectors, links, "vec_id")
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from confera.operators import calibration, regression, similarity, store
+from confera.operators import balls, calibration, regression, similarity, store
 
 #: Gold and judge scores of four cases in four dimensions, goals and recoveries; with the agreement recorded for them.
 GOLD = {"empathy": [4, 3, 4, 5], "on_topic": [4, 5, 4, 5], "not_preachy": [5, 4, 5, 4], "recovery": [3, 3, 5, 5], "goal": [4, 5, 3, 5], "trace": [0, 0, 4, 5]}
@@ -74,7 +74,7 @@ def test_similar_pairs_of_many_rows_are_exact(spark):
     vectors = [[x + rng.gauss(0, 1) for x in centres[k % 5]] for k in range(100)]  # alike at about 0.5
     df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors)], "id bigint, v array<double>")
     zeros = spark.range(1000, 21_000).selectExpr("id", "array_repeat(0.0D, 64) as v")
-    got = [(r.a, r.b) for r in similarity.similar_pairs(df.unionByName(zeros), "id", "v", 0.35).collect()]
+    got = [(r.a, r.b) for r in balls.similar_pairs(df.unionByName(zeros), "id", "v", 0.35).collect()]
     want = brute_pairs(vectors, 0.35)
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
     classes = {r.id: (r.representative, r.copies) for r in similarity.vector_classes(df.unionByName(zeros), "id", "v").collect()}
@@ -87,7 +87,7 @@ def test_similar_pairs_and_components(spark):
     vectors = [[x + rng.gauss(0, 0.15) for x in centres[k % 6]] for k in range(60)]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors)], "id bigint, v array<double>")
     want = brute_pairs(vectors, 0.93)
-    exact = {(r.a, r.b) for r in similarity.similar_pairs(df, "id", "v", 0.93, tile=10).collect()}
+    exact = {(r.a, r.b) for r in balls.similar_pairs(df, "id", "v", 0.93, tile=10).collect()}
     assert exact == want and want
     comps = {r.id: r.cluster for r in similarity.components(df, spark.createDataFrame(list(want), "a bigint, b bigint"), "id").collect()}
     assert all(comps[a] == comps[b] for a, b in want) and all(comps[k] <= k for k in comps)
