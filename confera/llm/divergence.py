@@ -136,9 +136,10 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top_terms: int = 200,
     part "pair": how the source's words differ from each other source of its language, all ranks. part "term": the terms it
     holds more often than its language, the top_terms of them by f.
     """
-    all_counts = checkpointed(term_counts(docs, text_col, lang_col, source_col))
-    kept = all_counts.groupBy("lang", "term").agg(F.sum("in_docs").alias("in_docs"), F.sum("n").alias("lang_n")).filter(F.col("in_docs") >= min_docs)
-    counts = checkpointed(all_counts.join(kept.select("lang", "term", "lang_n"), ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
+    # The sources of a term meet once, which gives its documents and its count in the language without another grouping.
+    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs, text_col, lang_col, source_col).withColumns({"term_docs": F.sum("in_docs").over(of_term), "lang_n": F.sum("n").over(of_term)})
+    counts = checkpointed(counts.filter(F.col("term_docs") >= min_docs).select("lang", "source", "term", "n", "lang_n"))
     groups = _groups(docs, counts, lang_col, source_col, scale)
 
     order = [F.desc("value"), F.asc("item")]
