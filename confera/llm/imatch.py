@@ -22,6 +22,8 @@ an empty result. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +87,8 @@ def _family(codes: Column, a: int) -> Column:
     return let(numbers, lambda y: let(bound(y), lambda below: _digest(F.filter(y, lambda v: v < below).cast("array<string>"))))
 
 
-def described(rows: DataFrame, slots: DataFrame, text: Column, name: str, families: int = FAMILIES, n_slots: int = SLOTS) -> DataFrame:
-    """rows with `name`: a structure of the text's fingerprint, sha256 and number of characters.
+def described(rows: DataFrame, slots: DataFrame, text: Column, name: str, more: Callable[[Column], Column], families: int = FAMILIES, n_slots: int = SLOTS) -> DataFrame:
+    """rows with `name`: a structure of the text's fingerprint and of what else is asked for of it, under its own name.
 
     text is an expression over rows, and both it and the lexicon are named once: so the optimizer hands the lexicon to the
     expression itself, and no row ever holds a copy of it.
@@ -98,12 +100,16 @@ def described(rows: DataFrame, slots: DataFrame, text: Column, name: str, famili
 
     def describe(text: Column, slots: Column) -> Column:
         kept = let(distinct_terms(text), lambda words: _kept(words, slots, text, n_slots))
-        return F.struct(let(kept, hashes).alias("fingerprint"), F.sha2(text, 256).alias("sha256"), F.length(text).cast("long").alias("n_chars"))
+        return F.struct(let(kept, hashes).alias("fingerprint"), more(text))
 
     given = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.col("__slots").alias("slots"))
     return rows.withColumn("__slots", slots.scalar()).select(*[F.col(f"`{c}`") for c in rows.columns], let(given, lambda g: describe(g["text"], g["slots"])).alias(name))
 
 
+def n_chars(text: Column) -> Column:
+    return F.length(text).cast("long").alias("n_chars")
+
+
 def likeness(a: Column, b: Column, families: int = FAMILIES) -> Column:
     """The share of hashes in which two fingerprints agree, from 0 to 1."""
     part = lambda f, i: F.substring(f, i * DIGITS + 1, F.lit(DIGITS))
@@ -115,7 +121,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row: doc_id, fingerprint."""
     slots = checkpointed(slotted(lexicon(docs, text_col, rarest, commonest)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return described(rows, slots, F.col("text"), "is").select("doc_id", "is.fingerprint")
+    return described(rows, slots, F.col("text"), "is", n_chars).select("doc_id", "is.fingerprint")
 
 
 def _key(id_col: Column) -> Column:
@@ -141,13 +147,16 @@ def edit_study(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before = ring.select(F.col("key").alias("before_key"), F.col("h").alias("before_h"), F.floor(F.col("n") / 2).cast("int").alias("need"), ((F.col("place") + 1) % total).alias("place"))
     sent_to = ring.select("key", "h", "place").join(before, "place").drop("place")
 
-    rows = described(rows, slots, F.col("text"), "is").select("doc_id", text.alias("text"), *keys, "is")
-    heads = rows.join(sent_to, ["key", "h"]).select("before_key", "before_h", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("head"), F.col("is.fingerprint").alias("fingerprint")).alias("next"))
+    rows = described(rows, slots, F.col("text"), "is", n_chars).select("doc_id", text.alias("text"), *keys, "is.fingerprint", "is.n_chars")
+    # What is sent names every column of rows, so that both joins ask for one and the same exchange, which then runs once.
+    sent = F.struct(F.substring("text", F.lit(1), F.col("need")).alias("head"), "fingerprint", "doc_id", "n_chars")
+    heads = rows.join(sent_to, ["key", "h"]).select("before_key", "before_h", sent.alias("next"))
     heads = heads.groupBy(F.col("before_key").alias("key"), F.col("before_h").alias("h")).agg(F.min("next").alias("next"))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("next.head"))
-    met = described(rows.join(heads, ["key", "h"]).select("doc_id", "text", "is", "next"), slots, edited, "now")
+    met = rows.join(heads, ["key", "h"]).select("doc_id", "text", "fingerprint", "n_chars", "next")
+    met = described(met, slots, edited, "now", lambda t: F.sha2(t, 256).alias("sha256"))
     return met.select(
-        "doc_id", F.col("is.n_chars").alias("n_chars"), F.col("now.sha256").alias("edited_sha256"), F.col("is.fingerprint").alias("fingerprint"), F.col("now.fingerprint").alias("edited_fingerprint"),
-        likeness(F.col("is.fingerprint"), F.col("now.fingerprint")).alias("near_edited"), likeness(F.col("is.fingerprint"), F.col("next.fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", F.col("now.sha256").alias("edited_sha256"), "fingerprint", F.col("now.fingerprint").alias("edited_fingerprint"),
+        likeness(F.col("fingerprint"), F.col("now.fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"),
     )
