@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confera.functions.text import context_id, js_round, ratio
+from confera.operators.order import numbered, running_totals
+from confera.operators.store import use_shared_folder
 
 
 def score_pairs(labels: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -14,10 +16,12 @@ def score_pairs(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     return labels.select("case_id", "dimension", F.col("score").alias("gold")).join(good.select("case_id", "dimension", F.col("score").alias("predicted")), ["case_id", "dimension"])
 
 
-def average_rank(value: Column, *scope: str) -> Column:
-    """Rank from 1, the mean of the places of equal values."""
-    by = Window.partitionBy(*scope)
-    return F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*scope, value)) - 1) / 2
+def average_ranks(counts: DataFrame, by: list[str], value: str, amount: str = "n", name: str = "rank") -> DataFrame:
+    """counts: by, value, amount (rows of that value). The rank of each value from 1: the mean of its rows' places.
+
+    Ranks come from running totals over range partitions of the distinct values; no task sees all values of a key.
+    """
+    return running_totals(counts, by, value, amount, "__before").withColumn(name, F.col("__before") + (F.col(amount) + 1) / 2).drop("__before")
 
 
 def score_bucket(x: Column) -> Column:
@@ -38,13 +42,22 @@ def kappa(pairs: DataFrame, gold: Column, predicted: Column, *scope: str) -> Dat
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
-    """pairs: dimension, gold, predicted. samples, mae, rmse, spearman, kappa by dimension."""
-    ranked = pairs.withColumns({"rg": average_rank(F.col("gold"), "dimension"), "rp": average_rank(F.col("predicted"), "dimension")})
-    off = F.col("predicted") - F.col("gold")
-    n, sx, sy = F.count(F.lit(1)), F.sum("rg"), F.sum("rp")
-    cov = n * F.sum(F.col("rg") * F.col("rp")) - sx * sy
-    spread = F.sqrt(F.greatest(F.lit(0.0), n * F.sum(F.col("rg") * F.col("rg")) - sx * sx)) * F.sqrt(F.greatest(F.lit(0.0), n * F.sum(F.col("rp") * F.col("rp")) - sy * sy))
-    stats = ranked.groupBy("dimension").agg(n.alias("samples"), js_round(F.avg(F.abs(off)), 4).alias("mae"), js_round(F.sqrt(F.avg(off * off)), 4).alias("rmse"), F.when(n > 1, js_round(F.coalesce(F.try_divide(cov, spread), F.lit(0.0)), 4)).alias("spearman"))
+    """pairs: dimension, gold, predicted. samples, mae, rmse, spearman, kappa by dimension.
+
+    Rows become counted cells (dimension, gold, predicted) before anything is shuffled, and every statistic is a weighted sum
+    over cells; the ranks of a cell's values are joined to it.
+    """
+    use_shared_folder(pairs.sparkSession)
+    cells = pairs.groupBy("dimension", "gold", "predicted").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    ranks = lambda side, name: average_ranks(cells.groupBy("dimension", side).agg(F.sum("n").alias("n")), ["dimension"], side, name=name).select(F.col("dimension").alias("__k"), F.col(side).alias("__v"), name)
+    ranked = cells
+    for side, name in (("gold", "rg"), ("predicted", "rp")):
+        ranked = ranked.join(ranks(side, name), F.col("dimension").eqNullSafe(F.col("__k")) & F.col(side).eqNullSafe(F.col("__v"))).drop("__k", "__v")
+    off, w = F.col("predicted") - F.col("gold"), F.col("n")
+    n, sx, sy, known = F.sum(w), F.sum(w * F.col("rg")), F.sum(w * F.col("rp")), F.sum(F.when(off.isNotNull(), w))
+    cov = n * F.sum(w * F.col("rg") * F.col("rp")) - sx * sy
+    spread = F.sqrt(F.greatest(F.lit(0.0), n * F.sum(w * F.col("rg") * F.col("rg")) - sx * sx)) * F.sqrt(F.greatest(F.lit(0.0), n * F.sum(w * F.col("rp") * F.col("rp")) - sy * sy))
+    stats = ranked.groupBy("dimension").agg(n.alias("samples"), js_round(F.sum(w * F.abs(off)) / known, 4).alias("mae"), js_round(F.sqrt(F.sum(w * off * off) / known), 4).alias("rmse"), F.when(n > 1, js_round(F.coalesce(F.try_divide(cov, spread), F.lit(0.0)), 4)).alias("spearman"))
     return stats.join(kappa(pairs, score_bucket(F.col("gold")), score_bucket(F.col("predicted")), "dimension"), "dimension")
 
 
@@ -112,20 +125,25 @@ def coverage_readiness(cases: DataFrame, drafts: DataFrame, labels: DataFrame, t
     return n.select("*", F.greatest(F.lit(0), F.lit(target) - F.col("cases")).alias("case_gap"), F.greatest(F.lit(0), wanted - F.col("approved")).alias("approved_gap"), (F.col("cases") >= target).alias("pool_ready"), (F.col("approved") >= wanted).alias("labels_ready"), (F.col("labels") == F.col("approved")).alias("imported_all"), (F.col("without_evidence") == 0).alias("evidence_ready"))
 
 
+def _turn(place: Column, people: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(p) for p in people]), (F.pmod(place, F.lit(len(people))) + 1).cast("int")) if people else F.lit(None).cast("string")
+
+
 def annotation_tasks(cases: DataFrame, version: str, assignees: list[str], reviewers: list[str], priority: str = "P1") -> DataFrame:
-    """cases: case_id, rows (array of struct role, content), notes. A draft task each, with its counts and its people by turns."""
-    n = F.row_number().over(Window.orderBy("case_id")) - 1
-    turn = lambda people: F.element_at(F.array(*[F.lit(p) for p in people]), (F.pmod(n, F.lit(len(people))) + 1).cast("int")) if people else F.lit(None).cast("string")
+    """cases: case_id, rows (array of struct role, content), notes. A draft task each, with its counts and its people by turns.
+
+    People take turns in the order of case_id, which range partitions number.
+    """
     of = lambda role: F.size(F.filter("rows", lambda r: r["role"] == role))
     task = F.concat(F.lit(f"{version}_"), context_id(F.col("case_id").cast("string")), F.lit("_label"))
-    return cases.select(task.alias("task_id"), "case_id", F.lit(priority).alias("priority"), F.lit("draft").alias("status"), turn(assignees).alias("assignee"), turn(reviewers).alias("reviewer"), F.size("rows").alias("messages"), of("user").alias("user_messages"), of("assistant").alias("assistant_messages"), (F.trim(F.coalesce("notes", F.lit(""))) != "").alias("has_notes"))
+    narrow = cases.select(task.alias("task_id"), "case_id", F.size("rows").alias("messages"), of("user").alias("user_messages"), of("assistant").alias("assistant_messages"), (F.trim(F.coalesce("notes", F.lit(""))) != "").alias("has_notes"))
+    n = F.col("__place")
+    return numbered(narrow, "case_id", name="__place").select("task_id", "case_id", F.lit(priority).alias("priority"), F.lit("draft").alias("status"), _turn(n, assignees).alias("assignee"), _turn(n, reviewers).alias("reviewer"), "messages", "user_messages", "assistant_messages", "has_notes")
 
 
 def assign_round_robin(cases: DataFrame, people: list[str], order: str = "case_id") -> DataFrame:
-    """Each case gets the person whose turn it is in order of the cases; a bounded list of tasks for people."""
-    nth = F.row_number().over(Window.orderBy(order)) - 1
-    names = F.array(*[F.lit(p) for p in people])
-    return cases.withColumn("assignee", F.element_at(names, (F.pmod(nth, F.lit(len(people))) + 1).cast("int")))
+    """Each case gets the person whose turn it is in order of the cases, which range partitions number."""
+    return numbered(cases, order, name="__place").withColumn("assignee", _turn(F.col("__place"), people)).drop("__place")
 
 
 # Dimensions that a gold label must have, and the statuses that it may name.

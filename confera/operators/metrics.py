@@ -4,28 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confera.functions.lexicon import ZH, Lexicon
 from confera.functions.text import depth_bucket, js_round, question_fingerprint, ratio
+from confera.operators.order import numbered
 
-#: Sequence numbers of one bucket of the dataset order; a task numbers the rows of a bucket.
-ORDER_BUCKET = 1 << 20
-
-
-def dataset_index(rows: DataFrame, name: str = "dataset_index", bucket_size: int = ORDER_BUCKET) -> DataFrame:
-    """rows (session_seq, turn_index) numbered from 0 in dataset order, without one task that sees all of them.
-
-    Rows are counted per bucket of session_seq, the counts are summed up over the few buckets, and each bucket numbers its
-    own rows from there.
-    """
-    rows = rows.withColumn("__bucket", F.floor(F.col("session_seq") / bucket_size))
-    counts = rows.groupBy("__bucket").count()
-    before = F.sum("count").over(Window.orderBy("__bucket")) - F.col("count")
-    offsets = counts.select("__bucket", before.alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__bucket").orderBy("session_seq", "turn_index"))
-    return rows.withColumn("__local", local).join(F.broadcast(offsets), "__bucket").withColumn(name, F.col("__before") + F.col("__local") - 1).drop("__bucket", "__local", "__before")
+def dataset_index(rows: DataFrame, name: str = "dataset_index") -> DataFrame:
+    """rows (session_seq, turn_index) numbered from 0 in dataset order, by range partitions that number their own rows."""
+    return numbered(rows, "session_seq", "turn_index", name=name)
 
 
 def depth_histogram(turns: DataFrame) -> DataFrame:
@@ -104,16 +92,16 @@ def summary_cards(turns: DataFrame, goals: DataFrame, metrics: DataFrame) -> Dat
     return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in cards.items()])).alias("x")).select("x.*")
 
 
-# The advice of a report, with the facts that it names in braces.
+#: The advice of a report, with the facts that it names in braces.
 ADVICE = [
-    "P0：当前平均情绪分为 {avg_emotion}，其中 {low_turns} 个轮次低于 40 分，建议在低谷后两轮内强制触发共情确认与恢复性追问。",
-    "P0：当前目标达成率为 {goal_percent}% ，共有 {failed_goals} 个 session 明确未达成，建议优先把这些 bad case 编译为调优包并加入回放回归。",
-    "P0：平均响应间隔为 {gap} 秒，建议首轮确认性回复压缩到 20 秒内，并监控长间隔后的 topic 延续判断。",
-    "P1：当前 topic segment 切换共 {switches} 次，建议在切段前加入“主题确认句”，减少无意跳转。",
-    "P1：用户主动提问 {questions} 次；理解障碍风险为 {understanding_barrier}，建议执行“先回答、再扩展”的固定顺序。",
-    "P1：当前识别到 {recovered} 条成功恢复轨迹、{unrecovered} 条失败恢复轨迹，建议沉淀成功修复话术并对失败片段生成 remediation spec。",
-    "P1：兴趣衰减风险为 {interest_decline}、情绪恢复失败风险为 {recovery_failure}，建议把信号层直接接入策略触发器。",
-    "P2：当前共情维度得分 {empathy}/5，建议继续沉淀 segment 级证据片段，提升主观评估的可解释性。",
+    "P0: the mean emotion score is {avg_emotion}, and {low_turns} turns lie at 40 or below. Look at these turns first and soften the wording around them.",
+    "P0: {goal_percent} % of the sessions reach their goal and {failed_goals} fail. Go through the failed ones and say which step was missing.",
+    "P1: an answer takes {gap} seconds on average. Send a short receipt where the full answer takes longer.",
+    "P1: the topic changes {switches} times. Ask whether the old topic is settled before a new one begins.",
+    "P1: users ask {questions} questions, and the risk that they don't follow is {understanding_barrier}. Answer the question before adding to it.",
+    "P1: {recovered} failures were repaired and {unrecovered} were not. Keep the wording of the repairs, and write a fix for the rest.",
+    "P1: interest fades at risk {interest_decline}, and moods stay low at risk {recovery_failure}. Let these signals start an intervention.",
+    "P2: empathy is rated {empathy} of 5. Keep the turns that speak for and against that rating as evidence.",
 ]
 
 

@@ -32,7 +32,7 @@ def _signal(key: str, base: float, rules: list[tuple[str, float, Column]], evide
 
 def interest_decline(turns: DataFrame) -> DataFrame:
     """Later user messages are shorter, slower, or ask less than earlier ones; halves of the dataset's user turns."""
-    users = dataset_index(turns.filter("role = 'user'"))
+    users = dataset_index(turns.filter("role = 'user'").select("session_seq", "turn_index", "content_length", "response_gap_sec", "is_question"))
     size = turns.agg(F.count_if(F.col("role") == "user").alias("n"))
     halves = users.join(F.broadcast(size)).withColumn("early", F.col("dataset_index") < F.greatest(F.lit(1), F.ceil(F.col("n") / 2)))
     gap = F.coalesce("response_gap_sec", F.lit(0))
@@ -40,8 +40,8 @@ def interest_decline(turns: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     stats = halves.agg(
         zero(half(F.col("content_length"), True)).alias("early_len"), zero(half(F.col("content_length"), False)).alias("late_len"), zero(half(gap, True)).alias("early_gap"), zero(half(gap, False)).alias("late_gap"),
-        zero(half(F.col("is_question").cast("int"), True)).alias("early_q"), zero(half(F.col("is_question").cast("int"), False)).alias("late_q"), F.max_by(_row(), F.struct(*ORDER)).alias("e"),
-    ).join(turns.agg(F.max_by(_row(), F.struct(*ORDER)).alias("any")))
+        zero(half(F.col("is_question").cast("int"), True)).alias("early_q"), zero(half(F.col("is_question").cast("int"), False)).alias("late_q"),
+    ).join(turns.agg(F.max_by(_row(), F.when(F.col("role") == "user", F.struct(*ORDER))).alias("e"), F.max_by(_row(), F.struct(*ORDER)).alias("any")))
     e = F.coalesce("e", "any")
     rules = [("shorter_replies", 0.26, F.col("late_len") < F.col("early_len") * 0.78), ("longer_gaps", 0.28, F.col("late_gap") > F.greatest(F.lit(30.0), F.col("early_gap") * 1.4)), ("fewer_questions", 0.18, (F.col("late_q") < F.col("early_q")) & (F.col("early_q") > 0))]
     return stats.select(*_signal("interest_decline", 0.22, rules, e, F.greatest(F.lit(1), e["turn_index"] - 2), e["turn_index"], 0.78, 0.62))

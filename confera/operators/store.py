@@ -156,10 +156,22 @@ def registry_counts(cases: DataFrame) -> DataFrame:
 
 
 def near_duplicates(case: DataFrame, stored: DataFrame, within: float = 2.0) -> DataFrame:
-    """Stored cases of the same topic whose score is within reach."""
-    right = stored.select("topic", F.col("case_id").alias("match_id"), F.col("score").alias("stored_score"))
-    return case.join(right, "topic").filter((F.abs(F.col("score") - F.col("stored_score")) <= within) & (F.col("case_id") != F.col("match_id")))
-
-
-def rank_within(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
+    """case with matches (stored cases of its topic whose score is within reach, itself left out) and the best one's match_id
+    and stored_score: the nearest score, then the least id.
+
+    Stored cases of one topic and score are one counted row with its two least ids, and scores meet by bands of the reach, so
+    a topic of any size is counted and never lists its pairs.
+    """
+    band = F.floor(F.col("score") / within).cast("bigint")
+    two = F.slice(F.array_sort(F.array_agg("case_id")), 1, 2)
+    # Two groupings: the least ids of a hot score come together in parts.
+    part = stored.groupBy("topic", "score", F.pmod(F.xxhash64("case_id"), F.lit(256)).alias("part")).agg(F.count(F.lit(1)).alias("n"), two.alias("ids"))
+    known = part.groupBy("topic", "score").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, 2).alias("ids")).select("topic", F.col("score").alias("stored_score"), "n", "ids", band.alias("band"))
+    asked = case.select("topic", "score").distinct().select("topic", "score", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    met = asked.join(known, ["topic", "band"]).withColumn("far", F.abs(F.col("score") - F.col("stored_score"))).filter(F.col("far") <= within)
+    near = met.select("topic", "score", "n", F.transform("ids", lambda i: F.struct(F.col("far").alias("far"), i.alias("match_id"), F.col("stored_score").alias("stored_score"))).alias("best"))
+    near = near.groupBy("topic", "score").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 2).alias("best"))
+    own = stored.select("case_id", "topic", "score").distinct().withColumn("own", F.lit(1))
+    out = case.join(near, ["topic", "score"], "left").join(own, ["case_id", "topic", "score"], "left")
+    best = F.get(F.filter("best", lambda b: b["match_id"] != F.col("case_id")), F.lit(0))
+    return out.select(*case.columns, (F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("matches"), best["match_id"].alias("match_id"), best["stored_score"].alias("stored_score"))

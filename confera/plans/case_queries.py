@@ -76,13 +76,13 @@ def trace_evidence(spark, sf_dir):
     return outcomes.trace_evidence(e.enriched, e.recoveries)
 
 
-@query("""with t as (select conv_id::varchar as session_id, (turn + 1)::int as turn_index, role, text from conversations), e as (select distinct session_id, substr(text, 5, 25) as said from t where turn_index % 2 = 0),
+@query("""with t as (select conv_id::varchar as session_id, (turn + 1)::int as turn_index, role, text from conversations), e as (select distinct session_id, substr(text, 5) as said from t),
 m as (select e.*, t.turn_index, t.role, t.text, row_number() over (partition by e.session_id, said order by t.turn_index) as k from e join t using (session_id) where contains(said, case when length(text) > 20 then left(text, 20) || '…' else text end) or contains(text, said))
 select session_id, said, turn_index, role, text as content from m where k = 1""")
 def matched_evidence(spark, sf_dir):
-    """Quotations, and the turn that each comes from."""
+    """Quotations, of every turn from its fifth character on, and the first turn that each may come from."""
     turns = raw_turns(spark, sf_dir)
-    said = turns.filter("turn_index % 2 = 0").select("session_id", F.substring("content", 5, 25).alias("said")).distinct()
+    said = turns.select("session_id", F.substr("content", F.lit(5)).alias("said")).distinct()
     return badcase.match_evidence(said, turns)
 
 
@@ -442,11 +442,14 @@ def harvested_cases(spark, sf_dir):
     return similarity.harvest_cases(new, stored).drop("seq")
 
 
-@query("""with p as (select p_partkey as case_id, p_type as topic, p_size as score from part), n as (select * from p where case_id % 10 = 0) select n.case_id, n.topic, n.score, p.case_id as match_id, p.score as stored_score from n join p using (topic) where abs(n.score - p.score) <= 2 and n.case_id <> p.case_id""")
+@query("""with p as (select p_partkey as case_id, p_type as topic, p_size as score from part),
+m as (select n.*, s.case_id as match_id, s.score as stored_score, row_number() over (partition by n.case_id order by abs(n.score - s.score), s.case_id) as k, count(*) over (partition by n.case_id) as matches
+    from p n join p s using (topic) where abs(n.score - s.score) <= 2 and n.case_id <> s.case_id)
+select p.*, coalesce(m.matches, 0) as matches, m.match_id, m.stored_score from p left join m on m.case_id = p.case_id and k = 1""")
 def same_topic_cases(spark, sf_dir):
-    """Stored cases of the topic whose score is near: parts by type and size."""
+    """How many stored cases of the topic have a score near each case's, and the nearest: parts by type and size."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("case_id"), F.col("p_type").alias("topic"), F.col("p_size").alias("score"))
-    return store.near_duplicates(p.filter("case_id % 10 = 0"), p).select("case_id", "topic", "score", "match_id", "stored_score")
+    return store.near_duplicates(p, p)
 
 
 @query("""with u as (select source, count(distinct md5(text)) as found from (select source, text from documents) group by 1), w as (select source, 60 as n from u union all select 'absent', 2),
@@ -478,12 +481,12 @@ def tool_metrics(spark, sf_dir):
     return extended.tool_correctness(calls).unionByName(extended.task_completion(calls))
 
 
-@query(f"""with f as (select f.conv_id, f.turn, coalesce(contains((select string_agg(a.text, ' ' order by a.turn) from conversations a where a.conv_id = f.conv_id and a.role = 'assistant' and a.turn > f.turn), left(f.text, 3)), false) as kept from conversations f where f.role = 'user'),
+@query(f"""with f as (select f.conv_id, f.turn, coalesce(contains((select string_agg(a.text, ' ' order by a.turn) from conversations a where a.conv_id = f.conv_id and a.role = 'assistant' and a.turn > f.turn), left(f.text, 8)), false) as kept from conversations f where f.role = 'user'),
 v as (select {r('avg(kept::int)', 2)} as score from f) select 'knowledge_retention' as metric, score, score >= 0.7 as success from v""")
 def retention_score(spark, sf_dir):
-    """By facts cut to three characters, so that some are taken up."""
+    """By whole facts: each counts as kept by its first eight characters."""
     turns = raw_turns(spark, sf_dir)
-    facts = turns.filter("role = 'user'").select("session_id", F.col("turn_index").alias("introduced"), F.substring("content", 1, 3).alias("fact"))
+    facts = turns.filter("role = 'user'").select("session_id", F.col("turn_index").alias("introduced"), F.col("content").alias("fact"))
     return extended.retention_score(extended.knowledge_retention(facts, turns))
 
 
@@ -510,11 +513,6 @@ def bias_scores(spark, sf_dir):
     return extended.bias_by_pattern(table(spark, sf_dir, "documents"), "doc_id", said)
 
 
-@query("select 'role_adherence' as metric, 0.5::double as score, null::boolean as success")
-def role_adherence(spark, sf_dir):
-    return extended.role_adherence(spark)
-
-
 @query(f"""with c as (select conv_id, bool_or(role = 'user') as i, bool_or(role = 'assistant') as o from conversations group by 1) select 'input' as field, count(*) filter (i) as available_in, bool_or(i) as available from c union all select 'actual_output', count(*) filter (o), bool_or(o) from c union all select 'turns', count(*), true from c union all select 'timestamps', count(*), true from c""")
 def case_capabilities(spark, sf_dir):
     return kpi.capability_report(kpi.eval_cases(raw_turns(spark, sf_dir)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -30,12 +31,40 @@ def on_one_line(turns):
     return turns.withColumn("content", F.translate("content", "\n", " "))
 
 
-@query(f"with {_LINES} select session_id, {_ISO.format('turn')} as ts_raw, role, content from t")
+def framed(lines, head=None, between="", tail=None):
+    """value: the lines of each partition, which becomes a file, between a first and a last line; `between` starts all lines but the first."""
+
+    def frame(batches):
+        if head is not None:
+            yield pd.DataFrame({"value": [head]})
+        first = True
+        for batch in batches:
+            if len(batch):
+                out = (between + batch["value"]).where([False] * first + [True] * (len(batch) - first), batch["value"])
+                first = False
+                yield pd.DataFrame({"value": out})
+        if tail is not None:
+            yield pd.DataFrame({"value": [tail]})
+
+    return lines.select("value").mapInPandas(frame, "value string")
+
+
+@query(f"""with {_LINES} select case when conv_id % 2 = 1 and conv_id % 5 = 1 then 'unknown' when conv_id % 2 = 1 and conv_id % 5 = 2 then '' else session_id end as session_id,
+    {_ISO.format('turn')} as ts_raw, role, content from t""")
 def read_csv_turns(spark, sf_dir):
-    """Written as the canonical CSV, in which a row is a line."""
-    path = scratch(spark) + ".csv"
-    store.write_canonical_csv(on_one_line(said(spark, sf_dir)), path)
-    return readers.read_logs(spark, path).select("session_id", "ts_raw", "role", "content")
+    """A row is a line. Even sessions as the canonical CSV; odd ones in files of other headers, by column order, with cells
+    after the session or not, with sessions that are empty and rows that end before the session's cell."""
+    path = scratch(spark)
+    rows = on_one_line(said(spark, sf_dir))
+    store.write_canonical_csv(rows.filter("session_seq % 2 = 0"), f"{path}/even.csv")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    odd, k = rows.filter("session_seq % 2 = 1"), F.col("session_seq") % 5
+    name = F.when(k == 2, "").otherwise(F.col("session_id"))
+    plain = odd.filter(k <= 2).select("session_seq", "turn_index", F.concat_ws(",", quoted(F.col("content")), F.concat(F.lit(" "), F.upper("role")), "timestamp", F.when(k != 1, name)).alias("value"))
+    more = odd.filter(k > 2).select("session_seq", "turn_index", F.concat_ws(",", "timestamp", F.lit("extra"), quoted(F.col("session_id")), "role", quoted(F.col("content"))).alias("value"))
+    for part, lines, head in (("short", plain, "content, role,timestamp,sessionId"), ("long", more, "\ufefftimestamp,note,sessionId,role,content")):
+        framed(lines.repartition("session_seq").sortWithinPartitions("session_seq", "turn_index"), head).write.text(f"{path}/{part}.csv")
+    return readers.read_logs(spark, f"{path}/*.csv").select("session_id", "ts_raw", "role", "content")
 
 
 def _message():
@@ -49,25 +78,35 @@ def read_jsonl_turns(spark, sf_dir):
     return readers.read_logs(spark, path).select("session_id", "ts_raw", "role", "content")
 
 
-@query(f"with {_TURNS} select session_id, {_ISO.format('turn')} as ts_raw, role, content, turn as ingest_seq from t")
+def _in_order(rows):
+    """rows with nth: their place in their session."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("session_id").orderBy("ingest_seq")))
+
+
+@query(f"with {_TURNS} select session_id, {_ISO.format('turn')} as ts_raw, role, content, (row_number() over (partition by conv_id order by turn))::int as nth from t")
 def read_json_turns(spark, sf_dir):
-    """A document of each session: every other one a list of messages, the rest an object that holds the list."""
+    """Files of many sessions: those of even ones a list of messages each, the others an object that holds the list."""
     path = scratch(spark)
-    docs = said(spark, sf_dir).groupBy("session_seq").agg(F.array_sort(F.collect_list(F.struct("turn_index", _message().alias("m")))).alias("l")).withColumn("m", F.transform("l", lambda x: x["m"]))
-    text = F.when(F.col("session_seq") % 2 == 0, F.to_json("m")).otherwise(F.to_json(F.struct(F.col("m").alias("messages"))))
-    docs.select("session_seq", text.alias("value")).repartition(8, "session_seq").write.partitionBy("session_seq").text(path)
-    return readers.read_json(spark, f"{path}/*").select("session_id", "ts_raw", "role", "content", "ingest_seq")
+    rows = said(spark, sf_dir).select("session_seq", "turn_index", F.to_json(_message()).alias("value"))
+    for odd, head, tail in ((0, "[", "]"), (1, '{"made by": {"a": ["}"]}, "messages": [', "]}")):
+        mine = rows.filter(F.col("session_seq") % 2 == odd).repartition("session_seq").sortWithinPartitions("session_seq", "turn_index")
+        framed(mine, head, ",", tail).write.text(f"{path}/{odd}.json")
+    return _in_order(readers.read_json(spark, f"{path}/*.json")).select("session_id", "ts_raw", "role", "content", "nth")
 
 
-@query(f"with {_LINES} select 'named ' || session_id as session_id, case when turn % 2 = 0 then {_ISO.format('turn')} else {_ISO.format('turn + 1')} end as ts_raw, role, content from t")
+@query(f"""with {_LINES}, k as (select *, (row_number() over (partition by conv_id order by turn))::int as nth from t)
+select 'named ' || session_id as session_id, nth, case when nth % 2 = 1 then {_ISO.format('turn')} end as ts_raw, role, content from k""")
 def read_text_turns(spark, sf_dir):
-    """A text of each session: a heading, then lines with and without a time in turn."""
+    """Texts of many sessions: a heading, then lines with and without a time in turn; times that a line lacks are left out here."""
     path = scratch(spark)
-    line = F.when(F.col("turn_index") % 2 == 1, F.concat(F.lit("["), "timestamp", F.lit("] "), "role", F.lit(": "), "content")).otherwise(F.concat(F.upper("role"), F.lit("： "), "content"))
-    lines = on_one_line(said(spark, sf_dir)).withColumn("line", line).groupBy("session_seq").agg(F.array_sort(F.collect_list(F.struct("turn_index", "line"))).alias("l"))
-    text = F.concat(F.lit("## session: named "), F.col("session_seq").cast("string"), F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    lines.select("session_seq", text.alias("value")).repartition(8, "session_seq").write.partitionBy("session_seq").text(path)
-    return readers.read_text(spark, f"{path}/*").select("session_id", "ts_raw", "role", "content")
+    nth = F.row_number().over(Window.partitionBy("session_seq").orderBy("turn_index"))
+    turns = on_one_line(said(spark, sf_dir)).withColumn("nth", nth)
+    line = F.when(F.col("nth") % 2 == 1, F.concat(F.lit("["), "timestamp", F.lit("] "), "role", F.lit(": "), "content")).otherwise(F.concat(F.upper("role"), F.lit("： "), "content"))
+    heads = turns.filter("nth = 1").select("session_seq", F.lit(0).alias("nth"), F.concat(F.when(F.col("session_seq") % 2 == 0, "## session: named ").otherwise("[session: named "), F.col("session_seq").cast("string"), F.when(F.col("session_seq") % 2 == 1, "]").otherwise("")).alias("value"))
+    lines = heads.unionByName(turns.select("session_seq", "nth", line.alias("value")))
+    lines.repartition("session_seq").sortWithinPartitions("session_seq", "nth").select("value").write.text(path)
+    back = _in_order(readers.read_text(spark, path))
+    return back.select("session_id", "nth", F.when(F.col("nth") % 2 == 1, F.col("ts_raw")).alias("ts_raw"), "role", "content")
 
 
 @query(f"with {_TURNS} select session_id, {_ISO.format('turn')} as ts_raw, role, content from t")
@@ -104,7 +143,7 @@ def reparsed_transcripts(spark, sf_dir):
 
 
 def dialogues(spark, sf_dir):
-    """conversations as schema-guided dialogues, written as JSON, a list of each hundred sessions, and read back.
+    """conversations as schema-guided dialogues, written as JSON in files of many sessions, lists and lists within an object, and read back.
 
     By a fixed rule a turn is a frame of service s<conv mod 3>, with an action, the span of its first word as a slot, a state
     at users' turns, and at every other assistant's turn a call with a result in two of three.
@@ -124,10 +163,11 @@ def dialogues(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", service.alias("service"), turn.alias("t"))
     whole = rows.groupBy("conv_id", "service").agg(F.array_sort(F.collect_list(F.struct("turn", F.to_json("t").alias("j")))).alias("l"))
     text = F.concat(F.lit('{"dialogue_id": "d'), F.col("conv_id").cast("string"), F.lit('", "services": ["'), "service", F.lit('"], "turns": ['), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]}"))
-    files = whole.select(F.floor(F.col("conv_id") / 100).alias("part"), text.alias("j")).groupBy("part").agg(F.concat(F.lit('{"dialogues": ['), F.array_join(F.collect_list("j"), ","), F.lit("]}")).alias("value"))
     path = scratch(spark)
-    files.repartition(8, "part").write.partitionBy("part").text(path)
-    return readers.read_dialogues(spark, f"{path}/*")
+    for odd, head, tail in ((0, "[", "]"), (1, '{"dialogues": [', "]}")):
+        mine = whole.filter(F.col("conv_id") % 2 == odd).select("conv_id", text.alias("value")).repartition("conv_id")
+        framed(mine, head, ",", tail).write.text(f"{path}/{odd}")
+    return readers.read_dialogues(spark, f"{path}/*").checkpoint()  # scratch() has set the folder; several operators read it
 
 
 _SGD = """c as (select 'd' || conv_id as case_id, conv_id as n, turn as k, row_number() over (partition by conv_id order by turn)::int as turn_index, 's' || (conv_id % 3) as service, role = 'user' as u, text, regexp_extract(text, '^(\\S*)', 1) as word from conversations),
@@ -246,7 +286,7 @@ def chats(spark, sf_dir):
     answer = F.when(F.col("next_role") == "assistant", F.to_json(F.struct(F.array(F.struct(F.struct(F.col("next_text").alias("content")).alias("message"))).alias("choices"))))
     none = F.lit(None).cast("string")
     span = lambda p, kind, at, i, o, status: F.struct(name(p).alias("span_id"), n.cast("string").alias("trace_id"), F.lit(f"{kind}-name").alias("name"), F.lit(kind).alias("kind"), at.alias("start_ms"), (at + 10).alias("end_ms"), i.alias("input"), o.alias("output"), status.alias("status"))
-    docs = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 40).alias("page_content")), F.struct(F.lit("second").alias("page_content"))).alias("documents")))
+    docs = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("page_content")), F.struct(F.concat(F.lit("about "), "text").alias("page_content"))).alias("documents")))
     ok = F.when(k % 3 == 0, "error").when(k % 3 == 1, "warning").otherwise("ok")
     spans = F.array(span("r", "retrieval", ms, none, docs, F.lit("ok")), span("c", "chat", ms + 100, ask, answer, F.lit("ok")), span("t", "tool", ms + 200, F.to_json(F.struct(F.struct(k.cast("string").alias("q")).alias("arguments"))), none, ok))
     return c.select(F.explode(spans).alias("s")).select("s.*")
@@ -276,7 +316,7 @@ def projected_tool_calls(spark, sf_dir):
     return traces.project(chats(spark, sf_dir))["tool_calls"]
 
 
-@query(f"with {_CHATS} select trace_id, 'r' || n || '-' || k as span_id, unnest([left(text, 40), 'second']) as text from u")
+@query(f"with {_CHATS} select trace_id, 'r' || n || '-' || k as span_id, unnest([text, 'about ' || text]) as text from u")
 def retrieved_documents(spark, sf_dir):
     return traces.retrieval_documents(chats(spark, sf_dir)).select("trace_id", "span_id", "text")
 

@@ -1,14 +1,18 @@
 """Readers of conversation logs: every format becomes rows of session_id, ts_raw, role, content, ingest_seq.
 
-ingest_seq orders rows within a file; times that a source lacks are made from a fixed base and the place of the row, so the
+A file is read in as many tasks as it has splits (`splits`). ingest_seq orders rows within a file; times that a source lacks are made from a fixed base and the place of the row, so the
 same file gives the same rows on every run.
 """
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from confera.sources.splits import KEY, carried_last, carried_sum, json_documents, numbered_lines, within_split
+
 ROLES = ("user", "assistant", "system")
 #: What other sources call the roles.
 ROLE_ALIASES = {"user": "user", "human": "user", "customer": "user", "client": "user", "speaker": "user", "assistant": "assistant", "bot": "assistant", "agent": "assistant", "system": "system"}
@@ -35,18 +39,35 @@ def canonical_role(role: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(role)))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, file and n: the number of the line within its file, by a window over each file alone."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    return lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).drop("at")
+#: Different header lines of the files read at once; more are refused with an error.
+MOST_HEADERS = 1000
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Columns by name in any order; without sessionId, timestamp, role and content there are no rows."""
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
-    if not {"sessionId", "timestamp", "role", "content"} <= set(raw.columns):
+    """A row is a line; columns by name in any order, by the header of the row's own file; one that lacks sessionId, timestamp,
+    role or content gives no rows. An empty session stays empty, and a row too short to have one is of session "unknown".
+    """
+    lines = numbered_lines(spark, path).select("file", "n", F.trim(F.regexp_replace("line", "[\r\ufeff]", "")).alias("line")).filter("line <> ''")
+    headers = lines.groupBy("file").agg(F.min(F.struct("n", "line")).alias("h")).select("file", F.col("h.n").alias("header_n"), F.col("h.line").alias("header"))
+    known = [r["header"] for r in headers.select("header").distinct().limit(MOST_HEADERS + 1).collect()]
+    if len(known) > MOST_HEADERS:
+        raise ValueError(f"over {MOST_HEADERS} different headers")
+    needed = ("sessionId", "timestamp", "role", "content")
+    cells = F.regexp_count(F.regexp_replace("line", '"([^"]|"")*"', ""), F.lit(",")) + 1
+    row = None
+    for header in known:
+        names = [c.strip() for c in next(csv.reader([header]))]
+        if not set(needed) <= set(names):
+            continue
+        at = {c: names.index(c) for c in needed}
+        parsed = F.from_csv("line", ", ".join(f"c{k} string" for k in range(len(names))), {"escape": '"'})
+        found = lambda c: F.coalesce(parsed[f"c{at[c]}"], F.lit(""))  # noqa: E731, B023
+        session = F.when(cells <= at["sessionId"], F.lit("unknown")).otherwise(found("sessionId"))
+        one = F.struct(session.alias("session_id"), found("timestamp").alias("ts_raw"), F.lower(F.trim(found("role"))).alias("role"), found("content").alias("content"))
+        row = F.when(F.col("header") == header, one) if row is None else row.when(F.col("header") == header, one)
+    if row is None:
         return spark.createDataFrame([], "session_id string, ts_raw string, role string, content string, ingest_seq bigint")
-    rows = raw.select(F.coalesce("sessionId", F.lit("unknown")).alias("session_id"), F.col("timestamp").alias("ts_raw"), F.lower(F.trim("role")).alias("role"), F.coalesce("content", F.lit("")).alias("content"), F.monotonically_increasing_id().alias("ingest_seq"))
+    rows = lines.join(headers, "file").filter("n > header_n").select(row.alias("r"), "n").select("r.*", F.col("n").alias("ingest_seq"))
     return rows.filter(F.col("role").isin(*ROLES))
 
 
@@ -60,18 +81,22 @@ def _messages(records: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A document that is a list of messages or holds one under messages; falls back to a message per line."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"), F.input_file_name().alias("file"))
-    listed = F.when(F.ltrim("v").startswith("["), F.from_json("v", f"array<{_MESSAGE}>")).otherwise(F.from_json("v", f"struct<messages:array<{_MESSAGE}>>")["messages"])
-    docs = whole.withColumn("messages", listed)
-    good = docs.filter("messages is not null").select("file", F.posexplode("messages").alias("nth", "m")).withColumn("ingest_seq", F.col("nth").cast("bigint"))
-    lined = docs.filter(F.col("messages").isNull() & F.trim("v").rlike(r"(?s)\}\s*\n\s*\{")).select("file", F.posexplode(F.split("v", r"\r?\n")).alias("nth", "line")).filter(F.trim("line") != "").withColumn("m", F.from_json("line", _MESSAGE)).withColumn("ingest_seq", F.col("nth").cast("bigint"))
-    return _messages(good.select("m", "nth", "ingest_seq").unionByName(lined.select("m", "nth", "ingest_seq")))
+    """A document that is a list of messages or holds one under messages; falls back to a message per line.
+
+    A list at the top is read in as many tasks as its file has splits; a document of another form is one text.
+    """
+    elements, others = json_documents(spark, path)
+    listed = elements.select(F.from_json("value", _MESSAGE).alias("m"), F.col("nth").cast("int").alias("nth"))
+    docs = others.withColumn("messages", F.from_json("value", f"struct<messages:array<{_MESSAGE}>>")["messages"])
+    good = docs.filter("messages is not null").select(F.posexplode("messages").alias("nth", "m"))
+    many = F.col("messages").isNull() & F.trim("value").rlike(r"(?s)\}\s*\n\s*\{")
+    lined = docs.filter(many).select(F.posexplode(F.split("value", r"\r?\n")).alias("nth", "line")).filter(F.trim("line") != "").select("nth", F.from_json("line", _MESSAGE).alias("m"))
+    return _messages(listed.unionByName(good).unionByName(lined).withColumn("ingest_seq", F.col("nth").cast("bigint")))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    lines = _lines(spark, path).filter(F.trim("line") != "")
-    return _messages(lines.select(F.from_json("line", _MESSAGE).alias("m"), F.col("n").alias("nth"), F.col("n").cast("bigint").alias("ingest_seq")))
+    lines = numbered_lines(spark, path).filter(F.trim("line") != "")
+    return _messages(lines.select(F.from_json("line", _MESSAGE).alias("m"), F.col("n").alias("nth"), F.col("n").alias("ingest_seq")))
 
 
 _TIMED = r"(?i)^\[?(\d{4}-\d{2}-\d{2}T[\d:.+-]+Z?)\]?\s*(user|assistant|system)[:：]\s*(.+)$"
@@ -80,21 +105,23 @@ _SESSION = r"^(?:## session:|\[session:)\s*(.*?)\]?\s*$"
 
 
 def _text(spark: SparkSession, path: str, alternate: bool) -> DataFrame:
-    lines = _lines(spark, path).withColumn("line", F.trim(F.regexp_replace("line", "\r$", ""))).filter("line <> ''")
+    """Headings hold until the next one: within a split by a window over it, at its start by what earlier splits of the file left."""
+    lines = numbered_lines(spark, path).withColumn("line", F.trim(F.regexp_replace("line", "\r$", ""))).filter("line <> ''")
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]+$", "")
     named = F.when(F.col("line").rlike(_SESSION), F.trim(F.regexp_extract("line", _SESSION, 1)))
-    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("session_id", F.coalesce(F.last(named, ignorenulls=True).over(so_far), F.concat(stem, F.lit("_session")))).filter(~F.col("line").rlike(_SESSION))
+    here = F.last(named, ignorenulls=True).over(within_split().rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("here", here).join(carried_last(lines, named, "left"), KEY)
+    lines = lines.withColumn("session_id", F.coalesce("here", "left", F.concat(stem, F.lit("_session")))).filter(~F.col("line").rlike(_SESSION))
     timed, said = F.col("line").rlike(_TIMED), F.col("line").rlike(_SAID)
     pick = lambda i, j: F.when(timed, F.regexp_extract("line", _TIMED, i)).when(said, F.regexp_extract("line", _SAID, j))
-    rows = lines.select("file", "session_id", "n", "line", F.when(timed, F.regexp_extract("line", _TIMED, 1)).otherwise(default_time(F.col("n"))).alias("ts_raw"), F.lower(pick(2, 1)).alias("role"), pick(3, 2).alias("content"))
+    rows = lines.select(*KEY, "at", "session_id", "n", "line", F.when(timed, F.regexp_extract("line", _TIMED, 1)).otherwise(default_time(F.col("n"))).alias("ts_raw"), F.lower(pick(2, 1)).alias("role"), pick(3, 2).alias("content"))
     if alternate:  # a file without a single marked line: its lines alternate between user and assistant
-        marked = F.max(F.col("role").isNotNull()).over(Window.partitionBy("file"))
-        nth = F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1
-        rows = rows.withColumns({"marked": marked, "nth": nth})
-        turn = F.when(F.pmod(F.col("nth"), F.lit(2)) == 0, "user").otherwise("assistant")
+        marked = rows.groupBy("file").agg(F.max(F.col("role").isNotNull()).alias("marked"))
+        nth = F.row_number().over(within_split()) - 1
+        rows = rows.withColumn("nth", nth).join(carried_sum(rows, F.lit(1), "before"), KEY).join(marked, "file")
+        turn = F.when(F.pmod(F.col("nth") + F.col("before"), F.lit(2)) == 0, "user").otherwise("assistant")
         rows = rows.withColumns({"role": F.when(F.col("marked"), F.col("role")).otherwise(turn), "content": F.when(F.col("marked"), F.col("content")).otherwise(F.col("line"))})
-    return rows.filter("role is not null").select("session_id", "ts_raw", "role", "content", F.col("n").cast("bigint").alias("ingest_seq"))
+    return rows.filter("role is not null").select("session_id", "ts_raw", "role", "content", F.col("n").alias("ingest_seq"))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -109,12 +136,14 @@ _DIALOGUE = "struct<dialogue_id:string,services:array<string>,turns:array<struct
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
-    """Schema-guided dialogues, as a list, under dialogues, or one at the root: dialogue struct and its place."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
-    one = F.from_json("v", _DIALOGUE)
-    wrapped = F.from_json("v", f"struct<dialogues:array<{_DIALOGUE}>>")["dialogues"]
-    listed = F.when(F.ltrim("v").startswith("["), F.from_json("v", f"array<{_DIALOGUE}>")).otherwise(F.coalesce(wrapped, F.when(one["dialogue_id"].isNotNull(), F.array(one))))
-    return whole.select(F.posexplode(F.filter(listed, lambda d: d["dialogue_id"].isNotNull() & d["turns"].isNotNull())).alias("nth", "dialogue"))
+    """Schema-guided dialogues, as a list, under dialogues, or one at the root: dialogue struct and its place in its file."""
+    elements, others = json_documents(spark, path)
+    listed = elements.select("nth", F.from_json("value", _DIALOGUE).alias("dialogue"))
+    one = F.from_json("value", _DIALOGUE)
+    wrapped = F.from_json("value", f"struct<dialogues:array<{_DIALOGUE}>>")["dialogues"]
+    rest = others.select(F.posexplode(F.coalesce(wrapped, F.when(one["dialogue_id"].isNotNull(), F.array(one)))).alias("nth", "dialogue"))
+    found = listed.unionByName(rest.withColumn("nth", F.col("nth").cast("bigint")))
+    return found.filter(F.col("dialogue.dialogue_id").isNotNull() & F.col("dialogue.turns").isNotNull())
 
 
 def dialogue_turns(dialogues: DataFrame) -> DataFrame:

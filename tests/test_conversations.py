@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confera.functions.lexicon import ZH
-from confera.operators import metrics, outcomes, segment, sessionize, signals
+from confera.operators import metrics, order, outcomes, segment, sessionize, signals
 from confera.plans.evaluate import Evaluation, enrich
 
 RAW = "session_id string, ts_raw string, role string, content string, ingest_seq bigint"
@@ -109,10 +109,24 @@ def test_unresolved_low_window(spark):
 def test_dataset_index_is_global(spark):
     rows = [(s, t) for s in range(40) for t in range(1, 4)]
     df = spark.createDataFrame(rows, "session_seq bigint, turn_index int")
-    got = sorted((r.session_seq, r.turn_index, r.dataset_index) for r in metrics.dataset_index(df.repartition(4), bucket_size=7).collect())
+    got = sorted((r.session_seq, r.turn_index, r.dataset_index) for r in metrics.dataset_index(df.repartition(4)).collect())
     assert [g[2] for g in got] == list(range(len(rows)))
 
 
+def test_order_and_running_totals(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, 1.5, 2.5, 3.5, -1.0]), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double, place_ int")
+    got = order.numbered(df.repartition(5), F.desc("v"), "place_").orderBy("place").collect()
+    assert [r.place for r in got] == list(range(300))
+    assert [(r.v, r.place_) for r in got] == [(v, n) for _, v, n in sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[2]))]
+    assert order.numbered(df.filter("place_ < 0"), "v").count() == 0
+    values = df.groupBy("k", "v").agg(F.count("*").alias("n"))
+    before = {(r.k, r.v): r.before for r in order.running_totals(values, ["k"], "v", "n").collect()}
+    rank = lambda v: (v is not None, v or 0)
+    assert before == {(k, v): sum(1 for a, b, _ in rows if a == k and rank(b) < rank(v)) for k, v, _ in rows}
+
+
 def test_bad_cases(spark):
     ev = Evaluation(turns_of(spark, TALK))
     cases = ev.bad_cases.collect()

@@ -164,7 +164,14 @@ def test_store(spark, tmp_path):
     store.write_results({"t": rows}, f"{tmp_path}/out", "r1")
     assert spark.read.parquet(f"{tmp_path}/out/t").filter("run_id = 'r1'").count() == 3
     near = store.near_duplicates(spark.createDataFrame([("a", "t", 0.5)], "case_id string, topic string, score double"), spark.createDataFrame([("b", "t", 0.1), ("c", "u", 0.5)], "case_id string, topic string, score double"))
-    assert [r.match_id for r in near.collect()] == ["b"]
+    assert [(r.match_id, r.matches) for r in near.collect()] == [("b", 1)]
+    rng = random.Random(8)
+    cases = [(k, rng.choice(["hot", "hot", "t", None]), rng.choice([0.0, 1.0, 1.5, 2.0, 3.0, 4.5, 7.0])) for k in range(80)]
+    df = spark.createDataFrame(cases, "case_id bigint, topic string, score double")
+    got = {r.case_id: (r.matches, r.match_id, r.stored_score) for r in store.near_duplicates(df, df.filter("case_id % 3 > 0")).collect()}
+    for k, topic, score in cases:
+        met = sorted((abs(s - score), j, s) for j, t, s in cases if topic is not None and t == topic and j % 3 and j != k and abs(s - score) <= 2)
+        assert got[k] == (len(met), *((met[0][1], met[0][2]) if met else (None, None)))
     pool = spark.createDataFrame([(k, f"s{k % 2}", f"h{k % 5}") for k in range(20)], "id bigint, stratum string, hash string")
     got = similarity.stratified_sample(pool, "stratum", "id", "hash", 3).collect()
     assert len(got) == 6 and len({(r.stratum, r.hash) for r in got}) == 6
