@@ -15,7 +15,7 @@ a text) x rarest of them: with 250 and 5,000 at most 1.25 million hashes of 8 by
 Terms are told apart by a 64-bit hash in the lexicon only.
 
 Defined results: a null text counts as empty. A text with no term of the lexicon keeps all its terms instead, and one without
-any term keeps its whole text as the only one, so equal texts have equal fingerprints and unlike ones differ. Every row counts
+any term keeps its whole text as the only one. Equal texts have equal fingerprints, and so have texts that keep the same terms. Every row counts
 in the document frequencies, rows of null ids and copies too. A very long text is one row's expression. An empty table gives
 an empty result. Other columns are ignored, whatever their names.
 """
