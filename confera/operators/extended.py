@@ -43,17 +43,22 @@ def task_completion(calls: DataFrame) -> DataFrame:
 def knowledge_retention(facts: DataFrame, turns: DataFrame, prefix: int = 8) -> DataFrame:
     """facts: session_id, introduced, fact. retained: the joined later assistant turns contain the start of the fact.
 
-    The distinct starts of a session's facts meet its assistant turns as one short list; of each start the last turn that
-    holds it is kept, and a fact is retained if that is later. A start that runs over the end of a turn is found in the
-    turn's text with the beginnings of those after it, so no turn meets the text of all others.
+    A start is at most `prefix` characters, so it is looked up among the grams of that length of its session's assistant
+    turns: of each gram only the last turn that begins it is kept. A gram that runs over the end of a turn goes on with the
+    beginnings of those after it. Starts of fewer characters are looked up among the grams of their own length, where any
+    fact has such a start. No turn meets another, nor the list of all facts.
     """
     start = F.substring("fact", 1, prefix)
-    starts = facts.groupBy("session_id").agg(F.collect_set(start).alias("starts"))
+    asked = facts.withColumn("start", start)
+    wanted = asked.select("session_id", "start").distinct()
     following = Window.partitionBy("session_id").orderBy("turn_index").rowsBetween(1, prefix)
-    said = turns.filter("role = 'assistant'").select("session_id", "turn_index", F.concat_ws(" ", "content", F.substring(F.array_join(F.collect_list(F.substring("content", 1, prefix)).over(following), " "), 1, prefix)).alias("said"))
-    found = said.join(starts, "session_id").select("session_id", "turn_index", F.explode(F.filter("starts", lambda x: F.contains(F.col("said"), x))).alias("start"))
-    last = found.groupBy("session_id", "start").agg(F.max("turn_index").alias("last"))
-    return facts.withColumn("start", start).join(last, ["session_id", "start"], "left").select("session_id", "introduced", "fact", F.coalesce(F.col("last") > F.col("introduced"), F.lit(False)).alias("retained"))
+    after = F.substring(F.array_join(F.collect_list(F.substring("content", 1, prefix)).over(following), " "), 1, prefix)
+    said = turns.filter("role = 'assistant'").select("session_id", "turn_index", F.coalesce("content", F.lit("")).alias("content"), after.alias("after"))
+    lengths = wanted.groupBy("session_id").agg(F.array_sort(F.collect_set(F.length("start"))).alias("lengths"))
+    said = said.join(lengths, "session_id").select("session_id", "turn_index", F.explode("lengths").alias("n"), F.concat_ws(" ", "content", F.when(F.col("after") != "", F.col("after"))).alias("text"))
+    grams = said.select("session_id", "turn_index", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - F.col("n") + 1)), lambda i: F.substr("text", i, F.col("n"))))).alias("start"))
+    last = grams.groupBy("session_id", "start").agg(F.max("turn_index").alias("last"))
+    return asked.join(last, ["session_id", "start"], "left").select("session_id", "introduced", "fact", F.coalesce(F.col("last") > F.col("introduced"), F.lit(False)).alias("retained"))
 
 
 def retention_score(retained: DataFrame) -> DataFrame:

@@ -75,17 +75,44 @@ def tool_calls(spans: DataFrame) -> DataFrame:
 
 
 def project(spans: DataFrame) -> dict[str, DataFrame]:
-    """rows, contexts, tool_calls of traces, as the evaluation takes them."""
+    """rows, contexts, documents, tool_calls of traces, as the evaluation takes them; contexts refer to documents by their number."""
     messages = chat_messages(spans)
     last_user = messages.filter("role = 'user'").groupBy("span_id").agg(F.max_by("content", "pos").alias("query"))
     answered = spans.filter("kind = 'chat'").select("trace_id", "span_id", "start_ms", "end_ms", assistant_output(F.col("output")).alias("response")).join(last_user, "span_id", "left")
     paired = spans.join(answered.select("span_id", F.col("query").isNotNull().alias("q"), (F.coalesce("response", F.lit("")) != "").alias("r")), "span_id", "left").withColumn("is_pair", F.coalesce(F.col("q") & F.col("r"), F.lit(False)))
     out = answered.filter("response <> ''").select("trace_id", "span_id", F.coalesce("end_ms", "start_ms").alias("start_ms"), F.lit(1 << 30).alias("pos"), F.lit("assistant").alias("role"), F.col("response").alias("content"))
     rows = messages.unionByName(out).select(F.col("trace_id").alias("session_id"), F.col("start_ms").alias("ts_ms"), "role", "content", "span_id", "pos")
-    docs = retrieval_documents(spans).select("trace_id", F.coalesce("end_ms", "start_ms").alias("ended"), F.struct("start_ms", "span_id", "pos", "text").alias("d"))
+    documents = placed_documents(spans)
     chat = turns_before(paired).filter("kind = 'chat' and is_pair").select("trace_id", "span_id", "start_ms", "turn_index").join(answered.select("span_id", "query", "response"), "span_id")
-    met = chat.join(docs, (chat.trace_id == docs.trace_id) & (docs.ended <= chat.start_ms), "left").groupBy(chat.trace_id, "span_id", "turn_index", "query", "response").agg(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["text"]).alias("contexts"))
-    return {"rows": rows, "contexts": met, "tool_calls": tool_calls(paired)}
+    contexts = documents_before(chat, documents).select("trace_id", "span_id", "turn_index", "query", "response", "documents")
+    return {"rows": rows, "contexts": contexts, "documents": documents, "tool_calls": tool_calls(paired)}
+
+
+def placed_documents(spans: DataFrame) -> DataFrame:
+    """trace_id, place (from 1), ended, start_ms, span_id, pos, text: the documents of a trace once each, in the order in which they had come."""
+    docs = retrieval_documents(spans).select("trace_id", F.coalesce("end_ms", "start_ms").alias("ended"), "start_ms", "span_id", "pos", "text").filter("ended is not null")
+    return docs.withColumn("place", F.row_number().over(Window.partitionBy("trace_id").orderBy("ended", "start_ms", "span_id", "pos")).cast("bigint"))
+
+
+def documents_before(chats: DataFrame, documents: DataFrame) -> DataFrame:
+    """chats (trace_id, span_id, start_ms, ...) with documents: how many of their trace's had come when they began.
+
+    As these are the first so many, the number says which: a chat carries no text of them. Ends and starts are one sorted
+    sequence per trace, and a running count answers every chat.
+    """
+    ended = documents.select("trace_id", F.col("ended").alias("at"), F.lit(0).alias("o"), F.lit(None).cast("string").alias("chat"))
+    began = chats.select("trace_id", F.col("start_ms").alias("at"), F.lit(1).alias("o"), F.col("span_id").cast("string").alias("chat"))
+    upto = Window.partitionBy("trace_id").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    counted = ended.unionByName(began).withColumn("documents", F.sum(1 - F.col("o")).over(upto)).filter("o = 1").select(F.col("chat").alias("span_id"), F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"))
+    return chats.join(counted, "span_id")
+
+
+def expand_contexts(projected: dict[str, DataFrame]) -> DataFrame:
+    """The contexts with their documents' texts in a list, in the order in which they had come: as long as that list is."""
+    contexts, documents = projected["contexts"], projected["documents"]
+    texts = documents.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda d: d["text"]).alias("texts"))
+    out = contexts.join(texts, "trace_id", "left").withColumn("contexts", F.when(F.col("documents") > 0, F.slice("texts", F.lit(1), F.col("documents").cast("int"))).otherwise(F.array().cast("array<string>")))
+    return out.drop("texts")
 
 
 def step_efficiency(spans: DataFrame) -> DataFrame:

@@ -274,6 +274,61 @@ def flattened_runs(spark, sf_dir):
     return runs.run_spans(runs.flatten_runs(run_trees(spark, sf_dir))).drop("input", "output")
 
 
+@query("""with e as (select *, user_id || '-' || (event_id // 50) as tree from events), k as (select *, row_number() over (partition by tree order by event_id) as i, count(*) over (partition by tree) as n from e)
+select 'r' || event_id as id, (case when i <= 2 then i - 1 when i = n then 2 else i end)::int as place, (case when i = 1 then 0 when i = n and n > 2 then 2 else 1 end)::int as depth from k""")
+def run_order(spark, sf_dir):
+    """Where the runs of a tree stand in pre-order, and how deep."""
+    return runs.flatten_runs(run_trees(spark, sf_dir)).select("id", "place", "depth")
+
+
+@query("""with k as (select *, row_number() over (partition by user_id order by event_id) as i from events)
+select 'r' || event_id as id, 'r' || lag(event_id) over w as parent_run_id, 'r' || first_value(event_id) over w as trace_id, event_type as name, (i - 1)::int as depth, event_id % 3 || '{"[' as outputs from k window w as (partition by user_id order by i)""")
+def run_chains(spark, sf_dir):
+    """All events of a user as one chain of runs, each the only child of the one before."""
+    e = table(spark, sf_dir, "events")
+    out = F.concat((F.col("event_id") % 3).cast("string"), F.lit('{"['))
+    head = F.to_json(F.struct(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("name"), out.alias("outputs")))
+    opened = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(', "child_runs": ['))
+    l = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", opened.alias("j")))).alias("l"))  # noqa: E741
+    root = F.concat(F.array_join(F.transform("l", lambda x: x["j"]), ""), F.repeat(F.lit("]}"), F.size("l")))
+    return runs.flatten_runs(l.select(root.alias("root"))).select("id", "parent_run_id", "trace_id", "name", "depth", "outputs")
+
+
+def trace_lines(spark, sf_dir):
+    """events as traces of one span, a JSON line each; by fixed rules some are broken, and every seventh comes twice."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    name = lambda p: F.concat(F.lit(p), n.cast("string"))
+    time = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    kind = F.when(n % 13 == 0, "odd").when(n % 2 == 0, "chat").otherwise("tool")
+    span = F.struct(F.when(n % 11 != 0, name("s")).alias("spanId"), F.col("event_type").alias("name"), kind.alias("kind"), time.alias("startTime"), F.when(n % 5 == 0, "error").alias("status"), F.struct(F.col("value").alias("value")).alias("input"))
+    trace = F.to_json(F.struct(name("t").alias("traceId"), F.when(n % 3 == 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("sessionId"), F.array(span).alias("spans")))
+    line = F.when(n % 17 == 0, F.substr(trace, F.lit(1), F.length(trace) - 3)).when(n % 19 == 0, F.replace(trace, F.lit('"traceId":"'), F.lit('"traceId":7,"was":"'))).otherwise(trace)
+    return e.select(F.explode(F.when(n % 7 == 0, F.array(line, line)).otherwise(F.array(line))).alias("value"))
+
+
+def taken_in(spark, sf_dir, name):
+    """Traces written as files, taken in by a stream that ends with them."""
+    path = scratch(spark)
+    trace_lines(spark, sf_dir).write.text(f"{path}/in")
+    for stream in runs.ingest_stream(spark.readStream.text(f"{path}/in"), path, late="30 days"):
+        stream.awaitTermination()
+    return spark.read.parquet(f"{path}/{name}")
+
+
+@query("""select 's' || event_id as span_id, case when event_id % 3 = 0 then 'u' || user_id else 't' || event_id end as trace_id, event_type as name, case when event_id % 2 = 0 then 'chat' else 'tool' end as kind,
+    case when event_id % 5 = 0 then 'error' else 'ok' end as status, epoch_us(date_trunc('second', ts)) // 1000 as start_ms from events where event_id % 11 <> 0 and event_id % 13 <> 0 and event_id % 17 <> 0 and event_id % 19 <> 0""")
+def streamed_spans(spark, sf_dir):
+    """Spans that pass, each once."""
+    return taken_in(spark, sf_dir, "spans").select("span_id", "trace_id", "name", "kind", "status", "start_ms")
+
+
+@query("""with r as (select event_id, case when event_id % 17 = 0 then 'json' else concat_ws(',', case when event_id % 19 = 0 then 'traceId:type' end, case when event_id % 11 = 0 then 'spans[0].spanId:missing' end, case when event_id % 13 = 0 then 'spans[0].kind:value' end) end as reasons from events)
+select reasons, sum(case when event_id % 7 = 0 then 2 else 1 end)::bigint as lines from r where reasons <> '' group by 1""")
+def refused_traces(spark, sf_dir):
+    """Lines that don't pass, by all that is wrong with them."""
+    return taken_in(spark, sf_dir, "refused").groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def chats(spark, sf_dir):
     """Each conversation as a trace: a retrieval, then a chat of each user's turn with the answer after it, then a tool."""
     c = table(spark, sf_dir, "conversations")
@@ -304,11 +359,25 @@ def projected_rows(spark, sf_dir):
 
 
 @query(f"""with {_CHATS} select b.trace_id, b.chat as span_id, b.before as turn_index, md5(b.text) as query, md5(b.nt) as response,
-    (select count(*) * 2 from u d where d.n = b.n and d.ms + 10 <= b.ms + 100)::int as documents from b where pair""")
+    (select count(*) * 2 from u d where d.n = b.n and d.ms + 10 <= b.ms + 100)::bigint as documents from b where pair""")
 def projected_contexts(spark, sf_dir):
-    """Each answered chat with the documents that its trace had retrieved before."""
+    """Each answered chat with the number of documents that its trace had retrieved before: the first so many of the trace."""
     c = traces.project(chats(spark, sf_dir))["contexts"]
-    return c.select("trace_id", "span_id", "turn_index", F.md5("query").alias("query"), F.md5("response").alias("response"), F.size("contexts").alias("documents"))
+    return c.select("trace_id", "span_id", "turn_index", F.md5("query").alias("query"), F.md5("response").alias("response"), "documents")
+
+
+@query(f"""with {_CHATS}, d as (select n, k, ms, unnest([0, 1]) as pos, unnest([text, 'about ' || text]) as text from u)
+select trace_id, row_number() over (partition by n order by ms, k, pos) as place, text from (select d.*, n::varchar as trace_id from d)""")
+def trace_documents(spark, sf_dir):
+    """The documents of each trace, once each, in the order in which they had come."""
+    return traces.project(chats(spark, sf_dir))["documents"].select("trace_id", "place", "text")
+
+
+@query(f"""with {_CHATS} select b.chat as span_id, (select string_agg(md5(x), '' order by d.ms, d.k, i) from (select n, ms, k, unnest([0, 1]) as i, unnest([text, 'about ' || text]) as x from u) d where d.n = b.n and d.ms + 10 <= b.ms + 100) as contexts from b where pair""")
+def expanded_contexts(spark, sf_dir):
+    """The documents themselves of each answered chat, as the metrics take them."""
+    out = traces.expand_contexts(traces.project(chats(spark, sf_dir)))
+    return out.select("span_id", F.array_join(F.transform("contexts", lambda x: F.md5(x)), "").alias("contexts"))
 
 
 @query(f"""with {_CHATS} select trace_id, 't' || n || '-' || k as span_id, before + coalesce(pair, false)::int as turn_index, 'tool-name' as tool_name, '{{"q":"' || k || '"}}' as arguments, k % 3 = 2 as succeeded from b""")

@@ -100,18 +100,18 @@ def test_traces(spark):
     ]
     out = traces.project(spark.createDataFrame(rows, SPAN))
     assert [(r.role, r.content) for r in out["rows"].orderBy("ts_ms", "pos").collect()] == [("system", "s"), ("user", "q1"), ("assistant", "a1"), ("user", "q2"), ("assistant", "a2")]
-    assert [(r["query"], r.response, r.contexts, r.turn_index) for r in out["contexts"].orderBy("turn_index").collect()] == [("q1", "a1", ["doc a", "doc b"], 0), ("q2", "a2", ["doc a", "doc b", "doc c"], 1)]
+    assert [(r["query"], r.response, r.contexts, r.turn_index) for r in traces.expand_contexts(out).orderBy("turn_index").collect()] == [("q1", "a1", ["doc a", "doc b"], 0), ("q2", "a2", ["doc a", "doc b", "doc c"], 1)]
     tools = {r.tool_name: (r.turn_index, r.succeeded, r.arguments) for r in out["tool_calls"].collect()}
     assert tools["search"] == (1, False, '{"x":1}') and tools["raw"][:2] == (2, True) and "not json" in tools["raw"][2]
 
 
 def test_run_trees(spark, tmp_path):
     child = {"id": "b", "name": "llm", "run_type": "llm", "start_time": 2, "inputs": "{}", "outputs": "{}", "child_runs": []}
-    root = {"id": "a", "name": "chain", "run_type": "chain", "start_time": 1, "child_runs": [json.dumps(child), json.dumps({**child, "id": "c", "run_type": "odd", "error": "e"})]}
+    root = {"id": "a", "name": "chain", "run_type": "chain", "start_time": 1, "child_runs": [child, {**child, "id": "c", "run_type": "odd", "error": "e"}]}
     flat = runs.flatten_runs(spark.createDataFrame([(json.dumps(root),)], "root string"))
     got = {r.span_id: (r.parent_id, r.kind, r.status) for r in runs.run_spans(flat).collect()}
     assert got == {"a": (None, "agent", "ok"), "b": ("a", "chat", "ok"), "c": ("a", "custom", "error")}
-    line = json.dumps({"traceId": "t", "spans": [{"spanId": "s", "kind": "chat", "startTime": "2026-01-01T00:00:00Z", "input": "x"}]})
+    line = json.dumps({"traceId": "t", "spans": [{"spanId": "s", "name": "n", "kind": "chat", "startTime": "2026-01-01T00:00:00Z", "input": "x"}]})
     assert [(r.trace_id, r.start_ms) for r in runs.read_spans(spark, put(tmp_path / "t.jsonl", line + "\nbroken\n")).collect()] == [("t", 1767225600000)]
 
 
