@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confera.functions.lexicon import SYNTHETIC
@@ -432,6 +432,67 @@ def duplicate_layers(spark, sf_dir):
     return similarity.duplicate_layer(cases.filter("case_id % 5 = 0"), cases.filter("case_id % 5 > 0"))
 
 
+_TOPIC_TAGS = _TOPICS + f""", ss as (select session_id, count(*) as n, avg((emotion <= 40)::int) as low, coalesce(avg(gap), 0) as gap, count(distinct seg) - 1 as moves, count(*) filter (role = 'user') as users from x group by 1),
+fp as (select session_id, left(regexp_replace(content, '[？?，,。.!！ \\t\\n\\r]', '', 'g'), 18) as fp, count(*) as c from x where role = 'user' group by 1, 2), rr as (select session_id, sum(c - 1) as repeats from fp where fp <> '' group by 1),
+sg as (select sid, max(score) filter (signal_key = 'understanding_barrier') as barrier, max(score) filter (signal_key = 'recovery_failure') as unrecovered from (select s.signal_key, s.score, ev.sid from s join ev using (signal_key)) group by 1),
+ds as (select coalesce(max(score) filter (dimension = 'empathy'), 3) as empathy, coalesce(max(score) filter (dimension = 'on_topic'), 3) as on_topic, coalesce(max(score) filter (dimension = 'not_preachy'), 3) as not_preachy from d),
+ks as (select coalesce(avg(score), 0.5) as kpi, list('kpi:' || kpi || ':' || status) filter (status <> 'healthy') as kt from kpis),
+fx as (select bc.id as case_id, bc.grp, bc.tags as failure_tags, bc.severity, bc.transcript, bc.start_turn, bc.head, list_sort(list_concat(list_transform(bc.tags, lambda t: 'failure:' || t), ['scenario:generic'], coalesce(kt, []))) as tags,
+    [bc.severity::double, {unit('ss.n / 20')}, {unit('ss.low')}, {unit('ss.gap / 120')}, {unit('greatest(0, moves) / 3')}, {unit('coalesce(repeats, 0) / greatest(1, users)')}, case when list_contains(bc.tags, 'escalation_keyword') then 1 else 0 end,
+    case goals.status when 'failed' then 1 when 'partial' then 0.6 when 'unclear' then 0.35 else 0 end, case rv.status when 'failed' then 1 when 'completed' then 0.2 else 0 end, {unit('coalesce(barrier, 0)')}, {unit('coalesce(unrecovered, 0)')},
+    {unit('1 - on_topic / 5')}, {unit('1 - empathy / 5')}, {unit('1 - not_preachy / 5')}, {unit('1 - kpi')}]::double[] as m
+    from bc join ss using (session_id) left join rr using (session_id) left join goals on goals.session_id = bc.session_id left join rv on rv.session_id = bc.session_id left join sg on sg.sid = bc.session_id, ds, ks)"""
+
+
+def features(spark, sf_dir) -> DataFrame:
+    e = evaluated(spark, sf_dir)
+    return similarity.case_features(e.bad_cases, e.enriched, e.goals, e.recoveries, e.signals, e.dimensions, e.kpis).checkpoint()  # evaluated() has set the folder
+
+
+@evaluation_query(_TOPIC_TAGS + " select case_id, m as metrics, array_to_string(tags, '|') as tags from fx")
+def case_snapshots(spark, sf_dir):
+    """The features that every bad case of the conversations is compared by."""
+    return features(spark, sf_dir).select("case_id", "metrics", F.array_join("tags", "|").alias("tags"))
+
+
+def _bad_clusters_sql(oracle) -> str:
+    from confera.plans.text_queries import _FNV, _GRAMS, _WORDS
+
+    words = _WORDS.replace("(text)", "(transcript)")
+    same = _SIM
+    title = f"case when {_has('goal_failed').replace('tags', 'failure_tags')} then 'goal-missed' when {_has('recovery_failed').replace('tags', 'failure_tags')} then 'recovery-failed' when {_has('escalation_keyword').replace('tags', 'failure_tags')} then 'escalation-risk' else 'failure-sign' end || ' at turn ' || start_turn || ': ' || case when length(head) > 24 then left(head, 23) || '…' else head end"
+    return _TOPIC_TAGS + f""", tw as (select case_id, {words} as words from fx), tk as (select case_id, {_GRAMS} as tokens from tw), one as (select case_id, unnest(tokens) as token from tk), bins as (select case_id, {_FNV.format('token')} % 64 as bin, count(*) as c from one group by 1, 2),
+norms as (select case_id, sqrt(sum(c * c)::double) as n from bins group by 1), em as (select case_id, map_from_entries(list((bin, c))) as m, any_value(n) as n from bins join norms using (case_id) group by 1),
+vc as (select fx.*, list_transform(range(64), lambda b: {r("coalesce(em.m[b] / em.n, 0)", 6)}) as e from fx left join em using (case_id)),
+ln as (select a.case_id as a, b.case_id as b from vc a join vc b on a.case_id <> b.case_id where a.transcript = b.transcript or {same} >= 0.93 or (a.grp = b.grp and (({same} >= 0.86 and {_FAR} <= 0.22) or ({_FAR} <= 0.12 and {_APART} <= 0.2)))),
+lm as materialized (select * from ln), cc(case_id, label) as (select case_id, case_id from vc union select lm.b, cc.label from cc join lm on lm.a = cc.case_id), cl as (select case_id, min(label) as cluster from cc group by 1), mb as (select vc.*, cluster from vc join cl using (case_id)),
+aw as (select a.cluster, a.case_id, sum(floor(sqrt(list_sum(list_transform(range(1, 16), lambda i: (a.m[i] - b.m[i]) * (a.m[i] - b.m[i])))) / sqrt(15) * 10000 + 0.5)) as away from mb a join mb b using (cluster) group by 1, 2),
+rp as (select cluster, arg_min(case_id, (away, case_id)) as representative from aw group by 1), tg as (select cluster, tag, count(*) as n from (select cluster, unnest(failure_tags) as tag from mb) group by 1, 2),
+tl as (select cluster, list(tag order by n desc, tag)[1:3] as tags from tg group by 1), bs as (select cluster, count(*) as size, {r('avg(severity)', 4)} as avg_severity, arg_min(grp, case_id) as g from mb group by 1)
+select 'cluster_' || regexp_replace(g, '[^A-Za-z0-9:_-]+', '-', 'g') || '_' || size as cluster_id, 'generic · ' || array_to_string(tl.tags, ' + ') as label, size, representative, {title} as title, avg_severity, array_to_string(tl.tags, '|') as tags
+from bs join rp using (cluster) join tl using (cluster) join mb on mb.case_id = rp.representative"""
+
+
+@evaluation_query(_bad_clusters_sql)
+def badcase_clusters(spark, sf_dir):
+    """From conversations to clusters of their bad cases: features, links, connected parts, and what stands for each."""
+    cases = features(spark, sf_dir)
+    members = cases.join(similarity.components(cases, similarity.case_links(cases), "case_id"), "case_id").checkpoint()
+    out = similarity.describe_clusters(members)
+    return out.select("cluster_id", "label", "size", "representative", "title", "avg_severity", F.array_join("tags", "|").alias("tags"))
+
+
+@query("""with recursive d as (select doc_id, source, length(coalesce(text, '')) as n from documents), k as (select *, lag(n) over w as prev, row_number() over w as i from d window w as (partition by source order by doc_id)),
+s(source, i, saved, last) as (select source, i, true, n from k where i = 1 union all select k.source, k.i, abs(k.n - s.n_prev) > 400 or not s.saved, k.n from (select source, i, saved, last as n_prev from s) s join k on k.source is not distinct from s.source and k.i = s.i + 1)
+select doc_id as case_id, saved from s join k on k.source is not distinct from s.source and k.i = s.i""")
+def strictly_harvested(spark, sf_dir):
+    """Documents in order, of which one is left out if the one before it of its source was saved and is about as long."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    before = Window.partitionBy("s").orderBy("doc_id")
+    near = d.withColumns({"b": F.lag("doc_id").over(before), "m": F.lag("n").over(before)}).filter("abs(n - m) <= 400")
+    return similarity.harvest_strictly(d.select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("seq")), near.select(F.col("doc_id").alias("a"), "b"))
+
+
 @query("""with d as (select doc_id, md5(coalesce(text, '')) as hash from documents), st as (select hash, 'old' || min(doc_id) as stored_id from d where doc_id % 4 = 0 group by 1), nw as (select * from d where doc_id % 4 > 0), fr as (select hash, min(doc_id) as first from nw group by 1)
 select doc_id::varchar as case_id, stored_id is null and first = doc_id as saved, coalesce(stored_id, case when first <> doc_id then first::varchar end) as matched_id from nw left join st using (hash) join fr using (hash)""")
 def harvested_cases(spark, sf_dir):
