@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, wraps
@@ -57,7 +58,12 @@ class Evaluation:
         return self
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        return df.checkpoint() if self.writes else df
+        """df, or its rows written as Parquet and read again: later results then read the columns they need, with statistics."""
+        if not self.writes:
+            return df
+        path = f"{use_shared_folder(df.sparkSession)}/evaluation-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     @result
     def objective(self) -> DataFrame:

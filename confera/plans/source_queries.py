@@ -329,6 +329,24 @@ def refused_traces(spark, sf_dir):
     return taken_in(spark, sf_dir, "refused").groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+def mixed_records(spark, sf_dir):
+    """conversations as JSON records of mixed types, a few of them broken, by fixed rules."""
+    c, n = table(spark, sf_dir, "conversations"), F.col("conv_id") + F.col("turn")
+    at = F.when(n % 3 == 0, F.to_json(F.struct(F.col("turn").alias("x")))).when(n % 3 == 1, F.col("turn").cast("string")).otherwise(F.concat(F.lit('"t'), F.col("turn").cast("string"), F.lit('"')))
+    said = F.to_json(F.struct("role", F.array(F.struct(F.col("text").alias("part"), F.lit(None).cast("boolean").alias("last")), F.struct(F.lit(None).cast("string").alias("part"), F.lit(True).alias("last"))).alias("content"), F.when(n % 5 == 0, F.lit("x")).alias("note")))
+    record = F.concat(F.lit('{"at": '), at, F.lit(', "said": '), said, F.when(n % 4 == 0, F.lit(', "gone": null')).otherwise(""), F.lit("}"))
+    return c.select(F.when(n % 50 == 7, F.lit("{broken")).otherwise(record).alias("value"))
+
+
+@query(f"""with c as (select conv_id + turn as n from conversations), g as (select * from c where n % 50 <> 7), total as (select count(*) as t from g),
+p as (select unnest([{{'p': '$', 't': 'object'}}, {{'p': '$.at', 't': case n % 3 when 0 then 'object' when 1 then 'number' else 'string' end}}, {{'p': case when n % 3 = 0 then '$.at.x' end, 't': 'number'}}, {{'p': '$.said', 't': 'object'}}, {{'p': '$.said.role', 't': 'string'}},
+    {{'p': '$.said.content', 't': 'array'}}, {{'p': '$.said.content[*]', 't': 'object'}}, {{'p': '$.said.content[*].part', 't': 'string'}}, {{'p': '$.said.content[*].last', 't': 'boolean'}}, {{'p': case when n % 5 = 0 then '$.said.note' end, 't': 'string'}}, {{'p': case when n % 4 = 0 then '$.gone' end, 't': 'null'}}]) as x from g)
+select x.p as path, x.t as type, count(*) as records, {r('count(*) / any_value(t)::double', 4)} as coverage from p, total where x.p is not null group by 1, 2 union all select '', 'unparsed', count(*), null from c where n % 50 = 7 having count(*) > 0""")
+def profiled_values(spark, sf_dir):
+    """Paths of the records, with the types that their values have and how many hold them."""
+    return mapping.value_profile(mixed_records(spark, sf_dir))
+
+
 def chats(spark, sf_dir):
     """Each conversation as a trace: a retrieval, then a chat of each user's turn with the answer after it, then a tool."""
     c = table(spark, sf_dir, "conversations")

@@ -1,15 +1,20 @@
-"""Mapping of unknown uploads to canonical turns: fields are found by name, on the driver, from the schema alone."""
+"""Mapping of unknown uploads to canonical turns: fields are found by name, on the driver, from the schema alone; and profiles of values."""
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
+from confera.functions.text import js_round
+from confera.operators.store import use_shared_folder
 from confera.sources.readers import canonical_role, default_time
 
 #: Names that a field may have, best first.
@@ -159,3 +164,58 @@ def sample_paths(kind: DataType, most: int = 30, depth: int = 3, keys: int = 20)
 
     walk(kind, "$", depth)
     return out[:most]
+
+
+#: How far a value is looked into, and how many paths are told.
+DEPTH, ITEMS, KEYS, PATHS = 4, 3, 20, 30
+
+
+def value_paths(value: object, depth: int = DEPTH, items: int = ITEMS, keys: int = KEYS) -> Iterator[tuple[str, str]]:
+    """Path and type of a parsed JSON value and of what it holds: the first items of a list, the first keys of an object."""
+    todo: list[tuple[str, object, int]] = [("$", value, 0)]
+    while todo:
+        path, v, level = todo.pop()
+        kind = "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
+        yield path, kind
+        if level < depth and kind == "array":
+            todo += [(f"{path}[*]", x, level + 1) for x in v[:items]]
+        elif level < depth and kind == "object":
+            todo += [(f"{path}.{k}", x, level + 1) for k, x in list(v.items())[:keys]]
+
+
+def value_profile(records: DataFrame, most: int = PATHS) -> DataFrame:
+    """records: value (JSON text). path, type, records (that hold such a value there), coverage (share of all that parse).
+
+    A record counts once for each type that it has at a path. Types come from the values, so a path that holds numbers in some records and texts in others has a row for each. Batches
+    are counted where they are; a row per path and type is all that moves. Told are the paths that most records have. Text
+    that doesn't parse is the path "" of type "unparsed" (never cut off), and has no share in the coverage.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch["value"]:
+                try:
+                    seen.update(set(value_paths(json.loads(text))))
+                except (TypeError, ValueError, RecursionError):
+                    seen["", "unparsed"] += 1
+            if len(seen) > 100_000:  # of odd records: hand on what there is
+                yield pd.DataFrame([(p, t, n) for (p, t), n in seen.items()], columns=["path", "type", "records"])
+                seen.clear()
+        yield pd.DataFrame([(p, t, n) for (p, t), n in seen.items()], columns=["path", "type", "records"])
+
+    counts = records.select("value").mapInPandas(count, "path string, type string, records bigint").groupBy("path", "type").agg(F.sum("records").alias("records"))
+    use_shared_folder(records.sparkSession)
+    counts = counts.checkpoint()
+    total = counts.filter("path = '$'").agg(F.sum("records").alias("total"))
+    known = counts.groupBy("path").agg(F.sum("records").alias("n"))
+    told = known.filter("path = ''").unionByName(known.filter("path <> ''").orderBy(F.desc("n"), "path").limit(most))
+    met = counts.join(F.broadcast(told.select("path")), "path").join(F.broadcast(total))
+    return met.select("path", "type", "records", F.when(F.col("path") != "", js_round(F.col("records") / F.col("total"), 4)).alias("coverage"))
+
+
+def source_format(profile: DataFrame) -> str:
+    """What the profiled records are: sgd (dialogues with turns), assetops, or custom; from the paths that they hold."""
+    names = {r["path"] for r in profile.select("path").distinct().collect()}  # as many as are told
+    ends = lambda *keys: any({f"{at}.{k}" for k in keys} <= names for at in {p.rpartition(".")[0] for p in names})
+    return "sgd" if ends("dialogue_id", "turns") else "assetops" if ends("id", "text", "characteristic_form") else "custom"
