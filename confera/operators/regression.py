@@ -186,6 +186,11 @@ def batch_summary(results: DataFrame) -> DataFrame:
 
 def synthesis_plan(spark, count: int, modes: tuple[str | None, ...] = ("goal_failed", "off_topic_shift", "recovery_failed"), strategy: str = "long_tail", anchored: bool = False) -> DataFrame:
     """count coverage cells: failure mode, persona, operators, rarity and difficulty, by position alone."""
+    return plan_cells(spark.range(count), modes, strategy, anchored)
+
+
+def plan_cells(places: DataFrame, modes: tuple[str | None, ...] = ("goal_failed", "off_topic_shift", "recovery_failed"), strategy: str = "long_tail", anchored: bool = False) -> DataFrame:
+    """places: id (from 0), such as the numbers of seed cases. A coverage cell for each."""
     modes = (None, *modes) if strategy == "balanced" or not modes else modes
     i, n = F.col("id"), len(modes)
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.pmod(at, F.lit(len(values))) + 1).cast("int"))
@@ -195,7 +200,7 @@ def synthesis_plan(spark, count: int, modes: tuple[str | None, ...] = ("goal_fai
     shift = i + F.coalesce(F.length("failure_mode"), F.lit(1))
     base = {"long_tail": 0.68, "regression": 0.58}.get(strategy, 0.36) + (0.08 if anchored else 0.0)
     rarity = js_round(F.greatest(F.lit(0.12), F.least(F.lit(0.95), F.lit(base) + F.when(F.col("failure_mode").isNotNull(), 0.12).otherwise(-0.08) + (i % 4) * 0.04)), 2)
-    out = spark.range(count).withColumn("failure_mode", mode).withColumns({"persona": pick(PERSONAS, i), "operator_1": pick(EVOLUTIONS, shift), "operator_2": pick(EVOLUTIONS, shift + 3), "rarity": rarity})
+    out = places.select("id").withColumn("failure_mode", mode).withColumns({"persona": pick(PERSONAS, i), "operator_1": pick(EVOLUTIONS, shift), "operator_2": pick(EVOLUTIONS, shift + 3), "rarity": rarity})
     return out.select((i + 1).alias("cell"), "failure_mode", "persona", "operator_1", "operator_2", "rarity", F.when(F.col("rarity") >= 0.78, "hard").when(F.col("rarity") >= 0.52, "medium").otherwise("easy").alias("difficulty"))
 
 

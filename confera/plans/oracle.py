@@ -268,7 +268,7 @@ select session_id, seg as topic_segment_index, session_id || '_topic_' || seg as
     "summary_cards": chain(*FULL) + f""", w as (select (select count(distinct session_id) from x) as ss, (select count(*) from x) as tt, (select {r('avg(emotion)', 1)} from x) as em, (select avg((status = 'achieved')::int) from goals) as gr, o.* from o)
 select 'sessions' as key, ss::varchar as value from w union all select 'turns', tt::varchar from w union all select 'avg_emotion', em::varchar from w union all select 'goal_completion', floor(gr * 100 + 0.5)::int::varchar || '%' from w
 union all select 'avg_gap', avg_response_gap_sec::varchar || 's' from w union all select 'topic_switch_rate', floor(topic_switch_rate * 100 + 0.5)::int::varchar || '%' from w union all select 'question_rate', floor(user_question_rate * 100 + 0.5)::int::varchar || '%' from w""",
-    "synthesis_plan": """with p as (select i, ['goal_failed', 'off_topic_shift', 'recovery_failed'] as modes from range(200) r(i)), q as (select i, case when i % 5 <> 0 then modes[i % 2 + 2] else modes[i % 3 + 1] end as m from p),
+    "synthesis_plan": """with p as (select i, ['goal_failed', 'off_topic_shift', 'recovery_failed'] as modes from (select doc_id as i from documents)), q as (select i, case when i % 5 <> 0 then modes[i % 2 + 2] else modes[i % 3 + 1] end as m from p),
 s as (select i, m, i + length(m) as sh, floor((0.68::double + 0.12::double + (i % 4) * 0.04::double) * 100 + 0.5) / 100 as r0 from q), t as (select *, least(0.95::double, r0) as rarity from s)
 select i + 1 as cell, m as failure_mode, ['impatient', 'novice', 'expert', 'anxious', 'loyal'][i % 5 + 1] as persona, ['add_constraint', 'switch_tone', 'inject_noise', 'multi_turn', 'missing_context', 'contradict'][sh % 6 + 1] as operator_1,
     ['add_constraint', 'switch_tone', 'inject_noise', 'multi_turn', 'missing_context', 'contradict'][(sh + 3) % 6 + 1] as operator_2, rarity, case when rarity >= 0.78 then 'hard' when rarity >= 0.52 then 'medium' else 'easy' end as difficulty from t""",

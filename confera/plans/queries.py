@@ -380,4 +380,5 @@ def lexicon_toxicity(spark, sf_dir):
 
 @query
 def synthesis_plan(spark, sf_dir):
-    return regression.synthesis_plan(spark, 200)
+    """A coverage cell for each document as a seed, by its number."""
+    return regression.plan_cells(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))

@@ -123,13 +123,6 @@ def mapped_messages(spark, sf_dir):
     return mapping.apply_mapping(nested, mapping.infer_mapping(nested.schema)).select("session_id", "ts_raw", "role", "content")
 
 
-@query("""select * from (values ('basic_chat', true), ('schema_aware', false), ('slot_eval', true), ('state_tracking', true), ('service_call_eval', true), ('service_result_grounding', false), ('actual_tool_trace_eval', false), ('benchmark_gold_eval', true)) v(capability, enabled)""")
-def capabilities(spark, sf_dir):
-    """What a mapping of roles, contents, dialogue states and service calls can evaluate."""
-    found, _, _ = mapping.capability_report({"messages.role", "messages.content", "annotations.dialogueStates", "annotations.serviceCalls"})
-    return spark.range(1).select(F.explode(F.from_json(F.lit(str(found).replace("'", '"').replace("True", "true").replace("False", "false")), "map<string,boolean>")).alias("capability", "enabled"))
-
-
 @query("""with t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as k, role, replace(text, chr(10), ' ') as text from conversations where trim(text) <> '')
 select 'case ' || conv_id as session_id, role, text as content, k as ingest_seq, strftime(make_timestamp((1577836800 + k * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as ts_raw from t""")
 def reparsed_transcripts(spark, sf_dir):
@@ -213,9 +206,32 @@ def schema_rows(spark):
     return readers.read_schema(spark, path)
 
 
-@query("select * from (values ('s0', 0, 'FindThing', 'slot0,slot1,price'), ('s1', 1, 'ReserveThing', 'slot0,slot2,price')) v(service, seq, intents, slots)")
+@query("""with s as (select s_suppkey as k, s_suppkey % 4 as form, s_suppkey // 400 as part, row_number() over (partition by s_suppkey % 4, s_suppkey // 400 order by s_suppkey) as i from supplier),
+a as (select *, sum((k % 10 = 0)::int) over (partition by form, part order by i rows between unbounded preceding and 1 preceding) as again from s)
+select 's' || k as service, (i - 1 + coalesce(again, 0))::int as seq, 'Find' || k % 5 as intents, 'slot' || k % 3 || ',price' as slots from a""")
 def schema_locations(spark, sf_dir):
-    return schema_rows(spark).select("service", "seq", F.array_join("intents", ",").alias("intents"), F.array_join("slots", ",").alias("slots"))
+    """suppliers as services, in files of each place where a schema may stand; every tenth comes twice, the second one other."""
+    k = F.col("s_suppkey")
+    one = lambda name: F.struct(F.concat(F.lit("s"), k.cast("string")).alias("service_name"), F.lit("d").alias("description"), F.array(F.struct(F.concat(F.lit(name), (k % 5).cast("string")).alias("name"))).alias("intents"), F.array(F.struct(F.concat(F.lit("slot"), (k % 3).cast("string")).alias("name")), F.struct(F.lit("price").alias("name"))).alias("slots"))
+    rows = table(spark, sf_dir, "supplier").select(k, F.explode(F.when(k % 10 == 0, F.array(one("Find"), one("Other"))).otherwise(F.array(one("Find")))).alias("s"))
+    rows = rows.withColumn("nth", (F.col("s.intents")[0]["name"].startswith("Other")).cast("int"))
+    files = rows.groupBy((k % 4).alias("form"), F.floor(k / 400).alias("part")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "nth", "s"))), lambda x: x["s"])).alias("j"))
+    around = lambda head, tail: F.concat(F.lit(head), "j", F.lit(tail))
+    text = F.when(F.col("form") == 0, F.col("j")).when(F.col("form") == 1, around('{"schema": ', "}")).when(F.col("form") == 2, around('{"schema": {"services": ', "}}")).otherwise(around('{"services": ', "}"))
+    path = scratch(spark)
+    files.select("form", "part", text.alias("value")).write.partitionBy("form", "part").text(path)
+    return readers.read_schema(spark, path).select("service", "seq", F.array_join("intents", ",").alias("intents"), F.array_join("slots", ",").alias("slots"))
+
+
+@query(f"""with {_SGD} select unnest(['basic_chat', 'schema_aware', 'slot_eval', 'state_tracking', 'service_call_eval', 'service_result_grounding', 'actual_tool_trace_eval', 'benchmark_gold_eval']) as capability,
+    unnest([count(*) > 0, false, count(*) > 0, coalesce(bool_or(u), false), coalesce(bool_or(called), false), coalesce(bool_or(called and n % 3 <> 0), false), false, coalesce(bool_or(called), false)]) as enabled from f""")
+def capabilities(spark, sf_dir):
+    """What the dialogues can be evaluated for, by the annotations that any of their frames has."""
+    f = readers.dialogue_frames(dialogues(spark, sf_dir))
+    held = {"messages.role": F.col("role"), "messages.content": F.col("utterance"), "annotations.dialogueStates": F.col("state"), "annotations.serviceCalls": F.col("call"), "annotations.serviceResults": F.when(F.col("results") > 0, 1), "annotations.slotMentions": F.when(F.size("slots") > 0, 1)}
+    counts = f.agg(*[F.count(c).alias(name) for name, c in held.items()]).first()
+    found, _, _ = mapping.capability_report({name for name in held if counts[name]})
+    return spark.createDataFrame(list(found.items()), "capability string, enabled boolean")
 
 
 _REFS = """refs as (select case_id, service, slot from f union all select case_id, service, slot from f where word <> '' union all select case_id, service, slot from f where u union all select case_id, service, 'price' from f where u union all select case_id, service, param from f where called)"""
