@@ -111,8 +111,3 @@ def eval_cases(turns: DataFrame) -> DataFrame:
 def capability_report(cases: DataFrame) -> DataFrame:
     """field, available_in (cases), available (any)."""
     return cases.select(F.explode("available").alias("field", "has")).groupBy("field").agg(F.count_if("has").alias("available_in"), F.max("has").alias("available"))
-
-
-def top_evidence(values: DataFrame, key: str, order: str, most: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return values.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).drop("k")

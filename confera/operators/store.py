@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confera.functions.text import customer_id, evidence_range, run_file_id, stable_id
@@ -147,12 +147,9 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def preview(df: DataFrame, rows: int = 20) -> DataFrame:
-    return df.limit(rows)
-
-
-def registry_counts(cases: DataFrame) -> DataFrame:
-    return cases.groupBy("set_type").agg(F.count(F.lit(1)).alias("cases"))
+def preview(df: DataFrame, rows: int = 20, order: list[str] | None = None) -> DataFrame:
+    """The first rows, in an order if one is given: each task keeps as many, and those meet."""
+    return (df.orderBy(*order) if order else df).limit(rows)
 
 
 def near_duplicates(case: DataFrame, stored: DataFrame, within: float = 2.0) -> DataFrame:

@@ -473,6 +473,18 @@ select 'cluster_' || regexp_replace(g, '[^A-Za-z0-9:_-]+', '-', 'g') || '_' || s
 from bs join rp using (cluster) join tl using (cluster) join mb on mb.case_id = rp.representative"""
 
 
+@evaluation_query(" select session_id, turn_index, emotion as emotion_score from x")
+def emotion_curve(spark, sf_dir):
+    """The emotion of every turn, as its chart takes it."""
+    return metrics.emotion_curve(evaluated(spark, sf_dir).enriched)
+
+
+@query("select conv_id, turn, role, text from conversations order by conv_id, turn limit 20")
+def previewed_turns(spark, sf_dir):
+    """The first 20 turns: a preview."""
+    return store.preview(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), order=["conv_id", "turn"])
+
+
 @evaluation_query(_bad_clusters_sql)
 def badcase_clusters(spark, sf_dir):
     """From conversations to clusters of their bad cases: features, links, connected parts, and what stands for each."""
