@@ -32,6 +32,7 @@ from pyspark.sql.types import LongType
 
 from confera.llm.common import checkpointed, own_name, text_batches
 from confera.llm.components import components
+from confera.llm.shingles import similar_links, sketch
 
 BITS = 2
 #: Families of reference fingerprints; each has five.
@@ -115,11 +116,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of.drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _rooted(docs: DataFrame, id_col: str, text_col: str, *, bits: int = BITS, families: int = FAMILIES) -> tuple[DataFrame, DataFrame]:
+def _rooted(docs: DataFrame, id_col: str, text_col: str, *, bits: int = BITS, families: int = FAMILIES, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """doc_id, fp of every row; and fp, root (which names the component, with or without ids), component_id of every fp."""
-    prints = checkpointed(text_batches(docs).select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
+    text = F.col(f"`{text_col}`")
+    columns = [F.col(f"`{id_col}`").alias("doc_id"), _fingerprints(text).alias("fp")]
+    if similarity is None:
+        prints = checkpointed(text_batches(docs).select(*columns))
+    else:
+        kept = checkpointed(text_batches(docs).select(*columns, F.xxhash64(text).alias("node"), sketch(text).alias("s")).select("doc_id", "fp", "node", "s.sketch", "s.keys"))
+        prints = kept.select("doc_id", "fp")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(fingerprint_links(classes.select("fp"), bits=bits, families=families))
+    links = fingerprint_links(classes.select("fp"), bits=bits, families=families)
+    if similarity is not None:
+        links = links.unionByName(similar_links(docs, kept.withColumnRenamed("fp", "name"), text_col, similarity=similarity))
+    roots = components(links)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints, rooted.join(named, "root").select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "root", "component_id")
@@ -128,6 +138,9 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, *, bits: int = BITS, fa
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without those that a smaller id of their component makes superfluous.
 
+    similarity: links texts also whose sets of five-word shingles are as alike as that. Fingerprints of such texts differ
+    in more bits than any pivot table can tell from chance, so these links come from sketches (`shingles`).
+
     An id that repeats stays once in each component that it is the least of. A row of null id stays, as nothing tells it
     from others of null id.
     """

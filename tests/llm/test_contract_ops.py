@@ -310,7 +310,12 @@ def _simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def _components(prints):
+def word_shingles(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def _components(prints, linked=lambda a, b: False):
     n = len(prints)
     root = list(range(n))
 
@@ -321,7 +326,7 @@ def _components(prints):
 
     for a in range(n):
         for b in range(a):
-            if (prints[a][1] ^ prints[b][1]).bit_count() <= 2:
+            if (prints[a][1] ^ prints[b][1]).bit_count() <= 2 or linked(a, b):
                 root[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(prints):
