@@ -177,6 +177,34 @@ def test_encoder_agrees_with_the_tokenizer(file):
         assert own.encode(part) == [le32(library.encode(t or "", add_special_tokens=False).ids) for t in part]
 
 
+@pytest.mark.parametrize("ends", [True, False])
+def test_encoder_gives_the_library_many_new_pieces_at_once(ends, tmp_path):
+    import json
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    from confera.llm.tokens import TOGETHER, Encoder
+
+    spec = json.loads(Path(tokenizer_path()).read_text())
+    if not ends:  # the last token of pieces that end with one of these letters is gone, and the library drops the letter
+        model = spec["model"]
+        lost = {t for t in model["vocab"] if t in ("y</w>", "!</w>", "7</w>") or t.endswith("y</w>")}
+        model["vocab"] = {t: i for t, i in model["vocab"].items() if t not in lost}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        model["merges"] = [p for p in pairs if not {*p, "".join(p)} & lost]
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    own, library, handed = Encoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json")), []
+    own.whole = lambda texts, whole=own.whole: handed.extend(texts) or whole(texts)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeioxyßéü") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    words += ["don't", "'re", "'", "''s", "!", "!!", "7", "77", "</w>", "a</w>", "<|w>", "x÷y", "日本", "A!", "İ", "\u3000", "e\u0301"]
+    texts = [" ".join(rng.sample(words, 40)) for _ in range(200)] + [" ".join(words), *words]
+    assert own.encode(texts) == [le32(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert not ends or len(handed) < 3000 / TOGETHER + 300
+    assert len(own.known) > 2500
+
+
 def test_pack(spark, rows):
     got = packing.pack(docs_of(spark, rows), tokenizer_path(), with_ids=True).collect()
     want = Counter()
