@@ -102,9 +102,10 @@ def read_text_turns(spark, sf_dir):
     nth = F.row_number().over(Window.partitionBy("session_seq").orderBy("turn_index"))
     turns = on_one_line(said(spark, sf_dir)).withColumn("nth", nth)
     line = F.when(F.col("nth") % 2 == 1, F.concat(F.lit("["), "timestamp", F.lit("] "), "role", F.lit(": "), "content")).otherwise(F.concat(F.upper("role"), F.lit("： "), "content"))
-    heads = turns.filter("nth = 1").select("session_seq", F.lit(0).alias("nth"), F.concat(F.when(F.col("session_seq") % 2 == 0, "## session: named ").otherwise("[session: named "), F.col("session_seq").cast("string"), F.when(F.col("session_seq") % 2 == 1, "]").otherwise("")).alias("value"))
-    lines = heads.unionByName(turns.select("session_seq", "nth", line.alias("value")))
-    lines.repartition("session_seq").sortWithinPartitions("session_seq", "nth").select("value").write.text(path)
+    head = F.concat(F.when(F.col("session_seq") % 2 == 0, "## session: named ").otherwise("[session: named "), F.col("session_seq").cast("string"), F.when(F.col("session_seq") % 2 == 1, "]").otherwise(""))
+    # A heading comes from the row of its first line: of a union, repartition() may leave the sides in partitions of their own.
+    ordered = turns.repartition("session_seq").sortWithinPartitions("session_seq", "nth")
+    ordered.select(F.explode(F.when(F.col("nth") == 1, F.array(head, line)).otherwise(F.array(line))).alias("value")).write.text(path)
     back = _in_order(readers.read_text(spark, path))
     return back.select("session_id", "nth", F.when(F.col("nth") % 2 == 1, F.col("ts_raw")).alias("ts_raw"), "role", "content")
 

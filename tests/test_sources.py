@@ -1,6 +1,7 @@
 """Readers, mapping, dialogues, traces, extended metrics and streams on small files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,24 @@ def test_run_trees(spark, tmp_path):
     assert [(r.trace_id, r.start_ms) for r in runs.read_spans(spark, put(tmp_path / "t.jsonl", line + "\nbroken\n")).collect()] == [("t", 1767225600000)]
 
 
+def test_headings_stand_before_their_lines(spark, tmp_path):
+    from confera.plans.source_queries import read_text_turns
+
+    rng = random.Random(5)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}.{t} {rng.getrandbits(2000):x}") for c in range(300) for t in range(6)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    small = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = sorted((r.session_id, r.nth, r.content) for r in read_text_turns(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted((f"named {c}", t + 1, text) for c, t, _, text in rows)
+
+
 def test_extended(spark):
     facts = spark.createDataFrame([("s", 1, "my name is Ann"), ("s", 3, "gone")], "session_id string, introduced int, fact string")
     talk = spark.createDataFrame([("s", 1, "assistant", "my name is X"), ("s", 2, "assistant", "so my name is Ann"), ("s", 4, "assistant", "bye")], "session_id string, turn_index int, role string, content string")
