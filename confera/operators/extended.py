@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from confera.functions.text import js_round, keyword_overlap, ratio
 
@@ -40,24 +45,73 @@ def task_completion(calls: DataFrame) -> DataFrame:
     return calls.agg(F.coalesce(F.avg(F.col("succeeded").cast("int")), F.lit(0.0)).alias("v")).select(*result("task_completion", F.col("v")))
 
 
+#: The starts of facts that one unit of a session looks for, and the characters of its turns, about: most sessions are one unit.
+STARTS, CHARACTERS = 50_000, 8_000_000
+#: Up to so many starts are looked for one by one; more are met with the grams of the text.
+FEW = 64
+#: What a Python worker gets at once of the texts.
+BATCH_BYTES = 4 << 20
+
+
+def _last_said(units: DataFrame, session: DataType, turn: DataType) -> DataFrame:
+    """units: unit, session_id, start, turn_index, text; of a unit the starts come first, without a text, then its turns, the last first.
+
+    session_id, start, last: the last turn in whose text the start begins. What is found is not looked for again.
+    """
+    schema = pa.schema([("session_id", to_arrow_type(session)), ("start", pa.string()), ("last", to_arrow_type(turn))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, left, sizes = None, set(), set()
+        for batch in batches:
+            out = []
+            for key, own, start, at, text in zip(*(batch.column(c).to_pylist() for c in ("unit", "session_id", "start", "turn_index", "text"))):
+                if (own, key) != unit:
+                    unit, left, sizes = (own, key), set(), set()
+                if text is None:
+                    left.add(start)
+                    sizes.add(len(start))
+                elif left:
+                    if len(left) <= FEW:
+                        found = [x for x in left if x in text]
+                    else:
+                        found = left.intersection(text[i : i + n] for n in sizes for i in range(max(0, len(text) - n) + 1))
+                    left.difference_update(found)
+                    out += [(own, x, at) for x in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    units.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return units.mapInArrow(scan, StructType([StructField("session_id", session), StructField("start", StringType()), StructField("last", turn)]))
+
+
 def knowledge_retention(facts: DataFrame, turns: DataFrame, prefix: int = 8) -> DataFrame:
     """facts: session_id, introduced, fact. retained: the joined later assistant turns contain the start of the fact.
 
-    A start is at most `prefix` characters, so it is looked up among the grams of that length of its session's assistant
-    turns: of each gram only the last turn that begins it is kept. A gram that runs over the end of a turn goes on with the
-    beginnings of those after it. Starts of fewer characters are looked up among the grams of their own length, where any
-    fact has such a start. No turn meets another, nor the list of all facts.
+    Only the last turn in which a start begins counts, so the distinct starts of a session are looked up in its assistant
+    turns from the last to the first, in a stream that holds the starts not found yet. A text goes on with the beginnings of
+    those after it. A session of very many starts or long turns is several units: each of its blocks of starts meets each of
+    its parts of turns. Turns without content are none, and a fact without one is never kept.
     """
-    start = F.substring("fact", 1, prefix)
-    asked = facts.withColumn("start", start)
-    wanted = asked.select("session_id", "start").distinct()
-    following = Window.partitionBy("session_id").orderBy("turn_index").rowsBetween(1, prefix)
-    after = F.substring(F.array_join(F.collect_list(F.substring("content", 1, prefix)).over(following), " "), 1, prefix)
-    said = turns.filter("role = 'assistant'").select("session_id", "turn_index", F.coalesce("content", F.lit("")).alias("content"), after.alias("after"))
-    lengths = wanted.groupBy("session_id").agg(F.array_sort(F.collect_set(F.length("start"))).alias("lengths"))
-    said = said.join(lengths, "session_id").select("session_id", "turn_index", F.explode("lengths").alias("n"), F.concat_ws(" ", "content", F.when(F.col("after") != "", F.col("after"))).alias("text"))
-    grams = said.select("session_id", "turn_index", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - F.col("n") + 1)), lambda i: F.substr("text", i, F.col("n"))))).alias("start"))
-    last = grams.groupBy("session_id", "start").agg(F.max("turn_index").alias("last"))
+    asked = facts.withColumn("start", F.substring("fact", 1, prefix))
+    session, turn = turns.schema["session_id"].dataType, turns.schema["turn_index"].dataType
+    in_order = Window.partitionBy("session_id").orderBy("turn_index")
+    heads = F.collect_list(F.substring("content", 1, prefix)).over(in_order.rowsBetween(1, prefix))
+    before = F.coalesce(F.sum(F.length("content").cast("bigint")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    said = turns.filter("role = 'assistant' and content is not null").select("session_id", "turn_index", "content", heads.alias("heads"), F.floor(before / CHARACTERS).alias("part"))
+    after = F.when(F.size("heads") > 0, F.concat(F.lit(" "), F.substring(F.array_join("heads", " "), 1, prefix))).otherwise("")
+    said = said.select("session_id", "turn_index", F.concat("content", after).alias("text"), "part")
+    wanted = asked.filter("start is not null").select("session_id", "start").distinct()
+    blocks = wanted.groupBy("session_id").agg(F.ceil(F.count(F.lit(1)) / STARTS).alias("blocks"))
+    parts = said.groupBy("session_id").agg((F.max("part") + 1).alias("parts"))
+    sizes = blocks.join(parts, "session_id")
+    unit = F.col("block") * F.col("parts") + F.col("part")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    starts = wanted.join(sizes, "session_id").withColumn("block", F.pmod(F.xxhash64("start"), F.col("blocks"))).withColumn("part", upto("parts"))
+    met = said.join(sizes, "session_id").withColumn("block", upto("blocks"))
+    rows = starts.select(unit.alias("unit"), "session_id", "start", F.lit(None).cast(turn).alias("turn_index"), F.lit(None).cast("string").alias("text")).unionByName(met.select(unit.alias("unit"), "session_id", F.lit(None).cast("string").alias("start"), "turn_index", "text"))
+    # Dealt by a column that no side of the union is dealt by yet: else repartition() may leave them in partitions of their own.
+    dealt = rows.withColumn("deal", F.xxhash64("session_id", "unit")).repartition("deal").sortWithinPartitions("deal", "session_id", "unit", F.col("text").isNotNull(), F.desc("turn_index"))
+    last = _last_said(dealt.drop("deal"), session, turn).groupBy("session_id", "start").agg(F.max("last").alias("last"))
     return asked.join(last, ["session_id", "start"], "left").select("session_id", "introduced", "fact", F.coalesce(F.col("last") > F.col("introduced"), F.lit(False)).alias("retained"))
 
 

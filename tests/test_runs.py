@@ -125,3 +125,19 @@ def test_retention_by_grams(spark):
     long = spark.range(20_000).select(F.lit("s").alias("session_id"), F.col("id").cast("int").alias("turn_index"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn number "), F.col("id").cast("string")).alias("content"))
     kept = extended.knowledge_retention(long.select("session_id", F.col("turn_index").alias("introduced"), F.col("content").alias("fact")), long)
     assert kept.filter("retained").count() == 19_999
+
+
+def test_retention_makes_no_grams_of_a_long_text(spark):
+    turns = [("s", 0, "user", "needle x"), ("s", 1, "user", "lost one"), ("s", 2, "assistant", "hay " * 2_000_000 + "needle"), ("s", 3, "assistant", None), ("s", 4, "assistant", "x"), ("s", 5, "assistant", "")]
+    schema = "session_id string, turn_index int, role string, content string"
+    talk = spark.createDataFrame(turns, schema)
+    facts = spark.createDataFrame([*(t[:2] + t[3:] for t in turns[:2]), ("s", 3, "x "), ("s", 3, " x"), ("s", 5, ""), ("t", 0, "")], "session_id string, introduced int, fact string")
+    got = {(r.session_id, r.introduced, r.fact): r.retained for r in extended.knowledge_retention(facts, talk).collect()}
+    assert got == {("s", 0, "needle x"): True, ("s", 1, "lost one"): False, ("s", 3, "x "): True, ("s", 3, " x"): False, ("s", 5, ""): False, ("t", 0, ""): False}
+
+
+def test_retention_in_units(spark, monkeypatch):
+    monkeypatch.setattr(extended, "STARTS", 7)
+    monkeypatch.setattr(extended, "CHARACTERS", 40)
+    monkeypatch.setattr(extended, "FEW", 3)
+    test_retention_by_grams(spark)
