@@ -157,3 +157,18 @@ def test_evidence_meets_its_turn(spark):
     t = spark.createDataFrame([("s", 1, "user", "hello there"), ("s", 2, "user", "hello"), ("s", 3, "user", "x" * 40)], "session_id string, turn_index int, role string, content string")
     e = spark.createDataFrame([("s", "turn 2 said: hello"), ("s", "quote: " + "x" * 20 + "…"), ("s", "ell"), ("s", "nothing")], "session_id string, said string")
     assert {r.said[:4]: r.turn_index for r in match_evidence(e, t).collect()} == {"turn": 2, "quot": 3, "ell": 1}
+
+
+def test_retention_queries_agree_with_sql_on_odd_turns(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from confera.plans.oracle import SQL
+    from confera.plans.queries import QUERIES
+
+    turns = [(1, 0, "user", " x"), (1, 1, "user", "y "), (1, 2, "assistant", None), (1, 3, "assistant", "x"), (1, 4, "assistant", "y"), (1, 5, "assistant", ""), (2, 0, "user", ""), (2, 1, "assistant", None), (3, 0, "user", None), (3, 1, "assistant", "z")]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("retention_score", "fact_retention"):
+        df = QUERIES[name](spark, str(tmp_path))
+        want = con.sql(SQL[name])
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(want.select(*[f'"{c}"' for c in df.columns]).fetchall(), key=repr), name
