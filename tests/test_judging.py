@@ -310,3 +310,27 @@ def test_gold_set_work(spark):
     runs = lambda rows: spark.createDataFrame(rows, "case_id string, goal_completion double, recovery_trace double")
     drift = {r.field: (r.cases, r.avg_delta, r.warns) for r in calibration.field_drift(runs([("a", 3.0, None), ("b", 4.0, None)]), runs([("a", 4.0, 2.0), ("b", 4.0, 1.0), ("c", 1.0, 1.0)])).collect()}
     assert drift == {"goal_completion": (2, 0.5, True), "recovery_trace": (0, None, False)}
+
+
+def test_near_metrics_are_met_in_blocks(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from confera.operators import balls
+
+    rng = np.random.default_rng(3)
+    m = np.round(rng.random((240, 15)) * 0.35, 4)
+    tags = pd.Series([sorted(rng.choice(list("abcdef"), size=n, replace=False)) for n in rng.integers(0, 7, 240)])
+    left, right = np.arange(0, 130), np.arange(110, 240)
+    monkeypatch.setattr(similarity, "BLOCK", 1500)
+    far = balls.rounded(np.sqrt(((m[:, None] - m[None]) ** 2).sum(axis=2)) / np.sqrt(15))
+    apart = np.array([[0 if not set(a) | set(b) else round(len(set(a) ^ set(b)) / len(set(a) | set(b)), 4) for b in tags] for a in tags])
+    want = {(i, j) for i in left for j in right if i != j and far[i, j] <= 0.12 and apart[i, j] <= 0.2}
+    got = {(i, j) for x, y in similarity._near_in_metrics(m, tags, left, right, balls.Forest(np.arange(240)), 0.12, 0.2) for i, j in zip(x.tolist(), y.tolist()) if far[i, j] <= 0.12}
+    assert got == want and want
+    parts, made = balls.Forest(np.arange(240)), 0
+    for x, y in similarity._near_in_metrics(m, tags, left, right, parts, 0.12, 0.2):
+        made += len(x)
+        close = far[x, y] <= 0.12
+        parts.join(x[close], y[close])
+    assert made <= len(want) + 20_000 and {(parts.root[i], parts.root[j]) for i, j in want} == {(parts.root[i],) * 2 for i, _ in want}
